@@ -81,16 +81,17 @@ class _Search:
         room = self.capacity - self.fill
         room[source] = -1
         room[self.fill == 0] = -1
+        short = self.fill[source]
         items = sorted(self.bins[source], key=lambda i: -self.sizes[i])
         for i in items:  # move
-            fits = np.where(room >= self.sizes[i], room, self.capacity + 1)
+            fits = np.where((room >= self.sizes[i]) & (self.fill + self.sizes[i] > short), room, self.capacity + 1)
             if fits.min() <= self.capacity:
                 self._put(i, int(fits.argmin()))
                 return True
         away = room[self.where]
         for i in items:  # one for one: a larger document for a smaller one
             gain = self.sizes[i] - self.sizes
-            ok = (away > 0) & (gain > 0) & (gain <= away) & (self.fill[self.where] + 0 >= self.fill[source] - gain)
+            ok = (gain > 0) & (gain <= away) & (self.fill[self.where] + gain > short)
             if ok.any():
                 j = int(np.where(ok, gain, 0).argmax())
                 b = int(self.where[j])
@@ -108,7 +109,7 @@ class _Search:
                     if pair >= x:
                         high -= 1
                     else:
-                        if x - pair <= room[b] and (best is None or pair < best[0]):
+                        if x - pair <= room[b] and self.fill[b] + x - pair > short and (best is None or pair < best[0]):
                             best = (pair, inside[low], inside[high])
                         low += 1
                 if best:
@@ -119,8 +120,12 @@ class _Search:
         return False
 
 
-def pack(lengths: np.ndarray, capacity: int, steps_per_item: int = 2) -> list[list[int]]:
-    """Bins of item numbers, improved by local search while more bins are used than the total needs."""
+def pack(lengths: np.ndarray, capacity: int, steps_per_item: int = 2, sources: int = 16) -> list[list[int]]:
+    """Bins of item numbers, improved by local search while more bins are used than the total needs.
+
+    A step takes one of the ``sources`` emptiest bins and makes the sum of squared
+    fills larger, so the search ends; ``steps_per_item`` bounds its length.
+    """
     lengths = np.asarray(lengths, np.int64)
     if not len(lengths):
         return []
@@ -129,8 +134,8 @@ def pack(lengths: np.ndarray, capacity: int, steps_per_item: int = 2) -> list[li
     if len(bins) > need:
         search = _Search(lengths, bins, capacity)
         for _ in range(steps_per_item * len(lengths)):
-            used = np.flatnonzero(search.fill > 0)
-            if len(used) <= need or not search.step(int(used[search.fill[used].argmin()])):
+            used = np.flatnonzero((search.fill > 0) & (search.fill < capacity))
+            if np.count_nonzero(search.fill) <= need or not any(search.step(b) for b in used[np.argsort(search.fill[used], kind="stable")][:sources].tolist()):
                 break
     return [b for b in bins if b]
 

@@ -149,13 +149,12 @@ class WordEncoder:
         new = np.flatnonzero(number < 0)
         if len(new):
             fresh, where = np.unique(h[new], return_index=True)
-            if self._n + len(fresh) > 1 << (self._bits - 1) and self._n:
-                self._clear()
+            if self._n + len(fresh) > 1 << (self._bits - 1):
                 new = np.arange(len(h))
                 fresh, where = np.unique(h, return_index=True)
-                while len(fresh) > 1 << (self._bits - 1):
+                while len(fresh) > 1 << (self._bits - 1):  # the words of one batch have to fit
                     self._bits += 1
-                    self._clear()
+                self._clear()
             at = new[where]
             lengths = e[at] - s[at]
             spelled = buf[tb.ragged(s[at], lengths)].tobytes().decode("latin-1").translate(self._spelled)
