@@ -217,3 +217,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         }
 
     return common.map_text(docs.select("doc_id", "text"), HITS, work)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark; all columns stay."""
+    blocks = _blocks(benchmark, window, k, block_bytes)
+
+    def keep(text: pa.Array) -> np.ndarray:
+        words = Words(text)
+        clean = np.ones(len(text), bool)
+        for index in blocks:
+            clean[words.text_of[index.hits(words)[0]]] = False
+        return clean
+
+    return common.keep_rows(docs, keep)

@@ -259,3 +259,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, tree_nodes: in
     nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("fp", F.coalesce("b", "rep").alias("component_id"))
     own = prints.join(nodes, "fp", "left")
     return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id; rows without an id stay."""
+    others = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)

@@ -256,3 +256,9 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
     return common.map_text(docs.select("doc_id", "text", held_out), SCORED, work)
+
+
+def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that the score rejects; all columns stay."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+    return common.keep_rows(docs, lambda text: model.value.score(read(text)) < THRESHOLD)

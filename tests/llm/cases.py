@@ -13,7 +13,7 @@ HOSTILE = [
     (4, "one two three"),
     (5, "ΣΑΣ İstanbul é <|endoftext|> K ſ token=ſecret"),
     (6, "word " * 9000),
-    (7, "x" * 70_000),
+    (7, "x" * 20_000),
     (8, "it's don't 'tis we'll 9's !! \x00\x1f\x85"),
     (9, None),
     (None, "no id here at all"),
