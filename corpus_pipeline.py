@@ -1,3 +1,64 @@
-"""Stages of the corpus pipeline; see STAGES."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame that is written as Parquet and read again as the next
+one's ``docs``.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import functools
+
+from auctionflow.llm import common, decontamination, near_duplicates, packing, private_data, toxicity
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    return toxicity.reject(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id."""
+    return near_duplicates.keep_first(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; n_chars is counted again where there is such a column."""
+    out = private_data.mask(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicate),
+    ("decontamination", benchmark),
+    ("private_data", private),
+    ("packing", packed),
+]
+
+#: Learned stages can't be expressed in SQL; tests hold the pipeline against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written to the shared folder and read again."""
+    folder = common.own_folder(spark, "corpus-pipeline")
+
+    def step(docs: DataFrame, stage: tuple) -> DataFrame:
+        name, work = stage
+        work(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    return functools.reduce(step, STAGES, common.table(spark, sf_dir, "documents"))
