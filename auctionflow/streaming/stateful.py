@@ -4,28 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-CLOSED = "id bigint, category bigint, seller bigint, expires timestamp, bidder bigint, price bigint, bid_time timestamp"
-_MS = 1_000
-
-
-def _ms(t: pd.Timestamp) -> int:
-    """Milliseconds at or after ``t``, so that a timer never fires before it."""
-    return -(-int(pd.Timestamp(t).value) // 1_000_000)
-
-
+CLOSED = "id bigint, category bigint, seller bigint, expires_us bigint, bidder bigint, price bigint, bid_us bigint"
 class WinningBid(StatefulProcessor):
     """Key: auction id.  Keeps the auction, its best valid bid, and bids that came before it; emits and forgets at ``expires``.
 
     Bids whose auction doesn't come are forgotten ``patience_s`` after their time.
+    Times travel as microseconds.
     """
 
     def __init__(self, patience_s: int = 40 * 365 * 86_400):
-        self.patience_ms = patience_s * _MS
+        self.patience_ms = patience_s * 1_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -33,20 +25,14 @@ class WinningBid(StatefulProcessor):
         self.best = handle.getValueState("best", "price bigint, at bigint, bidder bigint")
         self.early = handle.getListState("early", "price bigint, at bigint, bidder bigint")
 
-    @staticmethod
-    def _micros(t) -> int:
-        return int(pd.Timestamp(t).value) // 1_000
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         bids: list[tuple[int, int, int]] = []
-        for part in rows:
-            for r in part.itertuples(index=False):
-                if r.kind == "auction":
-                    if not self.auction.exists():
-                        self.auction.update((int(r.category), int(r.seller), int(r.reserve), self._micros(r.date_time), self._micros(r.expires)))
-                        self.handle.registerTimer(_ms(r.expires))
-                else:
-                    bids.append((int(r.price), self._micros(r.date_time), int(r.bidder)))
+        for r in rows:
+            if r.kind == "bid":
+                bids.append((r.price, r.at, r.bidder))
+            elif not self.auction.exists():
+                self.auction.update((r.category, r.seller, r.reserve, r.at, r.expires))
+                self.handle.registerTimer(-(-r.expires // 1_000))  # never before it
         if self.auction.exists():
             _, _, reserve, opened, expires = self.auction.get()
             bids += [tuple(x) for x in self.early.get()]
@@ -61,19 +47,18 @@ class WinningBid(StatefulProcessor):
             self.handle.registerTimer(max(b[1] for b in bids) // 1_000 + self.patience_ms)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        out = ()
         if self.auction.exists():
             category, seller, _, _, expires = self.auction.get()
             if expiredTimerInfo.getExpiryTimeInMs() * 1_000 < expires:
                 return iter(())  # the timer of an early bid
             if self.best.exists():
                 price, at, bidder = self.best.get()
-                stamp = lambda us: pd.Timestamp(us, unit="us")
-                out = pd.DataFrame({"id": [key[0]], "category": [category], "seller": [seller], "expires": [stamp(expires)], "bidder": [bidder], "price": [price], "bid_time": [stamp(at)]})
+                out = (Row(id=key[0], category=category, seller=seller, expires_us=expires, bidder=bidder, price=price, bid_us=at),)
         for state in (self.auction, self.best, self.early):
             state.clear()
-        return iter(() if out is None else (out,))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -81,10 +66,12 @@ class WinningBid(StatefulProcessor):
 
 def winning_bids(auctions: DataFrame, bids: DataFrame, **options) -> DataFrame:
     """Streaming form of ``operators.closing.winning_bids``; both inputs carry watermarks on date_time."""
-    a = auctions.select(F.col("id").alias("auction"), F.lit("auction").alias("kind"), "category", "seller", "reserve", "expires", "date_time", F.lit(None).cast("bigint").alias("price"), F.lit(None).cast("bigint").alias("bidder"))
-    none = F.lit(None)
-    b = bids.select("auction", F.lit("bid").alias("kind"), none.cast("bigint").alias("category"), none.cast("bigint").alias("seller"), none.cast("bigint").alias("reserve"), none.cast("timestamp").alias("expires"), "date_time", "price", "bidder")
-    return a.unionByName(b).groupBy("auction").transformWithStateInPandas(statefulProcessor=WinningBid(**options), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
+    none = F.lit(None).cast("bigint")
+    at = F.unix_micros("date_time").alias("at")
+    a = auctions.select(F.col("id").alias("auction"), F.lit("auction").alias("kind"), "category", "seller", "reserve", F.unix_micros("expires").alias("expires"), "date_time", at, none.alias("price"), none.alias("bidder"))
+    b = bids.select("auction", F.lit("bid").alias("kind"), none.alias("category"), none.alias("seller"), none.alias("reserve"), none.alias("expires"), "date_time", at, "price", "bidder")
+    closed = a.unionByName(b).groupBy("auction").transformWithState(statefulProcessor=WinningBid(**options), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
+    return closed.select("id", "category", "seller", F.timestamp_micros("expires_us").alias("expires"), "bidder", "price", F.timestamp_micros("bid_us").alias("bid_time"))
 
 
 class LastAverage(StatefulProcessor):
@@ -96,15 +83,12 @@ class LastAverage(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.prices = handle.getListState("prices", "price bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["expires", "id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         kept = [x[0] for x in self.prices.get()] if self.prices.exists() else []
-        averages = []
-        for price in new["price"]:
-            kept = [*kept, int(price)][-self.last :]
-            averages.append(sum(kept) // len(kept))
+        for r in sorted(rows, key=lambda r: (r.expires_us, r.id)):
+            kept = [*kept, r.price][-self.last :]
+            yield Row(id=r.id, bidder=key[0], expires_us=r.expires_us, average=sum(kept) // len(kept))
         self.prices.put([(p,) for p in kept])
-        yield pd.DataFrame({"id": new["id"], "bidder": key[0], "expires": new["expires"], "average": averages})
 
     def close(self) -> None:
         pass
@@ -112,4 +96,6 @@ class LastAverage(StatefulProcessor):
 
 def last_average(closed: DataFrame, last: int = 10) -> DataFrame:
     """Streaming form of ``plans.logical.last_average`` by bidder."""
-    return closed.groupBy("bidder").transformWithStateInPandas(statefulProcessor=LastAverage(last), outputStructType="id bigint, bidder bigint, expires timestamp, average bigint", outputMode="Append", timeMode="None")
+    narrow = closed.select("id", "bidder", F.unix_micros("expires").alias("expires_us"), "price")
+    out = narrow.groupBy("bidder").transformWithState(statefulProcessor=LastAverage(last), outputStructType="id bigint, bidder bigint, expires_us bigint, average bigint", outputMode="Append", timeMode="None")
+    return out.select("id", "bidder", F.timestamp_micros("expires_us").alias("expires"), "average")
