@@ -44,9 +44,19 @@ def own_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, object]], most: int = 2_000_000) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB to Python where the session has Spark's 64: texts are wide, and each task holds a batch several times."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH, "8m")
+
+
+def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, object]], most: int = 1_000_000) -> DataFrame:
     """mapInArrow over slices of about ``most`` bytes of text; ``work`` gets a slice (its ``text`` column is a string) and returns columns."""
     arrow = arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +83,10 @@ def texts(batch: pa.RecordBatch) -> list[str]:
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
 
 
-def keep_rows(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int = 2_000_000) -> DataFrame:
+def keep_rows(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int = 1_000_000) -> DataFrame:
     """The rows of ``df``, all columns as they are, for whose texts ``keep`` gives True; nothing is shuffled."""
     at = df.columns.index("text")
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -322,6 +322,7 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 
 def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with findings masked in ``text``; null stays null, other columns stay as they are."""
+    common.small_batches(docs.sparkSession)
     trained = docs.sparkSession.sparkContext.broadcast(field or train(docs))
 
     def hide(column: pa.Array) -> pa.Array:

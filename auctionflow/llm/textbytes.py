@@ -34,7 +34,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most about ``most`` bytes each (a longer text is alone)."""
     _, bounds = text_buffers(column)
     at, n = 0, len(bounds) - 1

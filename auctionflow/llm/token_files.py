@@ -140,6 +140,7 @@ def write_token_files(docs: DataFrame, folder: str, length: int = 2048, rows: in
     """Writes the files and returns the manifest: a row for each file, in the order of doc_id."""
     ordered = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     schema = common.arrow_schema(MANIFEST)
+    common.small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
