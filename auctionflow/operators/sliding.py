@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import assign_windows, seconds
+from .running import running_sums
+
+RANK_BUCKET = 4_096  # ids that one task ranks at once
 
 
 def direct_counts(bids: DataFrame, slide: float, size: float) -> DataFrame:
@@ -59,9 +62,8 @@ def window_counts(bids: DataFrame, slide: float, size: float, origin: str | None
 def window_ranks(bids: DataFrame, slide: float, size: float, origin: str | None = None) -> DataFrame:
     """RANK of every bid by auction in each of its windows (static frames): a rank is one more than the bids on smaller ids."""
     rows = assign_windows(bids.select("auction", "date_time"), "date_time", slide, size, origin).groupBy("window_end", "auction").agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy("window_end").orderBy("auction").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.select("window_end", "auction", "n", (F.coalesce(F.sum("n").over(below), F.lit(0)) + 1).alias("rank"))
-    return ranked.select("window_end", "auction", "rank", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    ranked = running_sums(rows, ["window_end"], F.floor(F.col("auction") / RANK_BUCKET), ["auction"], {"below": F.col("n")}, inclusive=False)
+    return ranked.select("window_end", "auction", (F.col("below") + 1).alias("rank"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
 def listed_ranks(bids: DataFrame, slide: float, size: float) -> DataFrame:

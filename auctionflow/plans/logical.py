@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import seconds
 from ..operators import sliding
+from ..operators.running import running_sums
 
 CATEGORY = 10
 STATES = ("OR", "ID", "CA")
@@ -26,8 +27,9 @@ def category_average(closed: DataFrame) -> DataFrame:
 
 def category_average_changes(closed: DataFrame) -> DataFrame:
     """Q4 as it runs: the average after each closed auction."""
-    w = Window.partitionBy("category").orderBy("expires", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return closed.select("id", "category", "expires", F.sum("price").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n")).select("id", "category", "expires", F.expr("total div n").alias("average"))
+    by_day = F.floor(F.unix_micros("expires") / F.lit(86_400_000_000))
+    ran = running_sums(closed.select("id", "category", "expires", "price"), ["category"], by_day, ["expires", "id"], {"total": F.col("price"), "n": F.lit(1)})
+    return ran.select("id", "category", "expires", F.expr("total div n").alias("average"))
 
 
 def hot_items(bids: DataFrame, slide: float = 1, slices: int = 60, form: str = "sliced") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auctionflow.functions.windows import assign_windows, from_event_time, to_event_time, tumbling_end, window_starts
 from auctionflow.operators import closing, sliding, verify
+from auctionflow.operators.running import running_sums
 from auctionflow.plans import catalog, logical
 
 T0 = datetime(2024, 1, 1)
@@ -63,6 +64,14 @@ def test_averages(spark):
     assert logical.category_average(closed(spark, rows)).collect()[0]["average"] == 116 // 11
 
 
+def test_running_sums(spark):
+    df = spark.createDataFrame([(n % 3, n * 7 % 101, n) for n in range(101)], "k int, t int, v int")
+    for inclusive in (True, False):
+        got = {r["t"]: r["s"] for r in running_sums(df, ["k"], F.floor(F.col("t") / 10), ["t"], {"s": F.col("v")}, inclusive).collect()}
+        rows = df.collect()
+        assert got == {r["t"]: sum(x["v"] for x in rows if x["k"] == r["k"] and (x["t"] < r["t"] or (inclusive and x["t"] == r["t"]))) for r in rows}
+
+
 def test_hot_items_ties_and_boundaries(spark):
     b = bids(spark, [(1, 0, 1, 10), (2, 0, 1, 10.5), (1, 0, 1, 13), (3, 0, 1, 20)])
     got = {(r["window_end"] - T0).total_seconds(): (r["auction"], r["n"]) for r in logical.hot_items(b, 1, 4).collect()}
