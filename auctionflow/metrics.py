@@ -46,10 +46,11 @@ def write_rows(label: str, rows: Iterable[tuple], out: TextIO) -> None:
 
 
 class Progress(StreamingQueryListener):
-    """Batch latencies of streaming queries: (time_ns, latency_ns, rows)."""
+    """Batch latencies of streaming queries: (time_ns, latency_ns, rows).  With ``log``, whole progress reports as JSON lines, at most one each ``every_s`` seconds."""
 
-    def __init__(self):
+    def __init__(self, log: TextIO | None = None, every_s: float = 30):
         self.rows: list[tuple[int, int, int]] = []
+        self.log, self.every, self.logged = log, every_s, float("-inf")
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -57,6 +58,9 @@ class Progress(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         self.rows.append((time.time_ns(), int(p.batchDuration) * 1_000_000, int(p.numInputRows)))
+        if self.log and time.monotonic() - self.logged >= self.every:
+            self.logged = time.monotonic()
+            print(" ".join(p.json.split()), file=self.log, flush=True)
 
     def onQueryIdle(self, event) -> None:
         pass

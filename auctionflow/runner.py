@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--window-slice-count", type=int, default=60)
     p.add_argument("--stream", action="store_true", help="run as streams for the duration; else in one go")
     p.add_argument("--print-rss", action="store_true")
+    p.add_argument("--metrics", metavar="FILE", help="progress reports of streams as JSON lines, every 30 s")
     p.add_argument("--latency-output", help="file of the latency distribution; else the standard output")
     p.add_argument("--timeline-output")
     p.add_argument("--sink", default="noop", help="format that takes the results: noop, console, parquet")
@@ -44,10 +45,11 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[s
         settings.insert(key, value)
     config, params = GeneratorConfig.of(settings), Params(args.window_slide, args.window_slice_count)
     took: dict[str, float] = {}
-    progress = Progress()
+    log = open(args.metrics, "a") if args.metrics else None
+    progress = Progress(log)
     spark.streams.addListener(progress)
     try:
-        with ResidentMemory(out) if args.print_rss else nullcontext():
+        with log or nullcontext(), ResidentMemory(out) if args.print_rss else nullcontext():
             for query in select(args.queries):
                 began = time.monotonic()
                 if args.stream:

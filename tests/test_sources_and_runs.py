@@ -117,3 +117,9 @@ def test_runner(spark, tmp_path):
     assert list(runner.run(spark, args, out)) == ["q7", "window_2_faster_count"]
     assert "statm_RSS\t" in out.getvalue() and "summary_timeline\t" in out.getvalue()
     assert open(f"{tmp_path}/latency").read().startswith("latency_ccdf\t") and not spark.read.parquet(f"{tmp_path}/q7").isEmpty()
+
+
+def test_runner_streams(spark, tmp_path):
+    args = runner.parser().parse_args(["--rate", "50", "--duration", "12", "--queries", "q7_rocksdb", "--stream", "--metrics", f"{tmp_path}/progress", "--timeline-output", f"{tmp_path}/timeline"])
+    assert list(runner.run(spark, args, io.StringIO())) == ["q7_rocksdb"]
+    assert '"numInputRows"' in open(f"{tmp_path}/progress").read() and open(f"{tmp_path}/timeline").read().startswith("summary_timeline\t")
