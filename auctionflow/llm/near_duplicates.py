@@ -261,7 +261,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, tree_nodes: in
     return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; rows without an id stay."""
-    others = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+def keep_first(docs: DataFrame, broadcast_ids: int = 2_000_000, **options) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id; rows without an id stay.
+
+    The ids that go are broadcast if they are at most ``broadcast_ids`` (some tens
+    of MB), so that texts aren't shuffled; more are joined by a shuffle.
+    """
+    others = common.cut(near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
+    few = others.count() <= broadcast_ids
+    return docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(docs.columns)
