@@ -231,3 +231,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k
         return clean
 
     return common.keep_rows(docs, keep)
+
+
+def oracle_sql(window: int = 10) -> str:
+    """The query's columns in DuckDB's SQL, by joining all windows of both sides."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item_id, m, w[i + 1 : i + m] AS g FROM (SELECT item_id, w, least({window}, len(w)) AS m, unnest(range(0, len(w) - least({window}, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, m, i, w[i + 1 : i + m] AS g FROM (SELECT doc_id, w, m, unnest(range(0, greatest(0, len(w) - m + 1))) AS i FROM d, (SELECT DISTINCT m FROM bw))),
+h AS (SELECT DISTINCT doc_id, m, i, item_id FROM dw JOIN bw USING (m, g)),
+p AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS z FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM p) GROUP BY doc_id, island),
+s AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_hit, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM r GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

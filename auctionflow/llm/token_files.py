@@ -90,8 +90,12 @@ class SequenceWriter:
         for writer, out in ((self.writer, self.out), (self.index, self.index_out)):
             writer.close()
             out.close()
-        self.files.move(self.path + self.tag, self.path)
-        self.files.move(self.path + ".index" + self.tag, self.path + ".index")
+        for name in (self.path, self.path + ".index"):
+            try:
+                self.files.move(name + self.tag, name)
+            except OSError:  # stores that don't replace: an earlier attempt left an equal file
+                self.files.delete_file(name)
+                self.files.move(name + self.tag, name)
 
 
 class SequenceFile:
