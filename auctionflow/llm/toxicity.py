@@ -57,7 +57,6 @@ class Batch:
 
     n: int
     owner: np.ndarray
-    number: np.ndarray  # of the word in its text
     hashes: np.ndarray
     prefixes: dict[int, tuple[np.ndarray, np.ndarray]]  # k -> (word index, hash)
     masked: tuple[np.ndarray, np.ndarray]  # (text, hash)
@@ -93,7 +92,6 @@ def read(column: pa.Array) -> Batch:
     odd = changed[e2] > changed[s2]
     owner2 = np.repeat(np.arange(n), np.diff(first2))[odd]
     masked = (owner2, tb.span_hashes(tb.byte_sums(signs), s2[odd], e2[odd]))
-    number = np.arange(len(owner)) - first[:-1][owner]
     second = _in(hashes, _hash_words(SECOND_PERSON)) >= 0
     run = np.r_[0, np.cumsum(second)]
     low = np.maximum(np.arange(len(owner)) - NEAR, first[:-1][owner])
@@ -124,7 +122,7 @@ def read(column: pa.Array) -> Batch:
         ],
         axis=1,
     )
-    return Batch(n, owner, number, hashes, prefixes, masked, plain, near)
+    return Batch(n, owner, hashes, prefixes, masked, plain, near)
 
 
 @dataclass
@@ -156,16 +154,33 @@ class Lexicon:
         return np.column_stack([b.plain, *out])
 
 
-def learn_lexicon(batches: list[Batch], labels: list[np.ndarray]) -> Lexicon:
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]  # hashes, and in how many texts of label 1 and 0 each occurs
+
+
+def _merged(parts: list[Counts]) -> Counts:
+    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, *(np.bincount(place, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int32) for i in (1, 2))
+
+
+def count_entries(b: Batch, y: np.ndarray) -> tuple[Counts, Counts]:
+    """Of words and of beginnings of words."""
+
+    def of(owner: np.ndarray, h: np.ndarray) -> Counts:
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
+        keys, place = np.unique(h[new], return_inverse=True)
+        label = y[owner[new]]
+        return keys, np.bincount(place, label == 1, len(keys)).astype(np.int32), np.bincount(place, label == 0, len(keys)).astype(np.int32)
+
+    return of(b.owner, b.hashes), _merged([of(b.owner[w], h) for w, h in b.prefixes.values()])
+
+
+def learn_lexicon(counts: list[tuple[Counts, Counts]], n1: int, n0: int) -> Lexicon:
     """Entries that toxic texts hold at odds of over ``e**2`` against the others, and in more than chance would put there."""
-    n1, n0 = (sum(int((y == k).sum()) for y in labels) for k in (1, 0))
-
-    def entries(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """parts: (label, hash) of distinct hashes of each text."""
-        y, h = (np.concatenate(x) for x in zip(*parts))
-        keys, place = np.unique(h, return_inverse=True)
-        c1 = np.bincount(place, y == 1, len(keys))
-        c0 = np.bincount(place, y == 0, len(keys))
+
+    def entries(parts: list[Counts]) -> tuple[np.ndarray, np.ndarray]:
+        keys, c1, c0 = _merged(parts)
         odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
         expected = (c1 + c0) * n1 / max(1, n1 + n0)
         strength = (c1 - expected) / np.sqrt(expected + 0.25)
@@ -175,15 +190,7 @@ def learn_lexicon(batches: list[Batch], labels: list[np.ndarray]) -> Lexicon:
             keep = np.sort(keep[np.argsort(-strength[keep], kind="stable")[: MOST_ENTRIES // 2]])
         return keys[keep], odds[keep]
 
-    def distinct(owner: np.ndarray, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((h, owner))
-        owner, h = owner[order], h[order]
-        new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-        return y[owner[new]], h[new]
-
-    words = entries([distinct(b.owner, b.hashes, y) for b, y in zip(batches, labels)])
-    begins = entries([distinct(b.owner[w], h, y) for b, y in zip(batches, labels) for w, h in b.prefixes.values()])
-    return Lexicon(*words, *begins)
+    return Lexicon(*entries([w for w, _ in counts]), *entries([p for _, p in counts]))
 
 
 @dataclass
@@ -209,28 +216,27 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(None, None, np.zeros(0), np.zeros(0), float(y.mean()) if len(y) else 0.0)
     fold = np.arange(len(y)) % FOLDS
-    batches, ys = [], []
-    for k in range(FOLDS):
-        own = np.flatnonzero(fold == k)
-        for a in range(0, len(own), 400):
-            part = own[a : a + 400]
-            batches.append((k, read(pa.array([texts[i] for i in part], pa.string()))))
-            ys.append(y[part])
-    x, target, at = [], [], []
+    portions = [(k, own[a : a + 400]) for k in range(FOLDS) for own in [np.flatnonzero(fold == k)] for a in range(0, len(own), 400)]
+    batch = lambda part: read(pa.array([texts[i] for i in part], pa.string()))  # noqa: E731  read again when needed: only counts stay in memory
+    counts = []
     for k in range(FOLDS):
-        rest = [(b, t) for (f, b), t in zip(batches, ys) if f != k]
-        lexicon = learn_lexicon([b for b, _ in rest], [t for _, t in rest])
-        for (f, b), t in zip(batches, ys):
-            if f == k:
-                x.append(lexicon.features(b))
-                target.append(t)
-                at.append(np.full(len(t), k))
-    x, target, at = np.concatenate(x), np.concatenate(target), np.concatenate(at)
+        own = [count_entries(batch(part), y[part]) for f, part in portions if f == k]
+        counts.append(tuple(_merged(list(c)) for c in zip(*own)) if own else None)
+
+    def lexicon(left_out: int | None) -> Lexicon:
+        rest = [k for k in range(FOLDS) if k != left_out and counts[k]]
+        labels = y[np.isin(fold, rest)]
+        return learn_lexicon([counts[k] for k in rest], int((labels == 1).sum()), int((labels == 0).sum()))
+
+    without = [lexicon(k) for k in range(FOLDS)]
+    x = np.concatenate([without[k].features(batch(part)) for k, part in portions])
+    target = np.concatenate([y[part] for _, part in portions])
+    at = np.concatenate([np.full(len(part), k) for k, part in portions])
     margin = np.zeros(len(target))
     for k in range(FOLDS):
         margin[at == k] = Trees().fit(x[at != k], target[at != k]).margin(x[at == k])
     centres, means = isotonic(margin, target)
-    return Model(learn_lexicon([b for _, b in batches], ys), Trees().fit(x, target), centres, means)
+    return Model(lexicon(None), Trees().fit(x, target), centres, means)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 24_000_000) -> Model:
