@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 
-from auctionflow.llm import common, decontamination, near_duplicates, packing, private_data, toxicity
+from auctionflow.llm import common, decontamination, packing, private_data, similar_texts, toxicity
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id."""
-    return near_duplicates.keep_first(docs)
+    """One document of each group stays, the one with the smallest doc_id; groups link 5-word shingle sets of Jaccard similarity 0.8 or more."""
+    return similar_texts.keep_first(docs, k=5, least=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
