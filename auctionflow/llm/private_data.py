@@ -36,7 +36,9 @@ MASKED = "doc_id bigint, masked string"
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 UNKNOWN = NONE + 1
-BELIEF, ROUNDS, DAMPING = 0.9, 12, 0.5
+BELIEF = 0.9
+#: Sweeps (and one more for each node), the change of a message that counts as none, and damping of sweeps that don't settle.
+SWEEPS, SETTLED, DAMPED_FROM, DAMPING = 50, 1e-5, 20, 0.5
 # Fixed values of the base rules.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -162,27 +164,41 @@ class Field:
         if not len(g.chain) + len(g.skip):
             return phi
         edges = np.concatenate([g.chain, g.skip])
-        psi = np.exp(np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)]))
-        source = np.concatenate([edges[:, 0], edges[:, 1]])
-        target = np.concatenate([edges[:, 1], edges[:, 0]])
-        psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
-        back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
-        log_phi = np.log(phi + 1e-12)
-        message = np.zeros((len(source), NONE + 1))
-        for _ in range(ROUNDS):
-            total = log_phi.copy()
-            np.add.at(total, target, message)
-            out = total[source] - message[back]
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ei,eij->ej", out, psi) + 1e-12)
-            new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - message).max()
-            message = DAMPING * message + (1 - DAMPING) * new
-            if moved < 1e-4:
+        psi = [np.exp(self.chain), np.exp(self.skip)]
+        psi += [p.T for p in psi]
+        order = np.lexsort((edges[:, 0], edges[:, 1]))
+        # message 2e goes forwards along edge e, 2e + 1 backwards
+        source, target = np.stack([edges[:, 0], edges[:, 1]], 1).ravel().tolist(), np.stack([edges[:, 1], edges[:, 0]], 1).ravel().tolist()
+        forwards = (2 * order).tolist()
+        backwards = (2 * np.lexsort((edges[:, 1], edges[:, 0]))[::-1] + 1).tolist()
+        leaving: list[list[int]] = [[] for _ in phi]
+        for m, i in enumerate(source):
+            leaving[i].append(m)
+        belief = list(phi + 1e-12)
+        message = [np.full(NONE + 1, 1 / (NONE + 1))] * len(source)
+        due = [True] * len(source)
+        for sweep in range(SWEEPS + len(phi)):
+            if not any(due):
                 break
-        np.add.at(log_phi, target, message)
-        b = np.exp(log_phi - log_phi.max(axis=1, keepdims=True))
-        return b / b.sum(axis=1, keepdims=True)
+            for m in (*forwards, *backwards):
+                if not due[m]:
+                    continue
+                due[m] = False
+                old, t = message[m], target[m]
+                new = (belief[source[m]] / message[m ^ 1]) @ psi[(m // 2 >= len(g.chain)) + 2 * (m & 1)]
+                new /= new.sum()
+                if sweep >= DAMPED_FROM:
+                    new = DAMPING * old + (1 - DAMPING) * new
+                if np.abs(new - old).max() < SETTLED:
+                    continue
+                message[m] = new
+                sent = belief[t] * (new / old)
+                belief[t] = sent / sent.sum()
+                for k in leaving[t]:
+                    if k != m ^ 1:
+                        due[k] = True
+                due[m] = sweep >= DAMPED_FROM  # only part of the way
+        return np.array(belief) / np.sum(belief, axis=1, keepdims=True)
 
 
 def _gold(g: Graph, found: list[tuple[int, int, str]]) -> np.ndarray:

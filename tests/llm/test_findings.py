@@ -136,3 +136,22 @@ def test_beliefs_are_exact_on_a_chain():
     for i in range(4):
         exact = [sum(v for k, v in joint.items() if k[i] == x) / total for x in labels]
         assert np.abs(exact - field.beliefs(g)[i]).max() < 0.02
+
+
+def test_evidence_crosses_a_group_of_100():
+    n, labels = 100, P.NONE + 1
+    features = np.zeros((n, 1))
+    features[0] = 1.0
+    field = P.Field(np.array([[0, 0, 0, 10.0, 0]]), np.zeros((labels, labels)), 6 * np.eye(labels))
+    g = P.Graph([(i, i + 1) for i in range(n)], features, np.zeros((0, 2), np.int64), np.array([(i, i + 1) for i in range(n - 1)]))
+    exact = np.exp(features @ field.node)  # on a chain whose other nodes know nothing, forward messages are all there is
+    for i in range(1, n):
+        exact[i] = exact[i - 1] / exact[i - 1].sum() @ np.exp(field.skip)
+    exact /= exact.sum(axis=1, keepdims=True)
+    assert exact[-1, 3] > 0.4 and np.abs(exact - field.beliefs(g)).max() < 0.01
+
+
+def test_number_repeated_100_times():
+    text = "call +1 (482) 555-7163 today. " + "again (482) 555-7163 then. " * 100
+    found, n = P.spans(text, P.fit([]))
+    assert n == 100 and {text[a:b] for a, b, _ in found} == {"+1 (482) 555-7163", "(482) 555-7163"}
