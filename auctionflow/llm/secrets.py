@@ -1,9 +1,10 @@
 """Secret scans: rules, and a character convolutional network over candidates in context.
 
 Base findings follow three fixed rules (assignments, access keys, long
-hexadecimal runs).  Candidates of the network are runs of key characters that
-hold letters and digits.  It reads the candidate's first characters with the
-text before and after it: embedding, one convolution with a ReLU, the maximum
+hexadecimal runs).  Candidates of the network are runs of six or more key characters
+that hold a letter and a digit, and their parts between = and /.  It reads
+each candidate through a window that slides over all of it, with the text before
+and after, and the largest score counts: embedding, one convolution with a ReLU, the maximum
 over the candidate and over its surroundings, a hidden layer, a logistic output,
 all in numpy.
 
@@ -40,11 +41,15 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: A run of key characters with a letter and a digit among its first 40.
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,39}[0-9])(?=[0-9+/_=-]{0,39}[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: A run of key characters, and what it is cut into besides.
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+_PART = re.compile(r"[A-Za-z0-9+_-]{6,}")
+_LETTER = re.compile("[A-Za-z]")
 _DIGIT = re.compile("[0-9]")
 
 BEFORE, INSIDE, AFTER = 20, 40, 8
+#: From one window of a long candidate to the next.
+STRIDE = 8
 LENGTH = BEFORE + INSIDE + AFTER
 _CODE = {c: i + 2 for i, c in enumerate(string.ascii_letters + string.digits + "+/_=-.:;\"'@#$%&*()[]{}<> \n\\|,!?~")}
 _SYMBOLS = len(_CODE) + 2
@@ -64,10 +69,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs that no base finding touches."""
+    """Runs with a letter and a digit, and their parts between = and /, that no base finding touches."""
+    out = []
     if not _DIGIT.search(text):
-        return []
-    return [(m.start(), m.end()) for m in _RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in taken)]
+        return out
+    for m in _RUN.finditer(text):
+        if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
+            continue
+        parts = [m.span()]
+        if "=" in m[0] or "/" in m[0]:
+            parts += [p.span() for p in _PART.finditer(text, *m.span()) if p.span() != m.span() and _DIGIT.search(p[0]) and _LETTER.search(p[0])]
+        out += [(s, e) for s, e in parts if not any(a < e and s < b for a, b, _ in taken)]
+    return out
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
@@ -78,6 +91,12 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return np.array([0 if c == "\0" else _CODE.get(c, 1) for c in before + inside + after], np.uint8)
 
 
+def windows(text: str, start: int, end: int) -> list[np.ndarray]:
+    """A window for each place of a candidate, its last characters included."""
+    last = max(start, end - INSIDE)
+    return [window(text, at, end) for at in [*range(start, last, STRIDE), last]]
+
+
 @dataclass
 class Network:
     """Weights by name, the calibration and the threshold."""
@@ -210,8 +229,29 @@ def drawn_findings(n: int, seed: int, prose: list[str]) -> tuple[list[np.ndarray
     return x, y
 
 
+def drawn_short(n: int, seed: int) -> tuple[list[np.ndarray], list[int]]:
+    """The same for findings of 8 to 19 characters: passwords against words with numbers, versions, dates and amounts."""
+    rng = np.random.default_rng(seed)
+    pick = lambda items: items[int(rng.integers(len(items)))]
+    run = lambda alphabet, a, b: "".join(pick(alphabet) for _ in range(int(rng.integers(a, b))))
+    words = "part section figure table version model route flight room page item report order chapter record volume series build window student".split()
+    number = lambda: str(int(rng.integers(1, 3000)))
+    x, y = [], []
+    for i in range(n):
+        if i % 2:
+            body = run(string.ascii_letters, 1, 6) + run(string.digits, 1, 3) + run(string.ascii_letters + string.digits, 6, 11)
+            before = pick(["pwd ", "pwd=", "pass: ", "login ", "key ", "credential "])
+        else:
+            body = pick([lambda: pick(words) + number(), lambda: pick(words) + pick("-_/") + number(), lambda: number() + pick(["th", "km", "mb", "px"]) + "-" + pick(words), lambda: f"20{run('012', 2, 3)}-0{run('123', 1, 2)}-1{run('012', 1, 2)}T{run('012', 2, 3)}", lambda: pick(words) + "-" + pick(words) + number()])().ljust(6, "x")
+            before = pick(["the ", "see ", "in ", "of ", "a "])
+        before, after = pick(words) + " " + before, pick([" ", ", ", "\n"]) + pick(words)
+        x.append(window(before + body + after, len(before), len(before) + len(body)))
+        y.append(i % 2)
+    return x, y
+
+
 def fit(texts: list[str], drawn: int = 3000, recall: float = 0.98, precision: float = 0.98, seed: int = 11) -> Network:
-    x, y = drawn_findings(drawn, seed, texts[:200])
+    x, y = (a + b for a, b in zip(drawn_findings(drawn, seed, texts[:200]), drawn_short(drawn // 3, seed)))
     for t in texts:
         base = base_spans(t)
         for a, b, _ in base:
@@ -219,8 +259,9 @@ def fit(texts: list[str], drawn: int = 3000, recall: float = 0.98, precision: fl
             y.append(1)
         for a, b in candidates(t, base):
             if not any(c.isdigit() for c in t[a:b]) or len(set(t[a:b])) < 8:  # plainly none
-                x.append(window(t, a, b))
-                y.append(0)
+                own = windows(t, a, b)
+                x += own
+                y += [0] * len(own)
     x, y = np.stack(x), np.array(y, float)
     held = np.arange(len(y)) % 3 == 2
     order = np.random.default_rng(seed).permutation(len(y))
@@ -232,15 +273,32 @@ def fit(texts: list[str], drawn: int = 3000, recall: float = 0.98, precision: fl
 
 
 def spans(texts: list[str], network: Network) -> list[list[tuple[int, int, str]]]:
-    """All findings of each text: base ones, and candidates that the network accepts."""
+    """All findings of each text: base ones, and candidates of which the network accepts a window, the longest of those that overlap."""
     base = [base_spans(t) for t in texts]
-    more = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
-    for at in range(0, len(more), 1000):
-        part = more[at : at + 1000]
-        p = network.score(np.stack([window(texts[i], a, b) for i, a, b in part]))
-        for (i, a, b), s in zip(part, p):
-            if s >= network.threshold:
-                base[i].append((a, b, "model"))
+    accepted: list[list[tuple[int, int]]] = [[] for _ in texts]
+    held: list[tuple[int, int, int, np.ndarray]] = []
+
+    def decide() -> None:
+        took = network.score(np.stack([w for *_, w in held])) >= network.threshold
+        for (i, a, b, _), yes in zip(held, took):
+            if yes:
+                accepted[i].append((a, b))
+        held.clear()
+
+    for i, t in enumerate(texts):
+        for a, b in candidates(t, base[i]):
+            for w in windows(t, a, b):
+                held.append((i, a, b, w))
+                if len(held) == 1000:
+                    decide()
+    if held:
+        decide()
+    for found, own in zip(base, accepted):  # a part of an accepted run is no finding of its own
+        end = -1
+        for a, b in sorted(set(own), key=lambda s: (s[0], -s[1])):
+            if a >= end:
+                found.append((a, b, "model"))
+                end = b
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in base]
 
 

@@ -155,3 +155,23 @@ def test_number_repeated_100_times():
     text = "call +1 (482) 555-7163 today. " + "again (482) 555-7163 then. " * 100
     found, n = P.spans(text, P.fit([]))
     assert n == 100 and {text[a:b] for a, b, _ in found} == {"+1 (482) 555-7163", "(482) 555-7163"}
+
+
+def test_secrets_anywhere_in_a_run():
+    key = "9f8A+dk2LxQ77bVnmZtR4uYw1PeSgHc0aaB"
+    for text in ("PRODUCTION_DATABASE_REPLICA_MASTER_CREDENTIAL=" + key, "/usr/share/configuration/production/database/replica/" + key, "x" * 60 + key + "y" * 60):
+        a = text.index(key)
+        whole = (0, len(text))
+        assert whole in S.candidates(text, [])
+        assert (a, a + len(key)) in S.candidates(text, []) or "=" not in text
+        # every character is in the inner part of some window
+        seen = set()
+        for at, w in zip([*range(0, max(0, len(text) - S.INSIDE), S.STRIDE), max(0, len(text) - S.INSIDE)], S.windows(text, *whole)):
+            assert (w == S.window(text, at, len(text))).all()
+            seen |= set(range(at, min(len(text), at + S.INSIDE)))
+        assert seen == set(range(len(text)))
+    assert S.candidates("pwd hunter2xyz9Q", []) == [(4, 16)]
+    net = S.fit(["the of and to in is that it was for on are as with"] * 3)
+    text = "PRODUCTION_DATABASE_REPLICA_MASTER_CREDENTIAL=" + key
+    assert any(b == len(text) for _, b, _ in S.spans([text], net)[0])
+    assert S.spans(["in section12 of the report-2019 see table144 and chapter7"], net) == [[]]
