@@ -13,8 +13,8 @@ bounded sample of documents, and drawn findings of known kinds (credentials of
 several alphabets in assignments and URLs against identifiers, dates, paths,
 numbers and prose), put into contexts.  A held-out third of the findings
 calibrates the scores (isotonic) and sets the threshold: the largest one that
-keeps ``recall`` of the held-out secrets and a precision of ``precision`` where
-both can be had, else the one that keeps the precision.
+keeps ``recall`` of the held-out secrets of each kind, whatever precision that
+leaves; both figures stay with the network.
 
 Null and empty texts have no findings.  Repeated rows give a row each.  An empty
 table gives no rows.  Other columns are ignored.
@@ -99,12 +99,15 @@ def windows(text: str, start: int, end: int) -> list[np.ndarray]:
 
 @dataclass
 class Network:
-    """Weights by name, the calibration and the threshold."""
+    """Weights by name, the calibration, the threshold and what it gave on held-out findings."""
 
     w: dict[str, np.ndarray]
     centres: np.ndarray
     means: np.ndarray
     threshold: float = 1.0
+    #: Of held-out findings: recall of the worst kind, precision of all.
+    recall: float = float("nan")
+    precision: float = float("nan")
 
     WIDTH = 5
 
@@ -169,19 +172,19 @@ class Network:
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, precision: float) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, kind: np.ndarray) -> None:
+        """The largest threshold that ``recall`` of the secrets of each kind reach; what it costs is kept in ``precision``."""
         z = self.forward(x)[0]
         self.centres, self.means = isotonic(z, y)
         p = self.score(x)
         best = 1.0
-        for t in np.unique(p)[::-1]:
-            took = p >= t
-            if y[took].mean() < precision:
-                break
-            best = t
-            if took[y == 1].mean() >= recall:
-                break
+        for k in np.unique(kind[y == 1]):
+            own = np.sort(p[(y == 1) & (kind == k)])[::-1]
+            best = min(best, own[int(np.ceil(recall * len(own) - 1e-9)) - 1])
         self.threshold = float(best)
+        took = p >= best
+        self.recall = min((float(took[(y == 1) & (kind == k)].mean()) for k in np.unique(kind[y == 1])), default=float("nan"))
+        self.precision = float(y[took].mean()) if took.any() else float("nan")
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
@@ -250,25 +253,28 @@ def drawn_short(n: int, seed: int) -> tuple[list[np.ndarray], list[int]]:
     return x, y
 
 
-def fit(texts: list[str], drawn: int = 3000, recall: float = 0.98, precision: float = 0.98, seed: int = 11) -> Network:
+def fit(texts: list[str], drawn: int = 3000, recall: float = 0.98, seed: int = 11) -> Network:
     x, y = (a + b for a, b in zip(drawn_findings(drawn, seed, texts[:200]), drawn_short(drawn // 3, seed)))
+    kind = ["drawn"] * drawn + ["short"] * (len(y) - drawn)
     for t in texts:
         base = base_spans(t)
-        for a, b, _ in base:
+        for a, b, k in base:
             x.append(window(t, a, b))
             y.append(1)
+            kind.append(k)
         for a, b in candidates(t, base):
             if not any(c.isdigit() for c in t[a:b]) or len(set(t[a:b])) < 8:  # plainly none
                 own = windows(t, a, b)
                 x += own
                 y += [0] * len(own)
-    x, y = np.stack(x), np.array(y, float)
+                kind += ["none"] * len(own)
+    x, y, kind = np.stack(x), np.array(y, float), np.array(kind)
     held = np.arange(len(y)) % 3 == 2
     order = np.random.default_rng(seed).permutation(len(y))
-    x, y = x[order], y[order]
+    x, y, kind = x[order], y[order], kind[order]
     network = Network.drawn(seed)
     network.train(x[~held], y[~held])
-    network.calibrate(x[held], y[held], recall, precision)
+    network.calibrate(x[held], y[held], recall, kind[held])
     return network
 
 

@@ -175,3 +175,19 @@ def test_secrets_anywhere_in_a_run():
     text = "PRODUCTION_DATABASE_REPLICA_MASTER_CREDENTIAL=" + key
     assert any(b == len(text) for _, b, _ in S.spans([text], net)[0])
     assert S.spans(["in section12 of the report-2019 see table144 and chapter7"], net) == [[]]
+
+
+def test_threshold_holds_the_recall():
+    net = S.Network.drawn(2)
+    x, y = (np.array(v) for v in S.drawn_findings(400, 5, []))
+    net.train(x, y.astype(float))
+    worst = y.astype(float)
+    worst[net.forward(x)[0].argmax()] = 0  # one wrong label at the very top
+    kind = np.where(np.arange(len(y)) % 4 == 1, "a", "b")
+    net.calibrate(x, worst, 0.98, kind)
+    took = net.score(x) >= net.threshold
+    for k in "ab":
+        assert took[(worst == 1) & (kind == k)].mean() >= 0.98
+    assert net.recall >= 0.98 and abs(net.precision - worst[took].mean()) < 1e-9
+    found = S.spans(["pwd hunter2xyz9Q"], S.fit(["the of and to in is that it was for on are as with"] * 3))
+    assert found == [[(4, 16, "model")]]
