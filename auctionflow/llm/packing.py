@@ -3,12 +3,11 @@
 ``pack_documents`` turns documents into pieces of at most ``capacity`` tokens
 and puts the pieces into as few sequences as it can.  Token ids never move: the
 map side emits a row of a few numbers for each piece.  Pieces that fill a
-sequence have one of their own.  The others are dealt by a hash into shards of
-about ``shard_docs`` documents, and each shard is packed by best fit decreasing
+sequence have one of their own.  The others are dealt into shards of about
+``shard_docs`` documents, each length evenly, and each shard is packed by best fit decreasing
 and then improved: documents are moved or exchanged, one for one or two for one,
 between underfull bins so that the sum of squared fills grows, until the
-emptiest bin is empty or nothing fits better.  A shard loses less than one
-sequence against an undivided packing.
+total needs no fewer bins or nothing fits better.
 
 Null and empty texts are the end id alone.  Repeated rows are packed as often as
 they occur.  An empty table gives no rows.  Other columns are not read.
@@ -23,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .tokens import END_ID, WordEncoder
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, own bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, own bigint, task bigint, place bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
@@ -148,10 +147,11 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, shard_docs: int = 8192
     def pieces(batch: pa.RecordBatch) -> dict[str, object]:
         task = TaskContext.get()
         if state.get("task") != (key := task.taskAttemptId() if task else 0):
-            state.update(task=key, made=0)
+            state.update(task=key, made=0, places={})
         encoder = state.get("encoder") or state.setdefault("encoder", WordEncoder(vocab))
         ids, offsets = encoder.encode(batch.column(1))
-        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "own")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "own", "task", "place")}
+        number, places = task.partitionId() if task else 0, state["places"]
         for n, doc in enumerate(batch.column(0).to_pylist()):
             own = np.append(ids[offsets[n] : offsets[n + 1]], np.array(END_ID, ids.dtype))
             for piece, start in enumerate(range(0, len(own), capacity)):
@@ -159,8 +159,9 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, shard_docs: int = 8192
                 full = None
                 if len(part) == capacity:
                     state["made"] += 1
-                    full = -((task.partitionId() if task else 0) * (1 << 33) + state["made"])
-                for k, v in zip(out, (doc, piece, start, len(part), common.ids_crc(part), full)):
+                    full = -(number * (1 << 33) + state["made"])
+                place = places[len(part)] = places.get(len(part), -1) + 1
+                for k, v in zip(out, (doc, piece, start, len(part), common.ids_crc(part), full, number, place)):
                     out[k].append(v)
         return out
 
@@ -198,9 +199,28 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, shard_docs: int = 8192
                     waiting.append(rest.slice(a, b - a))
         yield from close()
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("bigint")
-    rows = common.map_text(docs, PIECES, pieces).withColumn("shard", shard)
+    rows = common.map_text(docs, PIECES, pieces)
+    rows = rows.withColumn("shard", F.lit(0).cast("bigint")) if shards == 1 else _dealt(common.cut(rows), shards)
+    rows = rows.select(*(c.split()[0] for c in PIECES.split(", ")[:6]), "shard")
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(packed, PACKED)
 
 
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """``shard``: the place among all pieces by (length, task, place) modulo ``shards``, so any range of lengths is spread evenly.
+
+    Only counts are ordered: of each length and task, and of each length.
+    """
+    spark = rows.sparkSession
+    counts = common.cut(rows.where("own is null").groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")))
+    start, before = [], 0
+    for r in sorted(counts.groupBy("length").agg(F.sum("n").alias("n")).collect()):
+        start.append((r["length"], before))
+        before += r["n"]
+    within = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("length", "task", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("first"))
+    first = first.join(F.broadcast(spark.createDataFrame(start, "length bigint, start bigint")), "length").select("length", "task", (F.col("first") + F.col("start")).alias("first"))
+    # pieces that fill a sequence are spread by their number and not packed
+    return rows.join(first, ["length", "task"], "left").withColumn("shard", F.pmod(F.coalesce(F.col("first") + F.col("place"), F.col("own")), F.lit(shards)).cast("bigint"))
+
+
 PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]

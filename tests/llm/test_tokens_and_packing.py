@@ -87,3 +87,13 @@ def test_local_search_beats_best_fit():
         assert len(bins) <= before
         saved += before - len(bins)
     assert saved >= 10
+
+
+def test_shards_get_each_length_evenly(spark, plain):
+    docs = [(i, "the " * (39 if i % 2 else 23)) for i in range(800)]
+    docs = [(i, t.strip()) for i, t in docs]
+    sizes = {len(encoded(plain, t)) for _, t in docs}
+    assert sizes == {24, 40}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
+    used, least = check_packing(packing.pack_documents(df, capacity=64, shard_docs=20).collect(), docs, plain, 64)
+    assert used == least == 400
