@@ -66,22 +66,41 @@ class _Search:
         for b, items in enumerate(bins):
             self.where[items] = b
         self.fill = np.bincount(self.where, weights=lengths, minlength=len(bins)).astype(np.int64)
+        self.pairs_of: list[tuple[np.ndarray, ...] | None] = [None] * len(bins)
+        self.pairs: tuple[np.ndarray, ...] | None = None
 
     def _put(self, i: int, b: int) -> None:
         a = self.where[i]
+        self.pairs_of[a] = self.pairs_of[b] = self.pairs = None
         self.bins[a].remove(i)
         self.bins[b].append(i)
         self.fill[a] -= self.sizes[i]
         self.fill[b] += self.sizes[i]
         self.where[i] = b
 
+    def _all_pairs(self) -> tuple[np.ndarray, ...]:
+        """(size, document, document) of two documents of a bin, one for each pair of sizes, for all bins with room."""
+        if self.pairs is None:
+            parts = []
+            for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist():
+                if (own := self.pairs_of[b]) is None:
+                    items = np.array(self.bins[b])
+                    items = items[np.argsort(self.sizes[items], kind="stable")]
+                    sizes = self.sizes[items]
+                    items = items[(np.arange(len(items)) < 2) | (sizes != np.r_[0, 0, sizes[:-2]][: len(sizes)])]  # two of a size at most
+                    j, k = np.triu_indices(len(items), 1)
+                    own = self.pairs_of[b] = (self.sizes[items[j]] + self.sizes[items[k]], items[j], items[k])
+                parts.append(own)
+            self.pairs = tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+        return self.pairs
+
     def step(self, source: int) -> bool:
         """One exchange out of the bin ``source`` that makes the squared fill larger; False if there is none."""
         room = self.capacity - self.fill
         room[source] = -1
         room[self.fill == 0] = -1
         short = self.fill[source]
-        items = sorted(self.bins[source], key=lambda i: -self.sizes[i])
+        items = sorted({int(self.sizes[i]): i for i in self.bins[source]}.values(), key=lambda i: -self.sizes[i])  # one of each size
         for i in items:  # move
             fits = np.where((room >= self.sizes[i]) & (self.fill + self.sizes[i] > short), room, self.capacity + 1)
             if fits.min() <= self.capacity:
@@ -97,45 +116,44 @@ class _Search:
                 self._put(i, b)
                 self._put(j, source)
                 return True
-        open_bins = np.flatnonzero(room > 0)
+        pair, first, second = self._all_pairs()
+        at = self.where[first]
+        room_at, fill_at = room[at], self.fill[at]
         for i in items:  # two for one: a document for two smaller ones that together are less
-            x = int(self.sizes[i])
-            for b in open_bins[np.argsort(room[open_bins], kind="stable")][:64].tolist():
-                inside = sorted((j for j in self.bins[b] if self.sizes[j] < x), key=lambda j: self.sizes[j])
-                low, high, best = 0, len(inside) - 1, None
-                while low < high:
-                    pair = int(self.sizes[inside[low]] + self.sizes[inside[high]])
-                    if pair >= x:
-                        high -= 1
-                    else:
-                        if x - pair <= room[b] and self.fill[b] + x - pair > short and (best is None or pair < best[0]):
-                            best = (pair, inside[low], inside[high])
-                        low += 1
-                if best:
-                    self._put(i, b)
-                    self._put(best[1], source)
-                    self._put(best[2], source)
-                    return True
+            gain = self.sizes[i] - pair
+            ok = (gain > 0) & (gain <= room_at) & (fill_at + gain > short)
+            if ok.any():
+                best = int(np.where(ok, gain, 0).argmax())
+                b = int(at[best])
+                self._put(i, b)
+                self._put(int(first[best]), source)
+                self._put(int(second[best]), source)
+                return True
         return False
 
 
-def pack(lengths: np.ndarray, capacity: int, steps_per_item: int = 2, sources: int = 16) -> list[list[int]]:
+def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of item numbers, improved by local search while more bins are used than the total needs.
 
-    A step takes one of the ``sources`` emptiest bins and makes the sum of squared
-    fills larger, so the search ends; ``steps_per_item`` bounds its length.
+    Sweeps go over all bins with room, the emptiest first, and exchange out of each
+    until nothing fits better.  An exchange makes the sum of squared fills larger, so
+    the search ends; it ends when a whole sweep finds none.
     """
     lengths = np.asarray(lengths, np.int64)
     if not len(lengths):
         return []
     bins = best_fit_decreasing(lengths, capacity)
     need = -(-int(lengths.sum()) // capacity)
-    if len(bins) > need:
-        search = _Search(lengths, bins, capacity)
-        for _ in range(steps_per_item * len(lengths)):
-            used = np.flatnonzero((search.fill > 0) & (search.fill < capacity))
-            if np.count_nonzero(search.fill) <= need or not any(search.step(b) for b in used[np.argsort(search.fill[used], kind="stable")][:sources].tolist()):
-                break
+    search = _Search(lengths, bins, capacity)
+    better = np.count_nonzero(search.fill) > need
+    while better:
+        better = False
+        used = np.flatnonzero((search.fill > 0) & (search.fill < capacity))
+        for b in used[np.argsort(search.fill[used], kind="stable")].tolist():
+            while 0 < search.fill[b] < capacity and search.step(b):
+                better = True
+            if search.fill[b] == 0 and np.count_nonzero(search.fill) <= need:
+                return [b for b in bins if b]
     return [b for b in bins if b]
 
 

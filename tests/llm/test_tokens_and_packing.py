@@ -89,6 +89,22 @@ def test_local_search_beats_best_fit():
     assert saved >= 10
 
 
+def test_search_ends_only_without_an_exchange():
+    lengths = np.random.default_rng(2).integers(820, 1500, 700)
+    bins = packing.pack(lengths, 4096)
+    fill = [int(lengths[b].sum()) for b in bins]
+    assert len(bins) > -(-int(lengths.sum()) // 4096)
+    for a, items in enumerate(bins):
+        if fill[a] == 4096:
+            continue
+        for b, others in enumerate(bins):
+            if a == b or fill[b] == 4096:
+                continue
+            back = [0, *lengths[others].tolist(), *(int(lengths[j] + lengths[k]) for n, j in enumerate(others) for k in others[:n])]
+            for x in lengths[items].tolist():
+                assert not any(0 < x - y <= 4096 - fill[b] and fill[b] + x - y > fill[a] for y in back), (a, b, x)
+
+
 def test_shards_get_each_length_evenly(spark, plain):
     docs = [(i, "the " * (39 if i % 2 else 23)) for i in range(800)]
     docs = [(i, t.strip()) for i, t in docs]
