@@ -1,7 +1,8 @@
 """Personal data: rules, and a skip-chain conditional random field for what the rules miss.
 
 Base findings follow four fixed rules.  The field's nodes are the tokens of a
-text that hold a digit or an at sign; its labels are the four kinds and none.
+text that hold a digit or an at sign (long ones are cut at characters that no
+finding can hold); its labels are the four kinds and none.
 Neighbouring nodes share a transition potential.  Nodes whose tokens are equal,
 or alike (the same last seven digits, or the same letters and digits), share an agreement potential however far
 apart they stand: each occurrence is joined to the next one, so a group of n
@@ -22,6 +23,7 @@ table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +50,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[^\s|,;<>\"'\[\]{}]+")
 _MARK = re.compile("[0-9@]")
+_PART = re.compile(r"[A-Za-z0-9._%+@()-]+")
+LONG = 200
 
 
 def luhn(digits: str) -> bool:
@@ -114,14 +118,23 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _nodes(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens; those of over ``LONG`` characters are cut where a character can't belong to a finding."""
+    for m in _TOKEN.finditer(text):
+        if m.end() - m.start() <= LONG:
+            yield m.span()
+        elif _MARK.search(m[0]):
+            yield from (p.span() for p in _PART.finditer(text, *m.span()))
+
+
 def graph(text: str) -> Graph | None:
-    spans = [s for m in _TOKEN.finditer(text) if _MARK.search(m[0]) and (s := _trimmed(text, *m.span()))[1] > s[0]]
+    spans = [s for a, b in _nodes(text) if _MARK.search(text, a, b) and (s := _trimmed(text, a, b))[1] > s[0]]
     if not spans:
         return None
     rows, chain, skip = [], [], []
     last: dict[tuple[str, str], int] = {}
     for i, (a, b) in enumerate(spans):
-        t = text[a : min(b, a + 200)]
+        t = text[a:b]
         digits = re.sub("[^0-9]", "", t)
         letters = sum(c.isalpha() for c in t)
         size = 0 if letters else len(digits)

@@ -191,3 +191,10 @@ def test_threshold_holds_the_recall():
     assert net.recall >= 0.98 and abs(net.precision - worst[took].mean()) < 1e-9
     found = S.spans(["pwd hunter2xyz9Q"], S.fit(["the of and to in is that it was for on are as with"] * 3))
     assert found == [[(4, 16, "model")]]
+
+
+def test_long_tokens_are_read_whole():
+    text = "語" * 300 + "(482)555-7163" + "語" * 300 + "(482)555-7163"
+    g = P.graph(text)
+    assert [text[a:b] for a, b in g.spans] == ["(482)555-7163"] * 2 and g.skip.tolist() == [[0, 1]]
+    assert not len(P.graph("1" + "a" * 250 + "x 1" + "a" * 250 + "y").skip)
