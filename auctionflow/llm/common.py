@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only where that is unset and all runs on it (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="auctionflow-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -44,6 +46,25 @@ def own_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: A key of fewer rows is never dealt over several tasks; keys that are, number at most this many.
+LEAST_HOT, MOST_HOT = 256, 100_000
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small`` (one row a key, ``size``: how many of ``rows`` have it), a hot key's rows over many tasks.
+
+    Keys of over ``total / MOST_HOT`` rows (``LEAST_HOT`` at least) are hot: there
+    are at most ``MOST_HOT`` of them, so their number of parts is broadcast.  Their rows are
+    dealt by a hash over the parts, and the row of ``small`` is repeated for each part.
+    """
+    most = max(LEAST_HOT, total // MOST_HOT)
+    hot = F.broadcast(small.where(F.col(size) > most).select(*key, F.ceil(F.col(size) / most).cast("int").alias("_parts")))
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part")
+    dealt = rows.join(hot, key, "left").select(*rows.columns, part)
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, F.ceil(F.col(size) / most) - 1).otherwise(0).cast("int"))).alias("_part")
+    return dealt.join(small.select("*", copies), [*key, "_part"], how).drop("_part")
+
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -12,12 +12,13 @@ In a shard the nodes form a BK-tree: a child hangs at the Hamming distance from
 its parent, and a search follows only edges whose distance is within the radius
 of the distance to the parent.  Trees of many shards are built and searched
 level by level in numpy.  A shard of over ``tree_nodes`` nodes is dealt into
-several trees, and each pair of its parts is a task of its own.  A task hands
+several trees, and each pair of its parts is a cell of its own.  A task hands
 on stars (node, smallest node linked in this shard), never pairs.
 
 Components follow by alternating star contraction (each node takes the least of
 its neighbours, in turns among the smaller and the larger ones) until nothing
-changes; every round is written to the shared folder.
+changes; every round is written to the shared folder.  Joins on a node, a
+fingerprint or a shard deal the rows of a hot key over many tasks.
 
 Null and empty texts have fingerprint zero and are linked like others.  Rows
 that repeat a doc_id are one node of the graph: their texts are linked.  Rows
@@ -34,11 +35,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from . import textbytes as tb
+from .common import spread_join
 
 PRINTS = "doc_id bigint, fp bigint"
 LINKS = "a bigint, b bigint"
@@ -123,8 +125,9 @@ class Forest:
         order = np.argsort(keys := np.concatenate(keys))
         self.keys, self.nodes = keys[order], np.concatenate(nodes)[order]
 
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) within the radius, in portions."""
+    def search(self, queries: np.ndarray, radius: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) within the radius (of each node, if it is an array), in portions."""
+        radius = np.broadcast_to(radius, len(self.codes))
         stack = [(queries, self.root[queries])]
         while stack:
             q, at = stack.pop()
@@ -133,11 +136,12 @@ class Forest:
                 stack += [(q[:half], at[:half]), (q[half:], at[half:])]
                 continue
             d = np.bitwise_count(self.codes[q] ^ self.codes[at]).astype(np.int64)
-            near = (d <= radius) & (q != at)
+            r = radius[q]
+            near = (d <= r) & (q != at)
             if near.any():
                 yield q[near], at[near]
-            low = np.searchsorted(self.keys, at * 65 + np.maximum(d - radius, 1))
-            n = np.searchsorted(self.keys, at * 65 + np.minimum(d + radius, 64), "right") - low
+            low = np.searchsorted(self.keys, at * 65 + np.maximum(d - r, 1))
+            n = np.searchsorted(self.keys, at * 65 + np.minimum(d + r, 64), "right") - low
             if n.any():
                 stack.append((np.repeat(q, n), self.nodes[tb.ragged(low, n)]))
 
@@ -200,33 +204,43 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield from portion(held)
 
 
+def cells(rows: DataFrame, key: list[str], size: Column, most: int, total: int) -> DataFrame:
+    """``rows`` (with ``rep``) of each key in tasks of at most about two times ``most``: columns i, j and side are added.
+
+    A key with ``size`` (summed over its rows) of over ``most`` is cut into parts,
+    and each pair of parts (i <= j) is a cell, so that any two rows of a key meet in one.
+    side: 2 in a cell of one part, else 0 for part i and 1 for part j.
+    """
+    parts = F.ceil(F.col("weight") / most).cast("int")
+    large = rows.groupBy(*key).agg(F.sum(size).alias("weight"), F.count(F.lit(1)).alias("rows")).where(F.col("weight") > most).select(*key, parts.alias("parts"), "rows")
+    rows = spread_join(rows, large, key, "rows", total, "left").drop("rows").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    of_parts = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct(F.least(o, F.col("part")).cast("int").alias("i"), F.greatest(o, F.col("part")).cast("int").alias("j"), F.when(o == F.col("part"), 2).when(o > F.col("part"), 0).otherwise(1).alias("side")),
+    )
+    return rows.withColumn("part", own).withColumn("cell", F.explode(of_parts)).select(*(c for c in rows.columns if c != "parts"), "cell.i", "cell.j", "cell.side")
+
+
 def node_links(nodes: DataFrame, radius: int = 4, tree_nodes: int = 4096) -> DataFrame:
     """Stars (a > b) among ``nodes`` (fp, rep) that connect all within the radius."""
-    masks = bands(nodes.count(), radius)
+    n = nodes.count()
+    masks = bands(n, radius)
     keys = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for c, m in enumerate(masks)))).alias("k")
     shards = nodes.select("fp", "rep", keys).select("k.c", "k.key", "fp", "rep")
-    large = shards.groupBy("c", "key").count().where(F.col("count") > tree_nodes)
-    large = large.select("c", "key", F.ceil(F.col("count") / tree_nodes).cast("int").alias("parts"))
-    shards = shards.join(large, ["c", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # part p is the tree of the tasks (p, p..) and is searched for in the tasks (..p, p)
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(F.least(o, F.col("part")).cast("int").alias("i"), F.greatest(o, F.col("part")).cast("int").alias("j"), F.when(o == F.col("part"), 2).when(o > F.col("part"), 0).otherwise(1).alias("side")),
-    )
-    shards = shards.withColumn("part", part).select("c", "key", "fp", "rep", F.explode(cells).alias("t")).select("c", "key", "t.i", "t.j", "t.side", "fp", "rep")
+    dealt = cells(shards, ["c", "key"], F.lit(1), tree_nodes, n * len(masks)).select("c", "key", "i", "j", "side", "fp", "rep")
     tree_first = (F.col("side") == 1).cast("int")
-    return shards.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", tree_first).mapInArrow(lambda it: _links(it, radius), LINKS)
+    return dealt.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", tree_first).mapInArrow(lambda it: _links(it, radius), LINKS)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, b): the smallest member b of the component of each linked a, itself left out."""
 
-    def stars(edges: DataFrame, larger: bool) -> DataFrame:
+    def stars(edges: DataFrame, larger: bool, n: int) -> DataFrame:
         """One contraction; ``larger``: every neighbour above a node goes to the least of its neighbourhood, else those below."""
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("a", "m"))
+        joined = spread_join(both, least, ["a"], "degree", 2 * n)  # a hub has a neighbour for each member of its group
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -234,30 +248,25 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = common.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = mark(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        edges = common.cut(stars(stars(edges, True), False))
-        if (now := mark(edges)) == seen:
-            return edges
+    seen, now = None, mark(edges)
+    while now[0] and now != seen:
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        edges = common.cut(stars(stars(edges, True, now[0]), False, now[0]))
+        now = mark(edges)
     return edges
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, tree_nodes: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id linked, itself included)."""
     prints = common.cut(fingerprints(docs, k))
-    nodes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = node_links(nodes.where("rep is not null"), radius, tree_nodes)
+    nodes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    linked = node_links(nodes.where("rep is not null").select("fp", "rep"), radius, tree_nodes)
     # a doc_id with several texts is one document: its fingerprints are linked
     several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    repeated = prints.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes, "fp").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    repeated = prints.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes.select("fp", "rep"), "fp").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(linked.unionAll(repeated))
-    nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("fp", F.coalesce("b", "rep").alias("component_id"))
-    own = prints.join(nodes, "fp", "left")
+    nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("fp", "copies", F.coalesce("b", "rep").alias("component_id"))
+    own = spread_join(prints, nodes, ["fp"], "copies", prints.count())
     return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,19 +1,25 @@
-"""Near copies by word shingles: all documents whose sets of shingles have a Jaccard similarity of at least ``least``.
-
-No fingerprint stands between: candidates come from prefixes.  With the
-shingles of all documents in one order, two sets of similarity t share a
-shingle among the first n - ceil(t n) + 1 of each, so no pair is missed.  The
-order puts shingles that are common in a sample last, which keeps the lists of
-documents of a shingle short; any order gives the same result.
-
-Equal sets are one node.  Nodes are first compared with the first node of each
-list they are in; once these links have been followed, the remaining pairs of a
-list that are in different components yet are compared too.  The comparison is
-exact, over whole sets; 64 counts of each set rule most other pairs out before that.
-
-Null and empty texts have the empty set and are linked with each other.  Rows
-that repeat a doc_id are one document: their texts are linked.  Rows without
-doc_id bridge nothing and have no component.  Other columns are ignored.
+"""SimHash near-dedup of texts: all pairs whose sets of word shingles have a Jaccard similarity of at least ``least``.
+
+Fingerprints and BK-trees are those of ``near_duplicates``; here they bring up
+candidates, and whole sets decide.  Fingerprints of sets of similarity 0.8
+differ in about ten bits, a radius at which shards keyed by bits would hold
+everything.  Shards are keyed by shingles instead: with the shingles of all
+documents in one order, two sets of similarity t share a shingle among the first
+n - ceil(t n) + 1 of each, so every similar pair meets in a shard.  The order puts
+shingles that are common in a sample last, which keeps shards small; any order
+gives the same result.  A BK-tree of each shard, searched within ``radius``
+bits (sets of under ``SMALL`` shingles: within any), tells which members have a candidate.
+
+A member then takes its whole set to the ``picks`` shards where it has most
+candidates, and there each candidate pair whose members are not linked yet is compared
+exactly.  Pairs that met in no common pick and are not linked by then are few; each is
+compared in a shard of its own.  Large shards are cut into cells, so no task holds
+a whole one; a task hands on stars, never pairs of a group.
+
+Equal sets are one node.  Null and empty texts have the empty set and are linked
+with each other.  Rows that repeat a doc_id are one document: their texts are
+linked.  Rows without doc_id bridge nothing and have no component.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .near_duplicates import components, shingle_hashes
+from . import textbytes as tb
+from .common import spread_join
+from .near_duplicates import Forest, cells, components, majority, shingle_hashes
 
-PREFIXES = "doc_id bigint, sig bigint, n int, bins binary, prefix array<bigint>"
-BINNED = "a bigint, b bigint, n int, n2 int, bins binary, bins2 binary"
+PREFIXES = "doc_id bigint, sig bigint, n int, fp bigint, prefix array<bigint>"
+LIVE = "h bigint, rep bigint, n int, fp bigint, found bigint"
 PAIRS = "a bigint, b bigint"
-SETS = "doc_id bigint, shingles array<bigint>"
-SHARED = "h bigint, rep bigint, n int, lead bigint, lead_n int"
+SETS = "doc_id bigint, sig bigint, shingles array<bigint>"
+#: Sets of fewer shingles are candidates at any distance: few shingles scatter the bits of a fingerprint.
+SMALL = 24
+#: Members of a cell of a tree, and shingles of a cell whose sets are compared.
+TREE_NODES, CELL_SHINGLES = 4096, 500_000
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -46,8 +57,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])], pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _signature(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 5)
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    return common.map_text(docs.select("doc_id", "text"), SETS, lambda batch: {"doc_id": batch.column(0), "shingles": _lists([shingle_set(t, k) for t in common.texts(batch)])})
+    def work(batch: pa.RecordBatch) -> dict[str, object]:
+        sets = [shingle_set(t, k) for t in common.texts(batch)]
+        return {"doc_id": batch.column(0), "sig": np.array([_signature(s) for s in sets], np.uint64).view(np.int64), "shingles": _lists(sets)}
+
+    return common.map_text(docs.select("doc_id", "text"), SETS, work)
 
 
 def common_shingles(docs: DataFrame, k: int, sample: int = 16_000, at_least: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -68,151 +87,195 @@ def in_order(shingles: np.ndarray, late: tuple[np.ndarray, np.ndarray]) -> np.nd
     return shingles[np.argsort(np.where(known[at] == shingles, counts[at], 0), kind="stable")]
 
 
-def bins(shingles: np.ndarray) -> bytes:
-    """How many shingles have each value of their top six bits, at most 255: sets differ in at least as many as these counts do."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
-
-
-def _possible(n: np.ndarray, n2: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of these sizes and counts can be similar: J = (n + n2 - d) / (n + n2 + d) for a symmetric difference of d."""
-    differ = np.abs(x - y).sum(axis=1, dtype=np.int64)
-    return (n + n2 - differ) >= least * (n + n2 + differ) - 1e-9
-
-
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 64).astype(np.int16)
-
-
-def _may_be_alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their counts, those that the counts don't rule out."""
-    schema = common.arrow_schema(PAIRS)
-    for batch in batches:
-        a, b, n, n2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        keep = _possible(n, n2, _counts(batch.column(4)), _counts(batch.column(5)), least)
-        yield common.to_batch({"a": a[keep], "b": b[keep]}, schema)
-
-
-def _list_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, rep, n, label, bins) sorted by h; pairs of a list with different labels that the counts don't rule out."""
-    schema = common.arrow_schema(PAIRS)
-
-    def portion(h, rep, n, label, x) -> Iterator[pa.RecordBatch]:
-        cuts = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
-        found = [np.zeros((0, 2), np.int64)]
-        held = 0
-        for a, b in zip(cuts, cuts[1:]):
-            block = max(1, 1_000_000 // max(1, b - a))
-            for i in range(a, b, block):
-                j = min(b, i + block)
-                low, high = np.minimum(n[i:j, None], n[None, a:b]), np.maximum(n[i:j, None], n[None, a:b])
-                p, q = np.nonzero((rep[i:j, None] > rep[None, a:b]) & (label[i:j, None] != label[None, a:b]) & (low >= least * high - 1e-9))
-                for c in range(0, len(p), 100_000):
-                    u, v = p[c : c + 100_000] + i, q[c : c + 100_000] + a
-                    keep = _possible(n[u], n[v], x[u], x[v], least)
-                    found.append(np.stack([rep[u[keep]], rep[v[keep]]], axis=1))
-                    held += len(found[-1])
-            if held > 500_000:
-                rows = np.unique(np.concatenate(found), axis=0)
-                found, held = [np.zeros((0, 2), np.int64)], 0
-                yield common.to_batch({"a": rows[:, 0], "b": rows[:, 1]}, schema)
-        rows = np.unique(np.concatenate(found), axis=0)
-        yield common.to_batch({"a": rows[:, 0], "b": rows[:, 1]}, schema)
-
-    def numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)), _counts(batch.column(4))]
-
-    for cols in _whole_lists(numbers(b) for b in batches if b.num_rows):
-        yield from portion(*cols)
-
-
-def _whole_lists(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-    """Columns sorted by the first, cut where its value changes only."""
-    held: list[list[np.ndarray]] = []
-    for cols in parts:
-        if held and held[0][0][0] == cols[0][-1]:  # one list goes on
-            held.append(cols)
-            continue
-        cols = [np.concatenate(x) for x in zip(*held, cols)]
-        stop = int(np.searchsorted(cols[0], cols[0][-1]))
-        if stop:
-            yield [x[:stop] for x in cols]
-        held = [[x[stop:] for x in cols]]
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
 def prefixes(docs: DataFrame, k: int, least: float, late: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     late = docs.sparkSession.sparkContext.broadcast(late)
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         sets = [shingle_set(t, k) for t in common.texts(batch)]
-        heads = []
-        for s in sets:
-            heads.append(in_order(s, late.value)[: len(s) - math.ceil(least * len(s) - 1e-9) + 1])
-        sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), 5) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": batch.column(0), "sig": sig, "n": [len(s) for s in sets], "bins": [bins(s) for s in sets], "prefix": _lists(heads)}
+        heads = [in_order(s, late.value)[: len(s) - math.ceil(least * len(s) - 1e-9) + 1] for s in sets]
+        sig = np.array([_signature(s) for s in sets], np.uint64).view(np.int64)
+        bounds = np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)]
+        fp = majority(np.concatenate(sets) if sets else np.zeros(0, np.uint64), bounds).view(np.int64)
+        return {"doc_id": batch.column(0), "sig": sig, "n": np.diff(bounds).astype(np.int32), "fp": fp, "prefix": _lists(heads)}
 
     return common.map_text(docs.select("doc_id", "text"), PREFIXES, work)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, rep, n) sorted; those whose h has several, with the first of the h."""
-    schema = common.arrow_schema(SHARED)
-
-    def portion(h: np.ndarray, rep: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.r_[first, len(h)])
-        lead = np.repeat(first, size)
-        keep = np.repeat(size > 1, size)
-        return common.to_batch({"h": h[keep], "rep": rep[keep], "n": n[keep], "lead": rep[lead][keep], "lead_n": n[lead][keep]}, schema)
-
-    for cols in _whole_lists([x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches if b.num_rows):
-        yield portion(*cols)
-
-
-def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id linked, itself included), a row for each document with an id."""
+def _whole_cells(batches: Iterator[pa.RecordBatch], most: int, weight: str | None = None) -> Iterator[pa.Table]:
+    """Rows sorted by (h, i, j) in portions of whole cells, of about ``most`` rows, or ``most`` in the sum of ``weight``."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows if weight is None else int(batch.column(batch.schema.get_field_index(weight)).to_numpy().sum())
+        if n < most:
+            continue
+        rows = pa.Table.from_batches(held)
+        h, i, j = (rows.column(c).to_numpy() for c in ("h", "i", "j"))
+        changed = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        if len(changed):
+            yield rows.slice(0, stop := int(changed[-1]) + 1)
+            held = rows.slice(stop).to_batches()
+            n = sum(x.num_rows if weight is None else int(x.column(x.schema.get_field_index(weight)).to_numpy().sum()) for x in held)
+    if held and (rows := pa.Table.from_batches(held)).num_rows:
+        yield rows
+
+
+def _candidates(rows: pa.Table, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, row) of a cell whose fingerprints and sizes let them be similar, each once."""
+    h, i, j, side, rep, n, fp = (rows.column(c).to_numpy() for c in ("h", "i", "j", "side", "rep", "n", "fp"))
+    group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) - 1
+    forest = Forest(fp.view(np.uint64), group, side != 1)
+    for q, at in forest.search(np.flatnonzero(side != 0), np.where(n < SMALL, 64, radius)):
+        # a cell of two parts has each pair once, but its root may be of the searching part if the other has no row
+        once = np.where(side[q] == 2, q > at, side[at] == 0)
+        fit = once & (rep[q] != rep[at]) & (np.minimum(n[q], n[at]) >= least * np.maximum(n[q], n[at]) - 1e-9)
+        yield q[fit], at[fit]
+
+
+def _live(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (h, i, j, side, rep, n, fp); those that have candidates, with their number."""
+    schema = common.arrow_schema(LIVE)
+    for rows in _whole_cells(batches, 200_000):
+        found = np.zeros(rows.num_rows, np.int64)
+        for pair in _candidates(rows, radius, least):
+            for x in pair:
+                found += np.bincount(x, minlength=len(found))
+        keep = found > 0
+        yield common.to_batch({**{c: rows.column(c).to_numpy()[keep] for c in ("h", "rep", "n", "fp")}, "found": found[keep]}, schema)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (h, i, j, side, rep, n, fp, shingles); stars of reps whose sets are similar."""
+    schema = common.arrow_schema(PAIRS)
+    for rows in _whole_cells(batches, 2 * CELL_SHINGLES, "n"):
+        lists = rows.column("shingles").combine_chunks()
+        n, rep = np.diff(lists.offsets.to_numpy()).astype(np.int64), rows.column("rep").to_numpy()
+        bounds = np.r_[0, np.cumsum(n)]
+        ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        mine = np.zeros(len(ids), bool)
+        label = np.arange(len(n))
+
+        def tops(x: np.ndarray) -> np.ndarray:
+            while ((up := label[x]) != x).any():
+                x = up
+            return x
+
+        for q, at in _candidates(rows, radius, least):
+            order = np.argsort(q, kind="stable")
+            q, at = q[order], at[order]
+            cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True]) if len(q) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                x, others = int(q[a]), at[a:b]
+                own = int(tops(q[a : a + 1])[0])
+                others = others[tops(others) != own]  # those not linked yet
+                if not len(others):
+                    continue
+                mine[set_x := ids[bounds[x] : bounds[x + 1]]] = True
+                size = n[others]
+                hits = np.r_[0, np.cumsum(mine[ids[tb.ragged(bounds[others], size)]])]
+                ends = np.cumsum(size)
+                shared = hits[ends] - hits[ends - size]
+                mine[set_x] = False
+                alike = others[shared >= least * (n[x] + size - shared) - 1e-9]
+                if len(alike):
+                    joined = np.r_[own, tops(alike)]
+                    label[joined] = joined.min()
+        top = tops(np.arange(len(n)))
+        smallest = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, top, rep)
+        linked = rep != smallest[top]
+        yield common.to_batch({"a": rep[linked], "b": smallest[top][linked]}, schema)
+
+
+def _apart(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (h, i, j, side, rep, n, fp, label, picks) by cell; candidate pairs that have different labels and no pick in common."""
+    schema = common.arrow_schema(PAIRS)
+    for rows in _whole_cells(batches, 200_000):
+        rep, label = rows.column("rep").to_numpy(), rows.column("label").to_numpy()
+        lists = rows.column("picks").combine_chunks()
+        width = np.diff(lists.offsets.to_numpy())
+        picks = np.full((rows.num_rows, max(1, int(width.max()))), 0, np.int64)
+        taken = np.arange(picks.shape[1]) < width[:, None]
+        picks[taken] = lists.flatten().to_numpy()
+        for q, at in _candidates(rows, radius, least):
+            open_ = label[q] != label[at]
+            q, at = q[open_], at[open_]
+            met = np.zeros(len(q), bool)
+            for s in range(picks.shape[1]):
+                for t in range(picks.shape[1]):
+                    met |= (picks[q, s] == picks[at, t]) & taken[q, s] & taken[at, t]
+            a, b = rep[q[~met]], rep[at[~met]]
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            yield common.to_batch({"a": pairs[:, 0], "b": pairs[:, 1]}, schema)
+
+
+def _by_cell(placed: DataFrame) -> DataFrame:
+    """Rows with h, i, j and side in the tasks of their cells, tree members first."""
+    return placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", (F.col("side") == 1).cast("int"), "rep")
+
+
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = 24, picks: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id linked, itself included), a row for each document with an id.
+
+    Members of up to ``broadcast_rows`` rows (some tens of MB) are broadcast to the
+    scan that reads their texts; more are joined by a shuffle.
+    """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     heads = common.cut(prefixes(docs, k, least, common_shingles(docs, k)))
-    nodes = common.cut(heads.groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    own = heads.join(nodes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi")
-    counts = common.cut(own.select(F.col("doc_id").alias("rep"), "n", "bins"))
-    postings = own.select(F.explode("prefix").alias("h"), F.col("doc_id").alias("rep"), "n")
-    shared = common.cut(postings.repartition("h").sortWithinPartitions("h", "rep").mapInArrow(_shared, SHARED))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose sets are similar."""
-        pairs = common.cut(pairs.distinct())
-        ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        sets = common.cut(shingle_sets(docs.join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, "doc_id", "left_semi"), k))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return common.cut(both.where(same >= F.lit(least) * (F.size("x") + F.size("y") - same) - F.lit(1e-9)).select("a", "b"))
-
-    def sizes(m: str, n: str):
-        return F.least(m, n) >= F.lit(least) * F.greatest(m, n) - F.lit(1e-9)
-
-    x, y = counts.select(F.col("rep").alias("a"), "n", "bins"), counts.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("bins").alias("bins2"))
-    led = shared.where("rep <> lead").where(sizes("n", "lead_n")).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    led = led.join(x, "a").join(y, "b").select(*(c.split()[0] for c in BINNED.split(", ")))
-    first = alike(led.mapInArrow(lambda it: _may_be_alike(it, least), PAIRS))
+    nodes = common.cut(heads.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    own = heads.join(nodes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
+    postings = own.select(F.explode("prefix").alias("h"), "rep")
+    several = common.cut(postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    total = several.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shared = spread_join(postings, several, ["h"], "size", total).select("h", "rep").distinct()
+    shared = common.cut(shared.join(own.select("rep", "sig", "n", "fp").distinct(), "rep"))
+
+    columns = ["h", "i", "j", "side", "rep", "n", "fp"]
+    placed = cells(shared, ["h"], F.lit(1), TREE_NODES, total).select(columns)
+    live = _by_cell(placed).mapInArrow(lambda it: _live(it, radius, least), LIVE)
+    live = common.cut(live.groupBy("h", "rep", "n", "fp").agg(F.sum("found").alias("found")))
+    ranked = F.sort_array(F.collect_list(F.struct("found", "h")), asc=False)  # no more than a document's prefix has shingles
+    chosen = common.cut(live.groupBy("rep").agg(F.transform(F.slice(ranked, 1, picks), lambda x: x["h"]).alias("picks")))
+    facts = shared.select("rep", "sig", "n", "fp").distinct()
+
+    def compare(members: DataFrame) -> DataFrame:
+        """Stars among those of ``members`` (h, rep, n) that share an h and have similar sets."""
+        placed = cells(members, ["h"], F.col("n") + 1, CELL_SHINGLES, total)
+        where = placed.groupBy("rep").agg(F.collect_list(F.struct("h", "i", "j", "side")).alias("where"))
+        where = common.cut(where.join(facts, "rep").withColumnRenamed("rep", "doc_id"))
+        small = where.count() <= broadcast_rows
+        ids = where.select("doc_id")
+        sets = shingle_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k)
+        if repeated_rows:
+            sets = sets.dropDuplicates(["doc_id", "sig"])
+        rows = sets.join(F.broadcast(where) if small else where, ["doc_id", "sig"]).select(F.col("doc_id").alias("rep"), "n", "fp", "shingles", F.explode("where").alias("c"))
+        rows = _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles").select(*columns, "shingles"))
+        return common.cut(rows.mapInArrow(lambda it: _compared(it, radius, least), PAIRS).distinct())
+
+    repeated_rows = own.count() > nodes.count()
+    first = compare(chosen.select("rep", F.explode("picks").alias("h")).join(facts.select("rep", "n"), "rep").select("h", "rep", "n"))
     label = components(first)
-    rest = shared.select("h", "rep", "n").join(label, shared["rep"] == label["a"], "left").select("h", "rep", "n", F.coalesce("b", "rep").alias("label"))
-    open_lists = rest.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high and many > 2").select("h")
-    rest = rest.join(open_lists, "h", "left_semi").join(counts.select("rep", "bins"), "rep").select("h", "rep", "n", "label", "bins")
-    second = alike(rest.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _list_pairs(it, least), PAIRS))
+    rest = live.join(chosen, "rep").join(label.select(F.col("a").alias("rep"), "b"), "rep", "left").select("h", "rep", "n", "fp", F.coalesce("b", "rep").alias("label"), "picks")
+    open_lists = rest.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("h", "size")
+    rest = spread_join(rest, open_lists, ["h"], "size", total).drop("size")
+    placed = _by_cell(cells(rest, ["h"], F.lit(1), TREE_NODES, total).select(*columns, "label", "picks"))
+    pairs = common.cut(placed.mapInArrow(lambda it: _apart(it, radius, least), PAIRS).distinct())
+    members = pairs.select(F.col("b").alias("h"), F.explode(F.array("a", "b")).alias("rep")).distinct()
+    second = compare(members.join(facts.select("rep", "n"), "rep").select("h", "rep", "n"))
     # a doc_id with several texts is one document: its sets are linked
-    several = heads.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y")
-    repeated = heads.select("doc_id", "sig").join(several.select("doc_id"), "doc_id", "left_semi").join(nodes, "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    of = heads.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y")
+    repeated = heads.select("doc_id", "sig").join(of.select("doc_id"), "doc_id", "left_semi").join(nodes, "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(first.unionAll(second).unionAll(repeated))
-    nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("sig", F.coalesce("b", "rep").alias("component_id"))
-    return heads.select("doc_id", "sig").join(nodes, "sig").select("doc_id", "component_id")
+    nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("sig", "copies", F.coalesce("b", "rep").alias("component_id"))
+    return spread_join(heads.select("doc_id", "sig"), nodes, ["sig"], "copies", heads.count()).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, broadcast_ids: int = 2_000_000, **options) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; rows without an id stay.
 
-    The ids that go are broadcast if they are at most ``broadcast_ids``, as in near_duplicates.
+    Rows that repeat that doc_id all stay.  The ids that go are broadcast if they are at
+    most ``broadcast_ids``, as in near_duplicates.
     """
     others = common.cut(similar_components(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
     few = others.count() <= broadcast_ids

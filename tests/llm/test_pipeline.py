@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline
 from test_findings import brute_private
-from test_near_duplicates import brute_components, brute_print
+from test_similar_texts import brute_kept
 
 from auctionflow.llm import common, toxicity
 from test_decontamination import brute as brute_contaminated
@@ -24,8 +24,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             bad = {r["doc_id"] for r in toxicity.score(before, common.table(spark, sf_dir, "labels")).where("predicted = 1").collect()}
             assert set(kept) == set(rows) - bad
         elif name == "near_duplicates":
-            nodes = sorted((d, brute_print(t)) for d, t in rows.items())
-            assert sorted(kept) == sorted(set(brute_components(nodes)))
+            assert sorted(kept) == brute_kept(list(rows.items()))
         elif name == "decontamination":
             assert set(kept) == {d for d, x in brute_contaminated(list(rows.items()), bench).items() if not x[4]}
         elif name == "private_data":
