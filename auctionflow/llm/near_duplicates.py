@@ -44,6 +44,7 @@ from .common import spread_join
 
 PRINTS = "doc_id bigint, fp bigint"
 LINKS = "a bigint, b bigint"
+HUB_PARTS = 8
 #: byte -> eight counters of one byte each
 _LANES = np.zeros(256, np.uint64)
 for _bit in range(8):
@@ -204,7 +205,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield from portion(held)
 
 
-def cells(rows: DataFrame, key: list[str], size: Column, most: int, total: int) -> DataFrame:
+def cells(rows: DataFrame, key: list[str], size: Column, most: int) -> DataFrame:
     """``rows`` (with ``rep``) of each key in tasks of at most about two times ``most``: columns i, j and side are added.
 
     A key with ``size`` (summed over its rows) of over ``most`` is cut into parts,
@@ -212,8 +213,8 @@ def cells(rows: DataFrame, key: list[str], size: Column, most: int, total: int)
     side: 2 in a cell of one part, else 0 for part i and 1 for part j.
     """
     parts = F.ceil(F.col("weight") / most).cast("int")
-    large = rows.groupBy(*key).agg(F.sum(size).alias("weight"), F.count(F.lit(1)).alias("rows")).where(F.col("weight") > most).select(*key, parts.alias("parts"), "rows")
-    rows = spread_join(rows, large, key, "rows", total, "left").drop("rows").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = rows.groupBy(*key).agg(F.sum(size).alias("weight")).where(F.col("weight") > most).select(*key, parts.alias("parts"))
+    rows = rows.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # few keys are large
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     of_parts = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -224,11 +225,10 @@ def cells(rows: DataFrame, key: list[str], size: Column, most: int, total: int)
 
 def node_links(nodes: DataFrame, radius: int = 4, tree_nodes: int = 4096) -> DataFrame:
     """Stars (a > b) among ``nodes`` (fp, rep) that connect all within the radius."""
-    n = nodes.count()
-    masks = bands(n, radius)
+    masks = bands(nodes.count(), radius)
     keys = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for c, m in enumerate(masks)))).alias("k")
     shards = nodes.select("fp", "rep", keys).select("k.c", "k.key", "fp", "rep")
-    dealt = cells(shards, ["c", "key"], F.lit(1), tree_nodes, n * len(masks)).select("c", "key", "i", "j", "side", "fp", "rep")
+    dealt = cells(shards, ["c", "key"], F.lit(1), tree_nodes).select("c", "key", "i", "j", "side", "fp", "rep")
     tree_first = (F.col("side") == 1).cast("int")
     return dealt.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", tree_first).mapInArrow(lambda it: _links(it, radius), LINKS)
 
@@ -236,11 +236,15 @@ def node_links(nodes: DataFrame, radius: int = 4, tree_nodes: int = 4096) -> Dat
 def components(links: DataFrame) -> DataFrame:
     """(a, b): the smallest member b of the component of each linked a, itself left out."""
 
-    def stars(edges: DataFrame, larger: bool, n: int) -> DataFrame:
-        """One contraction; ``larger``: every neighbour above a node goes to the least of its neighbourhood, else those below."""
+    def stars(edges: DataFrame, larger: bool) -> DataFrame:
+        """One contraction; ``larger``: every neighbour above a node goes to the least of its neighbourhood, else those below.
+
+        A hub has a neighbour for each member of its group: its edges are dealt over ``HUB_PARTS`` keys.
+        """
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("a", "m"))
-        joined = spread_join(both, least, ["a"], "degree", 2 * n)  # a hub has a neighbour for each member of its group
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        copies = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part"))
+        joined = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int")).join(copies, ["a", "part"])
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -251,7 +255,7 @@ def components(links: DataFrame) -> DataFrame:
     seen, now = None, mark(edges)
     while now[0] and now != seen:
         seen = now
-        edges = common.cut(stars(stars(edges, True, now[0]), False, now[0]))
+        edges = common.cut(stars(stars(edges, True), False))
         now = mark(edges)
     return edges
 

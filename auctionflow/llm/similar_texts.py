@@ -10,11 +10,11 @@ shingles that are common in a sample last, which keeps shards small; any order
 gives the same result.  A BK-tree of each shard, searched within ``radius``
 bits (sets of under ``SMALL`` shingles: within any), tells which members have a candidate.
 
-A member then takes its whole set to the ``picks`` shards where it has most
+A member takes its whole set to the ``picks`` shards where it has most
 candidates, and there each candidate pair whose members are not linked yet is compared
-exactly.  Pairs that met in no common pick and are not linked by then are few; each is
-compared in a shard of its own.  Large shards are cut into cells, so no task holds
-a whole one; a task hands on stars, never pairs of a group.
+exactly.  Candidates without a common pick are few; they meet in a shard of the
+smaller one.  Large shards are cut into cells, so no task holds a whole one; a
+task hands on stars, never pairs of a group.
 
 Equal sets are one node.  Null and empty texts have the empty set and are linked
 with each other.  Rows that repeat a doc_id are one document: their texts are
@@ -39,7 +39,8 @@ from .common import spread_join
 from .near_duplicates import Forest, cells, components, majority, shingle_hashes
 
 PREFIXES = "doc_id bigint, sig bigint, n int, fp bigint, prefix array<bigint>"
-LIVE = "h bigint, rep bigint, n int, fp bigint, found bigint"
+LIVE = "h bigint, rep bigint, sig bigint, n int, fp bigint, found bigint"
+FACTS = ["sig", "n", "fp"]
 PAIRS = "a bigint, b bigint"
 SETS = "doc_id bigint, sig bigint, shingles array<bigint>"
 #: Sets of fewer shingles are candidates at any distance: few shingles scatter the bits of a fingerprint.
@@ -69,7 +70,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return common.map_text(docs.select("doc_id", "text"), SETS, work)
 
 
-def common_shingles(docs: DataFrame, k: int, sample: int = 16_000, at_least: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, k: int, sample: int = 4_000, at_least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles of at least ``at_least`` documents of a sample, with their counts; bounded by the sample's size, used for the order only."""
     part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, docs.count() // sample))) == 0).where(F.octet_length("text") < 100_000)
     found = shingle_sets(part, k).select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= at_least).collect()
@@ -134,7 +135,7 @@ def _candidates(rows: pa.Table, radius: int, least: float) -> Iterator[tuple[np.
 
 
 def _live(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, i, j, side, rep, n, fp); those that have candidates, with their number."""
+    """Rows (h, i, j, side, rep, sig, n, fp); those that have candidates, with their number."""
     schema = common.arrow_schema(LIVE)
     for rows in _whole_cells(batches, 200_000):
         found = np.zeros(rows.num_rows, np.int64)
@@ -142,7 +143,7 @@ def _live(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Itera
             for x in pair:
                 found += np.bincount(x, minlength=len(found))
         keep = found > 0
-        yield common.to_batch({**{c: rows.column(c).to_numpy()[keep] for c in ("h", "rep", "n", "fp")}, "found": found[keep]}, schema)
+        yield common.to_batch({**{c: rows.column(c).to_numpy()[keep] for c in ("h", "rep", "sig", "n", "fp")}, "found": found[keep]}, schema)
 
 
 def _compared(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -189,18 +190,15 @@ def _compared(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> I
 
 
 def _apart(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, i, j, side, rep, n, fp, label, picks) by cell; candidate pairs that have different labels and no pick in common."""
+    """Rows (h, i, j, side, rep, n, fp, picks); candidate pairs that have no pick in common."""
     schema = common.arrow_schema(PAIRS)
     for rows in _whole_cells(batches, 200_000):
-        rep, label = rows.column("rep").to_numpy(), rows.column("label").to_numpy()
-        lists = rows.column("picks").combine_chunks()
+        rep, lists = rows.column("rep").to_numpy(), rows.column("picks").combine_chunks()
         width = np.diff(lists.offsets.to_numpy())
-        picks = np.full((rows.num_rows, max(1, int(width.max()))), 0, np.int64)
-        taken = np.arange(picks.shape[1]) < width[:, None]
+        taken = np.arange(max(1, int(width.max()))) < width[:, None]
+        picks = np.zeros(taken.shape, np.int64)
         picks[taken] = lists.flatten().to_numpy()
         for q, at in _candidates(rows, radius, least):
-            open_ = label[q] != label[at]
-            q, at = q[open_], at[open_]
             met = np.zeros(len(q), bool)
             for s in range(picks.shape[1]):
                 for t in range(picks.shape[1]):
@@ -229,44 +227,30 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius:
     several = common.cut(postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     total = several.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shared = spread_join(postings, several, ["h"], "size", total).select("h", "rep").distinct()
-    shared = common.cut(shared.join(own.select("rep", "sig", "n", "fp").distinct(), "rep"))
+    shared = common.cut(shared.join(own.select("rep", *FACTS).distinct(), "rep").select("h", "rep", *FACTS))
 
-    columns = ["h", "i", "j", "side", "rep", "n", "fp"]
-    placed = cells(shared, ["h"], F.lit(1), TREE_NODES, total).select(columns)
-    live = _by_cell(placed).mapInArrow(lambda it: _live(it, radius, least), LIVE)
-    live = common.cut(live.groupBy("h", "rep", "n", "fp").agg(F.sum("found").alias("found")))
+    cell, most = ["h", "i", "j", "side"], F.lit(1)
+    live = _by_cell(cells(shared, ["h"], most, TREE_NODES).select(*cell, "rep", *FACTS)).mapInArrow(lambda it: _live(it, radius, least), LIVE)
+    live = common.cut(live.groupBy("h", "rep", *FACTS).agg(F.sum("found").alias("found")))
     ranked = F.sort_array(F.collect_list(F.struct("found", "h")), asc=False)  # no more than a document's prefix has shingles
-    chosen = common.cut(live.groupBy("rep").agg(F.transform(F.slice(ranked, 1, picks), lambda x: x["h"]).alias("picks")))
-    facts = shared.select("rep", "sig", "n", "fp").distinct()
-
-    def compare(members: DataFrame) -> DataFrame:
-        """Stars among those of ``members`` (h, rep, n) that share an h and have similar sets."""
-        placed = cells(members, ["h"], F.col("n") + 1, CELL_SHINGLES, total)
-        where = placed.groupBy("rep").agg(F.collect_list(F.struct("h", "i", "j", "side")).alias("where"))
-        where = common.cut(where.join(facts, "rep").withColumnRenamed("rep", "doc_id"))
-        small = where.count() <= broadcast_rows
-        ids = where.select("doc_id")
-        sets = shingle_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k)
-        if repeated_rows:
-            sets = sets.dropDuplicates(["doc_id", "sig"])
-        rows = sets.join(F.broadcast(where) if small else where, ["doc_id", "sig"]).select(F.col("doc_id").alias("rep"), "n", "fp", "shingles", F.explode("where").alias("c"))
-        rows = _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles").select(*columns, "shingles"))
-        return common.cut(rows.mapInArrow(lambda it: _compared(it, radius, least), PAIRS).distinct())
-
-    repeated_rows = own.count() > nodes.count()
-    first = compare(chosen.select("rep", F.explode("picks").alias("h")).join(facts.select("rep", "n"), "rep").select("h", "rep", "n"))
-    label = components(first)
-    rest = live.join(chosen, "rep").join(label.select(F.col("a").alias("rep"), "b"), "rep", "left").select("h", "rep", "n", "fp", F.coalesce("b", "rep").alias("label"), "picks")
-    open_lists = rest.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("h", "size")
-    rest = spread_join(rest, open_lists, ["h"], "size", total).drop("size")
-    placed = _by_cell(cells(rest, ["h"], F.lit(1), TREE_NODES, total).select(*columns, "label", "picks"))
-    pairs = common.cut(placed.mapInArrow(lambda it: _apart(it, radius, least), PAIRS).distinct())
-    members = pairs.select(F.col("b").alias("h"), F.explode(F.array("a", "b")).alias("rep")).distinct()
-    second = compare(members.join(facts.select("rep", "n"), "rep").select("h", "rep", "n"))
+    chosen = common.cut(live.groupBy("rep", *FACTS).agg(F.transform(F.slice(ranked, 1, picks), lambda x: x["h"]).alias("picks")))
+    apart = _by_cell(cells(live.join(chosen, ["rep", *FACTS]), ["h"], most, TREE_NODES).select(*cell, "rep", "n", "fp", "picks")).mapInArrow(lambda it: _apart(it, radius, least), PAIRS)
+    apart = apart.distinct().select(F.explode(F.array("a", "b")).alias("rep"), F.col("b").alias("h")).distinct().join(chosen.select("rep", *FACTS), "rep").select("h", "rep", *FACTS)
+
+    members = chosen.select(F.explode("picks").alias("h"), "rep", *FACTS).unionByName(apart)
+    where = cells(members, ["h"], F.col("n") + 1, CELL_SHINGLES).groupBy("rep", *FACTS).agg(F.collect_list(F.struct(*cell)).alias("where"))
+    where = common.cut(where.withColumnRenamed("rep", "doc_id"))
+    small = where.count() <= broadcast_rows
+    ids = where.select("doc_id").distinct()
+    sets = shingle_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k)
+    if own.count() > nodes.count():  # rows that occur more than once
+        sets = sets.dropDuplicates(["doc_id", "sig"])
+    rows = sets.join(F.broadcast(where) if small else where, ["doc_id", "sig"]).select(F.explode("where").alias("c"), F.col("doc_id").alias("rep"), "n", "fp", "shingles")
+    links = _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles")).mapInArrow(lambda it: _compared(it, radius, least), PAIRS)
     # a doc_id with several texts is one document: its sets are linked
     of = heads.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y")
     repeated = heads.select("doc_id", "sig").join(of.select("doc_id"), "doc_id", "left_semi").join(nodes, "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(first.unionAll(second).unionAll(repeated))
+    found = components(links.unionAll(repeated))
     nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("sig", "copies", F.coalesce("b", "rep").alias("component_id"))
     return spread_join(heads.select("doc_id", "sig"), nodes, ["sig"], "copies", heads.count()).select("doc_id", "component_id")
 
