@@ -239,7 +239,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(lexicon(None), Trees().fit(x, target), centres, means)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 24_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 12_000_000) -> Model:
     """On labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(F.pmod(common.id_text_crc("doc_id"), F.lit(3)) != 1).select("doc_id", "toxic")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(8)), F.lit(1_000_000)) / F.lit(1_000_000.0)
