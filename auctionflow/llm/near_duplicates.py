@@ -132,7 +132,7 @@ class Forest:
         stack = [(queries, self.root[queries])]
         while stack:
             q, at = stack.pop()
-            if len(q) > 1_000_000:
+            if len(q) > 50_000:  # each may go on to some tens of nodes
                 half = len(q) // 2
                 stack += [(q[:half], at[:half]), (q[half:], at[half:])]
                 continue

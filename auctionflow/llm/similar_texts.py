@@ -213,7 +213,7 @@ def _by_cell(placed: DataFrame) -> DataFrame:
     return placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", (F.col("side") == 1).cast("int"), "rep")
 
 
-def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = 24, picks: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = 24, picks: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, component_id (the smallest doc_id linked, itself included), a row for each document with an id.
 
     Members of up to ``broadcast_rows`` rows (some tens of MB) are broadcast to the
@@ -224,9 +224,8 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius:
     nodes = common.cut(heads.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     own = heads.join(nodes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
     postings = own.select(F.explode("prefix").alias("h"), "rep")
-    several = common.cut(postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    total = several.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shared = spread_join(postings, several, ["h"], "size", total).select("h", "rep").distinct()
+    several = common.cut(postings.groupBy("h").count().where("count > 1").select("h"))
+    shared = postings.join(several, "h").distinct()
     shared = common.cut(shared.join(own.select("rep", *FACTS).distinct(), "rep").select("h", "rep", *FACTS))
 
     cell, most = ["h", "i", "j", "side"], F.lit(1)
