@@ -4,9 +4,11 @@ The pre-tokenizer of the vocabulary file drops white space and cuts a text into
 words that are encoded independently of each other, so the ids of a text are the
 ids of its words in order.  ``WordEncoder`` finds the words of a whole batch with
 numpy, keeps the ids of the words that it has seen in a bounded hash table, and
-asks the library's model for each new one.  Texts with characters outside ASCII
-and the Latin-1 letters (for which normalization is more than lower case), and
-texts that hold ``<|`` (special tokens), go to the library whole.
+asks the library's model for each new one.  A word found in the table is compared
+byte for byte with the one that is kept there.  Texts with characters outside ASCII
+and the Latin-1 letters (for which normalization is more than lower case), texts
+that hold ``<|`` (special tokens), words of over ``LONGEST`` bytes or a word whose
+hash is that of another one go to the library whole.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from . import textbytes as tb
 #: Vocabulary file that the contract names; other files are a parameter.
 DEFAULT_VOCAB = "word_bpe_49k.json"
 END_ID = 1
+LONGEST = 256
 _SPACE, _LETTER, _DIGIT, _OTHER, _BAD = 0, 1, 2, 3, 4
 _CLASS = np.full(256, _BAD, np.uint8)
 _CLASS[0x20:0x7F] = _OTHER
@@ -63,6 +66,8 @@ class WordEncoder:
         self._n = 0
         self._at = np.zeros(1, np.int64)  # where the ids of each known word begin
         self._ids = np.zeros(0, self.dtype)
+        self._word_at = np.zeros(1, np.int64)  # where the bytes of each known word begin
+        self._bytes = np.zeros(0, np.uint8)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each word in the table, or -1."""
@@ -93,7 +98,9 @@ class WordEncoder:
             left = np.setdiff1d(left, won, assume_unique=True)
             place[left] = (place[left] + np.uint64(1)) & mask
 
-    def _learn(self, h: np.ndarray, spelled: list[str]) -> None:
+    def _learn(self, h: np.ndarray, spelled: list[str], raw: np.ndarray, lengths: np.ndarray) -> None:
+        self._bytes = np.concatenate([self._bytes, raw])
+        self._word_at = np.concatenate([self._word_at, self._word_at[-1] + np.cumsum(lengths)])
         tokenize = self.model.tokenize
         ids = [[t.id for t in tokenize(w)] for w in spelled]
         self._insert(h, np.arange(self._n, self._n + len(h), dtype=np.int32))
@@ -101,6 +108,16 @@ class WordEncoder:
         self._at = np.concatenate([self._at, self._at[-1] + np.cumsum([len(x) for x in ids])])
         self._n += len(h)
 
+    def _others(self, number: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The words that aren't the ones kept under their numbers."""
+        size = e - s
+        wrong = self._word_at[number + 1] - self._word_at[number] != size
+        same = np.flatnonzero(~wrong)
+        differ = buf[tb.ragged(s[same], size[same])] != self._bytes[tb.ragged(self._word_at[number[same]], size[same])]
+        if differ.any():
+            wrong[same[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(differ), "right")]] = True
+        return np.flatnonzero(wrong)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
@@ -140,6 +157,7 @@ class WordEncoder:
         begins = start[edges[:-1]]
         s, e = edges[:-1][begins], edges[1:][begins]
         owner = np.searchsorted(s, bounds)
+        whole[np.searchsorted(bounds, s[e - s > LONGEST], "right") - 1] = True
         if whole.any():
             keep = ~np.repeat(whole, np.diff(owner))
             s, e = s[keep], e[keep]
@@ -157,10 +175,12 @@ class WordEncoder:
                 self._clear()
             at = new[where]
             lengths = e[at] - s[at]
-            spelled = buf[tb.ragged(s[at], lengths)].tobytes().decode("latin-1").translate(self._spelled)
+            raw_words = buf[tb.ragged(s[at], lengths)]
+            spelled = raw_words.tobytes().decode("latin-1").translate(self._spelled)
             stops = np.cumsum(lengths)
-            self._learn(fresh, [spelled[a:b] for a, b in zip((stops - lengths).tolist(), stops.tolist())])
+            self._learn(fresh, [spelled[a:b] for a, b in zip((stops - lengths).tolist(), stops.tolist())], raw_words, lengths)
             number[new] = self._find(h[new])
+        whole[np.searchsorted(bounds, s[self._others(number, buf, s, e)], "right") - 1] = True
         lengths = self._at[number + 1] - self._at[number]
         ids = self._ids[tb.ragged(self._at[number], lengths)]
         offsets = np.r_[0, np.cumsum(lengths)][owner]

@@ -8,6 +8,7 @@ from cases import HOSTILE, hostile
 from tokenizers import Tokenizer
 
 from auctionflow.llm import packing, token_files
+from auctionflow.llm import textbytes as tb
 from auctionflow.llm.tokens import WordEncoder, vocab_path
 
 
@@ -31,6 +32,33 @@ def test_encoder_equals_library(plain):
             assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == [encoded(plain, t)[:-1].tolist() for t in part]
 
 
+def test_words_of_equal_hash(plain):
+    """Words of 64 bytes whose polynomial hashes would be equal are beyond reach; equal keys are put into the table by hand."""
+    encoder = WordEncoder()
+    real = tb.span_hashes
+    try:
+        tb.span_hashes = lambda sums, s, e: np.full(len(s), 12345, np.uint64)  # all words have one hash
+        texts = ["alpha beta alpha", "gamma", "beta beta", "alpha", "delt"]
+        for part in (texts, texts[::-1]):
+            ids, offsets = encoder.encode(pa.array(part))
+            assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == [encoded(plain, t)[:-1].tolist() for t in part]
+    finally:
+        tb.span_hashes = real
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    pair = [thue, thue.translate(str.maketrans("ab", "ba"))]
+    ids, offsets = encoder.encode(pa.array(pair))
+    assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == [encoded(plain, t)[:-1].tolist() for t in pair]
+
+
+def test_corpus_equals_library(spark, plain):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    ids, offsets = WordEncoder().encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == encoded(plain, t)[:-1].tolist()
+
+
 def test_token_files_round_trip(spark, plain):
     docs = sorted(HOSTILE, key=lambda r: (r[0] is not None, r[0] or 0))
     got = token_files.token_files(hostile(spark), length=16, rows=8).orderBy("start").collect()
