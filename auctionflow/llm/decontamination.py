@@ -2,10 +2,12 @@
 
 Both sides are cut into words.  Of the hashes of every ``k`` consecutive words
 the least in each window of ``w`` (the last of equal ones) is kept, so that any
-shared span of ``k + w - 1`` words has a kept hash in common.  Hits of document
-fingerprints on benchmark fingerprints are extended word by word in both
-directions, and spans of ``window`` words or more are compared byte for byte.
-Items of fewer words are found by the hash of all their words at every place.
+shared span of ``k + w - 1`` words has a kept hash in common.  A hit of a document
+fingerprint on a benchmark fingerprint is extended to all windows of ``window`` words
+around it; those that the benchmark has too are compared byte for byte.  Each window
+of a document is looked at once however often it occurs in the benchmark, so
+repeated words cost no more than others.  Items of fewer words are found by the
+hash of all their words at every place.
 
 The benchmark is cut into blocks of at most about ``block_bytes`` of text.  One
 block is broadcast; of more, the indexes are put in the shared folder and each
@@ -21,9 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,6 @@ from . import textbytes as tb
 from .token_files import _open
 
 HITS = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans string"
-_GAP = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 class Words:
@@ -49,9 +50,25 @@ class Words:
         self.text_end = np.repeat(self.bounds[1:], np.diff(self.bounds))  # of each word: the end of its text, in words
         self.text_of = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
-    def span(self, a: int, b: int) -> list[bytes]:
-        """The words from a to b as bytes."""
-        return _GAP.split(self.buf[self.starts[a] : self.ends[b - 1]].tobytes())
+    @cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all words, each with a space after it; where each begins, n + 1 offsets)."""
+        size = self.ends - self.starts
+        at = np.r_[0, np.cumsum(size + 1)]
+        out = np.full(at[-1], 0x20, np.uint8)
+        out[tb.ragged(at[:-1], size)] = self.buf[tb.ragged(self.starts, size)]
+        return out, at
+
+
+def same_words(x: Words, p: np.ndarray, y: Words, q: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words of x from each p on are those of y from q on."""
+    (a, a_at), (b, b_at) = x.spelled, y.spelled
+    size = a_at[p + m] - a_at[p]
+    same = size == b_at[q + m] - b_at[q]
+    for part in np.array_split(np.flatnonzero(same), -(-len(p) // 50_000) or 1):
+        differ = np.flatnonzero(a[tb.ragged(a_at[p[part]], size[part])] != b[tb.ragged(b_at[q[part]], size[part])])
+        same[part[np.searchsorted(np.cumsum(size[part]), differ, "right")]] = False
+    return same
 
 
 def winnow(grams: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
@@ -71,81 +88,68 @@ def winnow(grams: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
+class Windows:
+    """The different windows of ``m`` words of some items, with the items that each is in."""
+
+    def __init__(self, words: Words, starts: np.ndarray, m: int):
+        self.words, self.m = words, m
+        h = tb.sequence_hashes(words.hashes, m)[starts]
+        order = np.argsort(h, kind="stable")
+        h, starts = h[order], starts[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        number = np.repeat(first, np.diff(np.r_[first, len(h)]))  # of each window: the first one that is equal
+        for i in np.flatnonzero(~same_words(words, starts, words, starts[number], m)).tolist():  # equal hashes of different words
+            alike = np.flatnonzero((h == h[i]) & (number == np.arange(len(h))))
+            alike = alike[same_words(words, np.full(len(alike), starts[i]), words, starts[alike], m)]
+            number[i] = alike[0] if len(alike) else i
+        kept, group = np.unique(number, return_inverse=True)
+        self.keys, self.places = h[kept], starts[kept]
+        pairs = np.unique(np.stack([group, words.text_of[starts]], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
+        self.items, self.bounds = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(kept) + 1))
+
+    def found(self, docs: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, window number) of the windows that stand at ``places`` of the documents."""
+        h = tb.sequence_hashes(docs.hashes, self.m)[places]
+        low = np.searchsorted(self.keys, h)
+        n = np.searchsorted(self.keys, h, "right") - low  # one, but for windows of equal hash
+        p, number = np.repeat(places, n), tb.ragged(low, n)
+        same = same_words(docs, p, self.words, self.places[number], self.m)
+        return p[same], number[same]
+
+
 class Index:
-    """Fingerprints of a block of benchmark items."""
+    """Fingerprints and windows of a block of benchmark items."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int, k: int):
-        self.window, self.k, self.w = window, k, window - k + 1
+        self.window, self.k, self.w, self.ids = window, k, window - k + 1, ids
         words = Words(pa.array(texts, pa.string()))
-        self.words, self.ids = words, ids
         counts = np.diff(words.bounds)
         grams = tb.sequence_hashes(words.hashes, k)
         at = np.arange(len(grams))
-        places = winnow(grams, self.w, at + window <= words.text_end[: len(grams)])
-        order = np.argsort(grams[places], kind="stable")
-        self.keys, self.places = grams[places][order], places[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for m in sorted({int(c) for c in counts if 0 < c < window}):
-            items = np.flatnonzero(counts == m)
-            h = tb.sequence_hashes(words.hashes, m)[words.bounds[:-1][items]]
-            order = np.argsort(h, kind="stable")
-            self.short[m] = (h[order], items[order])
-
-    def hits(self, docs: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, end, item) of each hit span of the documents; verified, and each once."""
-        items = self.words
-        found: set[tuple[int, int, int, int]] = set()
-        if len(self.keys) and len(docs.hashes) >= self.window:
-            grams = tb.sequence_hashes(docs.hashes, self.k)
-            at = np.arange(len(grams))
-            kept = winnow(grams, self.w, at + self.window <= docs.text_end[: len(grams)])
-            low = np.searchsorted(self.keys, grams[kept])
-            low[low == len(self.keys)] = 0
-            kept = kept[self.keys[low] == grams[kept]]
-            for part in np.array_split(kept, max(1, len(kept) // 50_000)):
-                found |= self._extended(docs, part, grams[part])
-        for m, (keys, numbers) in self.short.items():
-            grams = tb.sequence_hashes(docs.hashes, m)
-            low = np.searchsorted(keys, grams)
-            low[low == len(keys)] = 0
-            places = np.flatnonzero((keys[low] == grams) & (np.arange(len(grams)) + m <= docs.text_end[: len(grams)])) if len(keys) else []
-            for a in places:
-                for i in range(np.searchsorted(keys, grams[a]), np.searchsorted(keys, grams[a], "right")):
-                    found.add((int(a), int(a) + m, int(items.bounds[numbers[i]]), int(numbers[i])))
-        spans = []
-        for a, b, q, item in found:
-            x, y = docs.span(a, b), items.span(q, q + b - a)
-            least = min(self.window, int(items.bounds[item + 1] - items.bounds[item]))
-            if x == y:
-                spans.append((a, b, item))
-            else:  # words of equal hash that differ: what lies between them
-                same = [-1, *(i for i in range(b - a) if x[i] != y[i]), b - a]
-                spans += [(a + i + 1, a + j, item) for i, j in zip(same, same[1:]) if j - i - 1 >= least]
-        out = np.array(sorted(spans), np.int64).reshape(-1, 3)
-        return out[:, 0], out[:, 1], out[:, 2]
-
-    def _extended(self, docs: Words, places: np.ndarray, grams: np.ndarray) -> set[tuple[int, int, int, int]]:
-        items = self.words
-        low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
-        p = np.repeat(places, high - low)
-        q = self.places[tb.ragged(low, high - low)]
-        doc, item = docs.text_of[p], items.text_of[q]
-
-        def run(step: int, p_limit: np.ndarray, q_limit: np.ndarray) -> np.ndarray:
-            length = np.zeros(len(p), np.int64)
-            most = np.minimum((p_limit - p) * step, (q_limit - q) * step)
-            live = np.flatnonzero(most >= 0)
-            while len(live):
-                n = length[live]
-                live = live[(n <= most[live]) & (docs.hashes[np.clip(p[live] + step * n, 0, len(docs.hashes) - 1)] == items.hashes[np.clip(q[live] + step * n, 0, len(items.hashes) - 1)])]
-                length[live] += 1
-            return length
-
-        ahead = run(1, docs.bounds[doc + 1] - 1, items.bounds[item + 1] - 1)
-        back = run(-1, docs.bounds[doc], items.bounds[item])
-        ok = (ahead > 0) & (ahead + back - 1 >= self.window)
-        a, b, qa = (p - back + 1)[ok], (p + ahead)[ok], (q - back + 1)[ok]
-        return set(zip(a.tolist(), b.tolist(), qa.tolist(), item[ok].tolist()))
+        self.prints = np.unique(grams[winnow(grams, self.w, at + window <= words.text_end[: len(grams)])])
+        whole = np.flatnonzero(np.arange(len(words.hashes)) + window <= words.text_end)
+        sizes = sorted({int(c) for c in counts if 0 < c < window})
+        self.tables = [Windows(words, words.bounds[:-1][counts == m], m) for m in sizes] + [Windows(words, whole, window)]
+
+    def hits(self, docs: Words) -> Iterator[tuple[np.ndarray, np.ndarray, Windows]]:
+        """(first word, window number, table) of each window of the benchmark in the documents."""
+        n = len(docs.hashes)
+        for table in self.tables:
+            if table.m > n or not len(table.keys):
+                continue
+            if table.m < self.window:
+                places = np.arange(n - table.m + 1)
+            else:
+                grams = tb.sequence_hashes(docs.hashes, self.k)
+                kept = winnow(grams, self.w, np.arange(len(grams)) + self.window <= docs.text_end[: len(grams)])
+                low = np.searchsorted(self.prints, grams[kept])
+                low[low == len(self.prints)] = 0
+                kept = kept[self.prints[low] == grams[kept]]
+                near = np.zeros(n + 1, bool)  # the windows that hold the fingerprint
+                near[np.maximum(kept[:, None] - np.arange(self.w), 0)] = True
+                places = np.flatnonzero(near[: n - table.m + 1])
+            places = places[places + table.m <= docs.text_end[places]]
+            yield *table.found(docs, places), table
 
 
 class _Blocks:
@@ -193,11 +197,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         edge = np.zeros(len(docs.hashes) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
         for index in blocks:
-            a, b, item = index.hits(docs)
-            np.add.at(edge, a, 1)
-            np.add.at(edge, b, -1)
-            for d, i in zip(docs.text_of[a].tolist(), item.tolist()):
-                items[d].add(index.ids[i])
+            for p, number, table in index.hits(docs):
+                edge += np.bincount(p, minlength=len(edge)) - np.bincount(p + table.m, minlength=len(edge))
+                for d, i in np.unique(np.stack([docs.text_of[p], number], axis=1), axis=0).tolist():
+                    items[d].update(index.ids[x] for x in table.items[table.bounds[i] : table.bounds[i + 1]])
         hit = np.cumsum(edge[:-1]) > 0
         sums = np.r_[0, np.cumsum(hit)]
         n_hit = sums[docs.bounds[1:]] - sums[docs.bounds[:-1]]
@@ -216,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
             "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": n_hit > 0, "item_ids": names, "spans": spans,
         }
 
-    return common.map_text(docs.select("doc_id", "text"), HITS, work)
+    return common.map_text(docs.select("doc_id", "text"), HITS, work, 1_000_000 if blocks.n <= 1 else 8_000_000)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
@@ -227,7 +230,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k
         words = Words(text)
         clean = np.ones(len(text), bool)
         for index in blocks:
-            clean[words.text_of[index.hits(words)[0]]] = False
+            for p, _, _ in index.hits(words):
+                clean[words.text_of[p]] = False
         return clean
 
     return common.keep_rows(docs, keep)

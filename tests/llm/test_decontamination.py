@@ -1,6 +1,9 @@
 import hashlib
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import HOSTILE, hostile
 
@@ -62,6 +65,25 @@ def test_planted_passages(spark):
     check(spark, df, docs, items, block_bytes=60)
 
 
+def test_repeated_words_cost_no_more(spark):
+    docs = [(1, "word " * 20_000), (2, "word " * 500 + "other " + "word " * 9), (3, "a b " * 3_000)]
+    items = [(1, "word " * 5_000), (2, "a b " * 700), (3, "word"), (4, "b a b")]
+    index = D.Index([str(i) for i, _ in items], [t for _, t in items], 10, 5)
+    began = time.perf_counter()
+    words_of = D.Words(pa.array([t for _, t in docs]))
+    assert sum(len(p) for p, _, _ in index.hits(words_of)) > 20_000
+    assert time.perf_counter() - began < 2
+    check(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), docs, items)
+
+
+def test_windows_of_equal_hash(monkeypatch):
+    monkeypatch.setattr(D.tb, "sequence_hashes", lambda h, k: np.full(max(0, len(h) - k + 1), 7, np.uint64))
+    index = D.Index(["x", "y", "z"], [" ".join(f"w{i}" for i in range(14)), "one two", "two one"], 10, 5)
+    docs = D.Words(pa.array([" ".join(f"w{i}" for i in range(1, 13)) + " two one", "one"]))
+    found = [(table.m, int(p), [index.ids[i] for i in table.items[table.bounds[n] : table.bounds[n + 1]]]) for ps, ns, table in index.hits(docs) for p, n in zip(ps, ns)]
+    assert found == [(2, 12, ["z"]), (10, 0, ["x"]), (10, 1, ["x"]), (10, 2, ["x"])]
+
+
 def test_hostile(spark):
     docs = [x for x in HOSTILE]
     check(spark, hostile(spark), docs, [(1, "one two three"), (2, "word " * 12), (3, "ΣΑΣ")])
