@@ -2,21 +2,23 @@
 
 Base findings follow three fixed rules (assignments, access keys, long
 hexadecimal runs).  Candidates of the network are runs of six or more key characters
-that hold a letter and a digit, and their parts between = and /.  It reads
+that hold a letter and a digit, and their parts between = and /, where no base finding is.  It reads
 each candidate through a window that slides over all of it, with the text before
 and after, and the largest score counts: embedding, one convolution with a ReLU, the maximum
 over the candidate and over its surroundings, a hidden layer, a logistic output,
 all in numpy.
 
-It is trained on labelled findings: the base findings and other runs of a
-bounded sample of documents, and drawn findings of known kinds (credentials of
+It is trained on labelled findings: the base findings (the value alone, without the
+keyword) of a bounded sample of documents, those of its other runs that are made of
+words of the sample and numbers, and drawn findings of known kinds (credentials of
 several alphabets in assignments and URLs against identifiers, dates, paths,
 numbers and prose), put into contexts.  A held-out third of the findings
 calibrates the scores (isotonic) and sets the threshold: the largest one that
 keeps ``recall`` of the held-out secrets of each kind, whatever precision that
 leaves; both figures stay with the network.
 
-Null and empty texts have no findings.  Repeated rows give a row each.  An empty
+Null and empty texts have no findings.  A score at the threshold is accepted.  Of
+accepted runs that overlap the first counts, of those that begin together the longest.  Repeated rows give a row each.  An empty
 table gives no rows.  Other columns are ignored.
 """
 
@@ -24,7 +26,9 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -73,16 +77,23 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     out = []
     if not _DIGIT.search(text):
         return out
+    starts = [a for a, _, _ in taken]  # in order
+    ends = list(accumulate((b for _, b, _ in taken), max))
     for m in _RUN.finditer(text):
         if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
             continue
         parts = [m.span()]
         if "=" in m[0] or "/" in m[0]:
             parts += [p.span() for p in _PART.finditer(text, *m.span()) if p.span() != m.span() and _DIGIT.search(p[0]) and _LETTER.search(p[0])]
-        out += [(s, e) for s, e in parts if not any(a < e and s < b for a, b, _ in taken)]
+        out += [(s, e) for s, e in parts if not (i := bisect_left(starts, e)) or ends[i - 1] <= s]
     return out
 
 
+def plainly_none(body: str, vocabulary: set[str]) -> bool:
+    """Few different characters, or nothing but words of the corpus and numbers."""
+    return len(set(body)) < 8 or all(len(w) < 2 or w.lower() in vocabulary for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", body))
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
     """Codes of the surroundings and the first characters of a finding; 0 is beyond the text, 1 any other character."""
     before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
@@ -256,14 +267,16 @@ def drawn_short(n: int, seed: int) -> tuple[list[np.ndarray], list[int]]:
 def fit(texts: list[str], drawn: int = 3000, recall: float = 0.98, seed: int = 11) -> Network:
     x, y = (a + b for a, b in zip(drawn_findings(drawn, seed, texts[:200]), drawn_short(drawn // 3, seed)))
     kind = ["drawn"] * drawn + ["short"] * (len(y) - drawn)
+    vocabulary = {w for t in texts for w in re.findall(r"\b[a-z]{2,}\b", t)}
     for t in texts:
         base = base_spans(t)
         for a, b, k in base:
+            a = _ASSIGN.match(t, a).start(2) if k == "assign" else a  # candidates hold no keyword
             x.append(window(t, a, b))
             y.append(1)
             kind.append(k)
         for a, b in candidates(t, base):
-            if not any(c.isdigit() for c in t[a:b]) or len(set(t[a:b])) < 8:  # plainly none
+            if plainly_none(t[a:b], vocabulary):
                 own = windows(t, a, b)
                 x += own
                 y += [0] * len(own)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from cases import HOSTILE, hostile
@@ -198,3 +199,41 @@ def test_long_tokens_are_read_whole():
     g = P.graph(text)
     assert [text[a:b] for a, b in g.spans] == ["(482)555-7163"] * 2 and g.skip.tolist() == [[0, 1]]
     assert not len(P.graph("1" + "a" * 250 + "x 1" + "a" * 250 + "y").skip)
+
+
+def test_planted_kinds_that_training_never_saw(spark):
+    """Secrets outside the base rules, in the operator's own output; the generator of training findings draws none of these kinds."""
+    rng = random.Random(4)
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alnum = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    kinds = [
+        lambda: "ghp_" + run(alnum, 36), lambda: "xoxb-" + run("0123456789", 12) + "-" + run(alnum, 24), lambda: "npm_" + run(alnum, 36), lambda: "AIza" + run(alnum + "-_", 35),
+        lambda: "eyJ" + run(alnum, 20) + ".eyJ" + run(alnum + "-_", 60), lambda: run("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), lambda: run(alnum + "+/", 86) + "==",
+    ]
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200").limit(350)
+    planted, texts = {}, []
+    for i, r in enumerate(df.collect()):
+        value, t = kinds[i % len(kinds)](), r["text"]
+        at = t.find(" ", len(t) // 2)
+        lead = t[: max(at, 0)] + rng.choice([" key ", " use ", " cred: ", " "])
+        planted[i] = (len(lead), len(lead) + len(value))
+        texts.append((i, lead + value + " " + t[max(at, 0) :]))
+    got = {r["doc_id"]: r for r in S.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    hit = 0
+    for i, (a, b) in planted.items():
+        spans = [x.split(":") for x in got[i]["spans"].split(",") if x]
+        hit += any(int(s) < b and a < int(e) for _, s, e in spans)
+        assert got[i]["base_sha256"] == sha(brute_secrets(texts[i][1]))
+    assert hit >= 0.9 * len(planted) and sum(r["n_model"] for r in got.values()) <= 1.3 * len(planted)
+
+
+def test_candidates_among_many_findings():
+    text = "token=abcdef12 " * 20_000 + "q1w2e3r4t5"
+    began = time.perf_counter()
+    assert S.candidates(text, S.base_spans(text)) == [(len(text) - 10, len(text))]
+    assert time.perf_counter() - began < 3
+
+
+def test_plainly_none():
+    words = {"section", "report"}
+    assert S.plainly_none("section12-report", words) and S.plainly_none("aaaa1111aaaa", words) and not S.plainly_none("sectionq1xzyw7k", words)
