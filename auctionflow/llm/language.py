@@ -4,12 +4,12 @@ A text is lower-cased and framed by spaces; its n-grams of ``ORDERS`` characters
 are hashed to ``2**bits`` features.  Counts of a bounded sample of labelled rows
 (``per_language`` rows of each language, ``max_bytes`` of text in all) give the
 matrix of log-probabilities, which is broadcast; its size is 4 bytes x languages
-x 2**bits, and fitting refuses more than ``MOST_LANGUAGES``.  A batch is scored as
-a sum of the matrix rows of its n-grams.
+x 2**bits, and ``bits`` gives way where that would be over ``MATRIX_BYTES`` (more
+than 512 languages).  A batch is scored as a sum of the matrix rows of its n-grams.
 
 The score is the posterior with evidence tempered to at most ``EVIDENCE`` n-grams,
 so that it says how clear the text is rather than how long.  Null, empty and
-letterless texts are ``und`` with score 0; so are all texts if nothing was learned.  Ties
+letterless texts (no character of a Unicode letter category) are ``und`` with score 0; so are all texts if nothing was learned.  Ties
 go to the language that sorts first.  Repeated rows give a row each; an empty
 table gives no rows; other columns are ignored.
 """
@@ -26,9 +26,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDERS, EVIDENCE, MOST_LANGUAGES = (1, 2, 3), 60, 512
+ORDERS, EVIDENCE, MATRIX_BYTES = (1, 2, 3), 60, 1 << 27
 PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # letters, and digits and numbers that aren't decimal
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,7 +68,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        with_letters = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+        with_letters = [i for i, t in enumerate(texts) if has_letter(t)]
         if not with_letters or not self.languages:
             return names, scores
         feature, owner = ngrams([texts[i] for i in with_letters], self.bits)
@@ -80,8 +86,8 @@ class Model:
 def fit(labelled: list[tuple[str, str]], counts: dict[str, int] | None = None, bits: int = 16, alpha: float = 0.1) -> Model:
     """From (text, language) pairs; ``counts``: rows of each language in the whole table, for the priors."""
     languages = sorted({lang for _, lang in labelled})
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the matrix is bounded to {MOST_LANGUAGES}")
+    while len(languages) * 4 << bits > MATRIX_BYTES:
+        bits -= 1
     logp = np.zeros((1 << bits, len(languages)), np.float64)
     prior = np.zeros(len(languages))
     for c, lang in enumerate(languages):

@@ -11,7 +11,8 @@ propagation runs over all edges of a document at once in numpy, and nodes whose
 belief in a kind reaches ``BELIEF`` add spans where no base finding is.
 
 Training is piecewise: a softmax regression for the node potentials, counts of
-label pairs for the two kinds of edges, on the base findings of a bounded sample
+label pairs for the two kinds of edges (and a prior for alike tokens, which never speak
+against each other's label), on the base findings of a bounded sample
 of documents and of drawn texts.  Tokens that are like a finding without being one
 by the rules (a phone number without its plus sign) count as unknown there: they
 are what the field is to decide.
@@ -283,9 +284,9 @@ def fit(texts: list[str], drawn: int = 300, steps: int = 300, rate: float = 0.5)
     return Field(w, chain, skip)
 
 
-def spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], int]:
-    """All findings by kind as listed, then start; how many the field added."""
-    base = base_spans(text)
+def spans(text: str, field: Field, base: list[tuple[int, int, str]] | None = None) -> tuple[list[tuple[int, int, str]], int]:
+    """All findings by kind as listed, then start; how many the field added.  ``base``: the base findings, if they are known."""
+    base = base_spans(text) if base is None else base
     if not _DIGIT.search(text) and "@" not in text:
         return base, 0
     g = graph(text)
@@ -328,7 +329,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
         out: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": [], "n_added": []}
         for text in common.texts(batch):
             base = base_spans(text)
-            found, n = spans(text, field.value)
+            found, n = spans(text, field.value, base)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s[2] == k for s in base))
             out["base_sha256"].append(common.sha256_hex(written(base)))

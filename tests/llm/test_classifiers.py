@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,49 @@ def test_language_hostile(spark):
     assert language.identify(df.where("false")).collect() == []
 
 
+def test_letters():
+    assert not any(map(language.has_letter, ["", "²³", "½ ¼ 12", "Ⅷ", "_-!", "١٢"])) and all(map(language.has_letter, ["a", "12 ß", "日", "½x"]))
+
+
+def test_bayes_by_brute_force():
+    """Scores from counts of n-grams, one by one and with whole numbers of Python, against the vectorized ones."""
+    labelled = [("der Hund und die Katze", "de"), ("das Haus", "de"), ("the dog and the cat", "en"), ("a house", "en"), ("le chien et le chat", "fr")]
+    bits, alpha, top = 10, 0.1, (1 << 64) - 1
+    a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def grams(text):
+        text = f" {text.lower()} "
+        for n in language.ORDERS:
+            for i in range(len(text) - n + 1):
+                h = 0
+                for m, c in enumerate(text[i : i + n], 1):
+                    h = (h * a + (ord(c) + m) * b) & top
+                yield ((h ^ (h >> 29)) * a & top) >> (64 - bits)
+
+    langs = sorted({x for _, x in labelled})
+    logp, prior = {}, {}
+    for x in langs:
+        c = collections.Counter(g for t, y in labelled if y == x for g in grams(t))
+        total = sum(c.values()) + alpha * (1 << bits)
+        logp[x] = lambda g, c=c, total=total: math.log((c[g] + alpha) / total)
+        prior[x] = math.log(sum(y == x for _, y in labelled) / len(labelled))
+    texts = ["die Katze", "cat and dog and cat " * 9, "chat", "Ünd", "x"]
+    names, scores = language.fit(labelled, bits=bits, alpha=alpha).predict(texts)
+    for t, name, score in zip(texts, names, scores):
+        own = list(grams(t))
+        sums = {x: sum(logp[x](g) for g in own) for x in langs}
+        assert name == max(langs, key=lambda x: sums[x] + prior[x])
+        share = {x: math.exp(sums[x] * min(1, language.EVIDENCE / len(own)) + prior[x]) for x in langs}
+        assert abs(score - share[name] / sum(share.values())) < 1e-4
+
+
+def test_more_languages_than_the_matrix_holds():
+    labelled = [(f"word{i} text{i}", f"l{i:03d}") for i in range(600)]
+    model = language.fit(labelled)
+    assert model.logp.nbytes <= language.MATRIX_BYTES and model.bits < 16
+    assert sum(a == b for a, (_, b) in zip(model.predict([t for t, _ in labelled])[0], labelled)) > 590
+
+
 def test_isotonic():
     x, y = boosting.isotonic(np.array([1, 2, 3, 4, 5.0]), np.array([0, 1, 0, 1, 1]))
     assert y.tolist() == [0, 0.5, 1, 1] or y.tolist() == [0, 0.5, 1]
@@ -66,12 +112,64 @@ def test_toxicity_learns_words_and_beginnings():
     assert ((score >= toxicity.THRESHOLD) == y).mean() > 0.98 and ((score >= 0) & (score <= 1)).all()
 
 
+def test_trees_by_brute_force():
+    """The first tree's splits are the best of all, and margins are sums of leaves reached one row at a time."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (60, 3)).astype(float)
+    y = ((x[:, 1] > 2) & (x[:, 2] < 4)).astype(float)
+    trees = boosting.Trees(depth=2, rounds=5, least=0.0).fit(x, y)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    value = lambda m: g[m].sum() ** 2 / (h[m].sum() + trees.penalty)
+    gain = {(j, t): value(x[:, j] < t) + value(x[:, j] >= t) for j in range(3) for t in range(1, 6)}
+    j, t = trees.trees[0][0][0], trees.trees[0][1][0]
+    assert gain[j, min(c for c in range(1, 7) if c >= t)] == max(gain.values())
+    for row, got in zip(x, trees.margin(x)):
+        want = trees.base
+        for features, limits, leaves in trees.trees:
+            node = 0
+            for level in range(2):
+                k = (1 << level) - 1 + node
+                node = 2 * node + int(features[k] >= 0 and row[features[k]] >= limits[k])
+            want += leaves[node]
+        assert abs(want - got) < 1e-12
+
+
+def test_toxicity_features_by_hand():
+    texts = ["YOU are zog!! you ZOG", "", "plain   words only", "z0g you", "aaa b?"]
+    batch = toxicity.read(pa.array(texts))
+    zog = toxicity._hash_words(["zog"])
+    f = toxicity.Lexicon(zog, np.array([5.0]), np.zeros(0, np.uint64), np.zeros(0)).features(batch)
+    for row, t in zip(f, texts):
+        words = re.findall("[a-z0-9]+", t.lower())
+        n, chars = max(1, len(words)), max(1, len(t))
+        raw = re.findall("[A-Za-z0-9]+", t)
+        hits = words.count("zog")
+        near = sum(w == "zog" and any(v in ("you",) for v in words[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, w in enumerate(words))
+        assert np.allclose(row[[0, 1, 3, 4, 5, 11]], [np.log1p(len(words)), np.log1p(len(t)), sum(c.isupper() for c in t) / chars, sum(len(w) > 1 and w.isupper() for w in raw) / n, sum(c in "!?" for c in t) / n, words.count("you") / n])
+        assert np.allclose(row[[12, 13, 14, 15]], [hits, hits / n, 5.0 * hits / n, 5.0 if hits else 0])
+        assert row[22] == near and row[24] == (t == "z0g you")
+
+
+def test_scores_come_from_features_trees_and_steps():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["zog", "tree", "house", "river", "stone"][t == 0 :]) for _ in range(30)) for t in (i % 2 for i in range(300))]
+    model = toxicity.fit(texts, [i % 2 for i in range(300)])
+    margin = model.trees.margin(model.lexicon.features(toxicity.read(pa.array(texts))))
+    for m, s in zip(margin, model.score(toxicity.read(pa.array(texts)))):
+        c, v = model.centres, model.means
+        i = int(np.searchsorted(c, m))
+        step = v[0] if i == 0 else v[-1] if i == len(c) else v[i - 1] + (v[i] - v[i - 1]) * (m - c[i - 1]) / (c[i] - c[i - 1])
+        assert abs(s - min(1, 0.99 * step + 0.01 / (1 + math.exp(-m)))) < 1e-9
+
+
 def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.01"
+    """About a fifteenth of the labels say toxic of texts that hold nothing of the kind, so recall can't be much above 0.9."""
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
     caught = [r["toxic"] for r in rows if r["predicted"]]
-    assert len(rows) > 50 and sum(caught) >= 0.9 * len(caught) and sum(caught) >= 0.6 * sum(r["toxic"] for r in rows)
+    assert len(rows) > 50 and sum(caught) >= 0.98 * len(caught) and sum(caught) >= 0.9 * sum(r["toxic"] for r in rows)
 
 
 def test_toxicity_hostile(spark):
