@@ -9,8 +9,10 @@ takes 10 bits, which numpy packs and unpacks for all frames at once.  Frames are
 size, the last is filled with zeros, and the chunk ``plen`` has the payload's length.
 
 Reading goes through the RIFF chunks and the ``idx1`` index, decodes each intra
-frame, and finds shots where the histogram difference of consecutive frames
-exceeds the running mean of the differences in the shot by ``SPREAD`` deviations.
+frame as its own tables tell (any baseline JPEG, down to the mean level of each
+block of its first component), and finds shots where the histogram difference of consecutive frames
+exceeds the running mean of the differences in the shot by ``SPREAD`` deviations
+(a difference that only reaches it starts no shot).
 
 Null and empty texts are one payload of 64 zero bytes.  Repeated rows give a row
 each; equal texts give equal values.  An empty table gives no rows.  Other
@@ -20,8 +22,10 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +112,7 @@ def encode_avi(payload: bytes) -> bytes:
 def parse_avi(media: bytes) -> tuple[list[tuple[int, int]], int, int]:
     """((offset, length) of each frame, from the index), the payload's length, microseconds of a frame."""
     name, size, kind = struct.unpack("<4sI4s", media[:12])
-    if name != b"RIFF" or kind != b"AVI ":
+    if name != b"RIFF" or kind != b"AVI " or len(media) < 8 + size:
         raise ValueError("not an AVI file")
     at, end = 12, 8 + size
     movi, index, length, pace = None, b"", None, 0
@@ -123,21 +127,130 @@ def parse_avi(media: bytes) -> tuple[list[tuple[int, int]], int, int]:
         elif name == b"plen":
             length = struct.unpack("<Q", media[at + 8 : at + 16])[0]
         at += 8 + size + size % 2
+    if movi is None:
+        raise ValueError("no frames")
     entries = np.frombuffer(index, np.dtype([("id", "S4"), ("flags", "<u4"), ("offset", "<u4"), ("length", "<u4")]))
     return [(movi + int(e["offset"]) + 8, int(e["length"])) for e in entries if e["id"] == b"00dc"], length, pace
 
 
+@dataclass
+class Frame:
+    """What the segments of a JPEG frame announce, and where its entropy-coded data begin."""
+
+    height: int
+    width: int
+    parts: list[tuple[int, int, int, int]]  # of each component: id, horizontal and vertical sampling, quantization table
+    steps: dict[int, int]  # of each quantization table: the DC step
+    codes: dict[int, dict[tuple[int, int], int]]  # class * 16 + table: (length, code) -> symbol
+    scan: list[tuple[int, int]]  # of each component: DC and AC table
+    restart: int
+    data: int
+
+    @classmethod
+    def read(cls, frame: bytes) -> Frame:
+        if frame[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
+        found, at = cls(0, 0, [], {}, {}, [], 0, 0), 2
+        while not found.data:
+            marker, size = struct.unpack(">HH", frame[at : at + 4])
+            body, at = frame[at + 4 : at + 2 + size], at + 2 + size
+            if marker == 0xFFDB:
+                while body:
+                    wide = body[0] >> 4
+                    found.steps[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
+                    body = body[1 + 64 * (1 + wide) :]
+            elif marker in (0xFFC0, 0xFFC1):
+                _, found.height, found.width, n = struct.unpack(">BHHB", body[:6])
+                found.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            elif 0xFFC2 <= marker <= 0xFFCF and marker not in (0xFFC4, 0xFFC8, 0xFFCC):
+                raise ValueError("not a baseline frame")
+            elif marker == 0xFFC4:
+                while body:
+                    counts, code, k, table = body[1:17], 0, 17, {}
+                    for length, count in enumerate(counts, 1):
+                        for symbol in body[k : k + count]:
+                            table[length, code] = symbol
+                            code += 1
+                        code, k = code << 1, k + count
+                    found.codes[body[0]] = table
+                    body = body[k:]
+            elif marker == 0xFFDD:
+                found.restart = struct.unpack(">H", body)[0]
+            elif marker == 0xFFDA:
+                found.scan = [(body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+                found.data = at
+        if not found.parts or len(found.scan) != len(found.parts):
+            raise ValueError("a frame of several scans")
+        return found
+
+    def is_plain(self) -> bool:
+        """The tables of ``encode_frames``: grey, and every block takes ten bits."""
+        return self.width == WIDTH * 8 and self.parts == _PLAIN.parts and self.steps == _PLAIN.steps and self.codes == _PLAIN.codes and self.scan == _PLAIN.scan and not self.restart
+
+    def levels(self, data: bytes) -> np.ndarray:
+        """Mean level of each 8 x 8 block of the first component, row by row, from the DC terms; bit by bit as the tables tell."""
+        most_h, most_v = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
+        one = len(self.parts) == 1  # a single component isn't interleaved
+        across, down = (-(-self.width // 8), -(-self.height // 8)) if one else (-(-self.width // (8 * most_h)), -(-self.height // (8 * most_v)))
+        h0, v0 = (1, 1) if one else self.parts[0][1:3]
+        out = np.zeros((down * v0, across * h0), np.int64)
+        pieces = re.split(rb"\xff[\xd0-\xd7]", data) if self.restart else [data]
+        mcu = 0
+        for piece in pieces:
+            bits = np.unpackbits(np.frombuffer(piece.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
+            place, dc = 0, [0] * len(self.parts)
+
+            def symbol(table: dict[tuple[int, int], int]) -> int:
+                nonlocal place
+                code = 0
+                for length in range(1, 17):
+                    code = code << 1 | bits[place]
+                    place += 1
+                    if (length, code) in table:
+                        return table[length, code]
+                raise ValueError("no such code")
+
+            for _ in range(min(self.restart or across * down, across * down - mcu)):
+                for c, (_, h, v, quant) in enumerate(self.parts):
+                    dc_table, ac_table = self.codes[self.scan[c][0]], self.codes[16 + self.scan[c][1]]
+                    for block in range(1 if one else h * v):
+                        n = symbol(dc_table)
+                        x = int("".join(map(str, bits[place : place + n])) or "0", 2)
+                        place += n
+                        dc[c] += x if n == 0 or x >> (n - 1) else x - (1 << n) + 1
+                        k = 1
+                        while k < 64:
+                            run = symbol(ac_table)
+                            if run == 0:
+                                break
+                            k, place = k + (run >> 4) + 1, place + (run & 15)
+                        if c == 0:
+                            out[mcu // across * v0 + block // h0, mcu % across * h0 + block % h0] = dc[0] * self.steps[quant]
+                mcu += 1
+        return np.clip(np.round(out.reshape(-1) / 8) + 128, 0, 255).astype(np.uint8)
+
+
+_PLAIN = Frame.read(_head(1))
+
+
 def decode_frames(media: bytes, places: list[tuple[int, int]]) -> np.ndarray:
-    """Levels of each frame, a row each; every frame's header has to announce the tables that make blocks 10 bits wide."""
-    first = media[places[0][0] : places[0][0] + 160]
-    sof = first.index(b"\xff\xc0")
-    rows = struct.unpack(">H", first[sof + 5 : sof + 7])[0] // 8
-    head = _head(rows)
+    """Levels of the blocks of each frame, a row each; frames with the tables of ``encode_frames`` all at once."""
+    if not places:
+        raise ValueError("no frames")
+    first = Frame.read(media[places[0][0] : sum(places[0])])
+    head = media[places[0][0] : places[0][0] + first.data]
+    plain = first.is_plain()
     parts = []
     for offset, length in places:
-        if media[offset : offset + len(head)] != head or media[offset + length - 2 : offset + length] != b"\xff\xd9":
-            raise ValueError("a frame of another coding")
+        if media[offset + length - 2 : offset + length] != b"\xff\xd9":
+            raise ValueError("a frame without its end")
+        plain = plain and media[offset : offset + len(head)] == head
         parts.append(media[offset + len(head) : offset + length - 2])
+    if not plain:
+        read = [(f := Frame.read(media[a : a + n])).levels(media[a + f.data : a + n - 2]) for a, n in places]
+        if len({len(x) for x in read}) > 1:
+            raise ValueError("frames of several sizes")
+        return np.stack(read)
     flat = np.frombuffer(b"".join(parts), np.uint8)
     keep = np.ones(len(flat), bool)
     keep[1:] = ~((flat[1:] == 0) & (flat[:-1] == 0xFF))
@@ -203,7 +316,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of a table with doc_id and ``media``; a null medium has none."""
+    """Timed clip rows of a table with doc_id and ``media``; a null medium has none, nor has one that can't be read (empty, cut off, no baseline JPEG frames)."""
     schema = common.arrow_schema(CLIPS)
 
     def run(batches):
@@ -212,8 +325,11 @@ def clips(media: DataFrame) -> DataFrame:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if data is None:
                     continue
-                places, _, pace = parse_avi(data)
-                levels = decode_frames(data, places)
+                try:
+                    places, _, pace = parse_avi(data)
+                    levels = decode_frames(data, places)
+                except (ValueError, struct.error, LookupError):
+                    continue
                 rows += [(doc, k, a, b, a * pace // 1000, (b + 1) * pace // 1000, float(levels[a : b + 1].mean())) for k, (a, b) in enumerate(shots(levels))]
             if rows:
                 yield common.to_batch(dict(zip(schema.names, zip(*rows))), schema)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -47,3 +48,48 @@ def test_clips(spark):
     got = [tuple(r)[:6] for r in M.clips(df).orderBy("doc_id", "clip").collect()]
     assert got == [(1, 0, 0, 5, 0, 240), (1, 1, 6, 10, 240, 440), (1, 2, 11, 16, 440, 680), (2, 0, 0, 0, 0, 40), (3, 0, 0, 0, 0, 40)]
     assert np.array_equal(np.unique(M._BACK[M._BACK < 999]), np.arange(-255, 256))
+
+
+def test_general_decoder_equals_the_fast_one():
+    random.seed(4)
+    payload = bytes(random.randrange(256) for _ in range(64 * 40))
+    media = M.encode_avi(payload)
+    places, _, _ = M.parse_avi(media)
+    for (a, n), row in zip(places, M.decode_frames(media, places)):
+        frame = M.Frame.read(media[a : a + n])
+        assert frame.is_plain() and (frame.levels(media[a + frame.data : a + n - 2]) == row).all()
+
+
+def foreign(levels, step=4):
+    """A frame of another coding: two components, 2 x 1 sampling, codes of its own, an AC term in each block, restarts."""
+    bits = lambda v, n: f"{v:0{n}b}" if n else ""
+    codes = {s: bits(s, 4) for s in range(12)}  # sizes 0 to 11 in four bits each
+    head = b"\xff\xd8" + M._segment(0xFE, b"note") + M._segment(0xDB, bytes([0, *[step] * 64]))
+    head += M._segment(0xC0, struct.pack(">BHHB", 8, 8 * levels.shape[0], 8 * levels.shape[1], 2) + bytes([1, 0x21, 0, 2, 0x11, 0]))
+    head += M._segment(0xC4, bytes([0, 0, 0, 0, 12, *[0] * 12, *range(12)])) + M._segment(0xC4, bytes([0x10, 0, 2, *[0] * 14, 0x00, 0x11]))
+    head += M._segment(0xDD, struct.pack(">H", 1)) + M._segment(0xDA, bytes([2, 1, 0x00, 2, 0x00, 0, 63, 0]))
+    out = []
+    for k, pair in enumerate(levels.reshape(-1, 2)):
+        text, last = "", 0
+        for v in [*pair.tolist(), None]:
+            d = 0 if v is None else (v - 128) * 8 // step - last
+            last += 0 if v is None else d
+            n = abs(d).bit_length()
+            text += codes[n] + bits(d if d > 0 else d + (1 << n) - 1, n) + "01" + "1" + "00"  # one AC term after a zero, then the end
+        text += "1" * (-len(text) % 8)
+        out.append(int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\0") + (bytes([0xFF, 0xD0 + k % 8]) if k < levels.size // 2 - 1 else b""))
+    return head + b"".join(out) + b"\xff\xd9"
+
+
+def test_frames_of_another_coding():
+    levels = np.random.default_rng(1).integers(0, 256, (3, 6))
+    frame = foreign(levels)
+    assert (M.decode_frames(frame, [(0, len(frame))])[0] == levels.reshape(-1)).all()
+
+
+def test_broken_media(spark):
+    good = M.encode_avi(b"a" * 640)
+    at = good.index(b"\xff\xc0")
+    bad = [None, b"", b"RIFF", b"x" * 500, good[:-40], good[: len(good) // 2], good[:at] + b"\xff\xc2" + good[at + 2 :], good.replace(b"00dc", b"01wb"), good.replace(b"\xff\xd9", b"\xff\xd8")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*bad, good])], "doc_id int, media binary")
+    assert [r["doc_id"] for r in M.clips(df).collect()] == [len(bad)]
