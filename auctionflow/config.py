@@ -1,43 +1,9 @@
-"""Run parameters as ``--key value`` pairs, and the generator's settings."""
+"""The generator's settings."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, fields
-
-
-class Config:
-    """``--key value`` pairs; arguments without a key are numbered from 0."""
-
-    def __init__(self, args: Iterable[str] = ()):
-        self.values: dict[str, str] = {}
-        args, place = iter(args), 0
-        for a in args:
-            if a.startswith("--"):
-                self.values[a[2:]] = next(args, "")
-            else:
-                self.values[str(place)] = a
-                place += 1
-
-    def insert(self, key: str, value: object) -> None:
-        self.values[key] = str(value)
-
-    def get(self, key: str) -> str | None:
-        return self.values.get(key)
-
-    def get_as(self, key: str, kind: Callable[[str], object]) -> object | None:
-        """The value read as ``kind``; None if it is absent or can't be read so."""
-        try:
-            return kind(self.values[key])
-        except (KeyError, ValueError):
-            return None
-
-    def get_or(self, key: str, default: str) -> str:
-        return self.values.get(key, default)
-
-    def get_as_or(self, key: str, kind: Callable[[str], object], default: object) -> object:
-        found = self.get_as(key, kind)
-        return default if found is None else found
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 def names(text: str) -> tuple[str, ...]:
@@ -71,21 +37,21 @@ class GeneratorConfig:
     first_person_id: int = 1_000
     base_time: int = 0  # ns
     threads: int = 1
-    us_states: tuple[str, ...] = field(default=names("AZ,CA,ID,OR,WA,WY"))
-    us_cities: tuple[str, ...] = field(default=names("phoenix,los angeles,san francisco,boise,portland,bend,redmond,seattle,kent,cheyenne"))
+    us_states: tuple[str, ...] = names("AZ,CA,ID,OR,WA,WY")
+    us_cities: tuple[str, ...] = names("phoenix,los angeles,san francisco,boise,portland,bend,redmond,seattle,kent,cheyenne")
 
     @classmethod
-    def of(cls, config: Config) -> GeneratorConfig:
-        """From options; ``first-event-rate`` stands for ``events-per-second`` too.  A second, other rate is refused."""
-        given = {f.name: f.name.replace("_", "-") for f in fields(cls)}
+    def of(cls, options: Mapping[str, object]) -> GeneratorConfig:
+        """From options by name with dashes; others are ignored, values that can't be read are refused.
+
+        ``first-event-rate`` stands for ``events-per-second``; a later rate has to be the same.
+        """
         found = {}
-        for name, option in given.items():
-            default = getattr(cls(), name)
-            value = config.get_as(option, names if isinstance(default, tuple) else int)
-            if value is not None:
-                found[name] = value
-        rate = config.get_as_or("first-event-rate", int, found.get("events_per_second", cls().events_per_second))
-        if config.get_as_or("next-event-rate", int, rate) != rate:
+        for f in fields(cls):
+            if (value := options.get(f.name.replace("_", "-"))) is not None:
+                found[f.name] = names(str(value)) if isinstance(f.default, tuple) else int(value)
+        rate = int(options.get("first-event-rate", found.get("events_per_second", cls.events_per_second)))
+        if int(options.get("next-event-rate", rate)) != rate:
             raise ValueError("only a constant rate is supported")
         return cls(**found | {"events_per_second": rate})
 

@@ -14,7 +14,7 @@ from ..schema import demux
 from ..sources import generator
 from ..sources.tables import Tables
 from ..streaming import queries as streams
-from . import logical
+from . import logical, registry
 
 HOUR, DAY = 3_600, 86_400
 REGIONS = ("ASIA", "EUROPE", "AMERICA")  # stand for the states of Q3
@@ -232,6 +232,45 @@ def generated_bids(spark, sf_dir):
     return demux(generator.generate_events(spark, GENERATED, CONFIG))[2]
 
 
+# --- the registered names over generated events, with their own windows; names that differ in backend or form have one SQL
+
+_GENERATED = "WITH " + ", ".join(f"{n} AS ({SQL[f'generated_{n}']})" for n in ("people", "auctions", "bids"))
+_GENERATED_CLOSED = f"""{_GENERATED}, closed AS (
+  SELECT id, category, seller, expires, bidder, price FROM auctions JOIN bids ON id = auction
+  WHERE price >= reserve AND bids.date_time >= auctions.date_time AND bids.date_time < expires
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY price DESC, bids.date_time, bidder) = 1
+)"""
+PARAMS = registry.Params(5, 3)
+
+
+def _generated_windows(slide: int, count: int) -> str:
+    start = f"to_timestamp((epoch_us(date_time) // 1000000 // {slide} - k) * {slide})::TIMESTAMP"
+    return f"{_GENERATED}, w AS (SELECT auction, {start} AS w_start, {start} + INTERVAL {slide * count} SECOND AS w_end FROM bids, range(0, {count}) r(k))"
+
+
+def _registered_sql(name: str) -> str:
+    if name.startswith("window"):
+        w = _generated_windows(int(PARAMS.window_slide), PARAMS.window_slice_count)
+        return f"{w} SELECT w_end AS window_end, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1" if name.endswith("count") else f"{w} SELECT w_end AS window_end, auction, CAST(rank() OVER (PARTITION BY w_end ORDER BY auction) AS BIGINT) AS rank FROM w"
+    width = 720 if name == "q8" else 12 * HOUR
+    return {
+        "q3": f"{_GENERATED} SELECT name, city, state, auctions.id AS auction FROM auctions JOIN people ON seller = people.id WHERE category = 10 AND state IN ('OR', 'ID', 'CA')",
+        "q4": f"{_GENERATED_CLOSED} SELECT category, CAST(sum(price) // count(*) AS BIGINT) AS average FROM closed GROUP BY 1",
+        "q5": f"{_generated_windows(1, 60)}, c AS (SELECT w_start, w_end, auction, count(*) AS n FROM w GROUP BY ALL) SELECT w_start AS window_start, w_end AS window_end, auction, n FROM c QUALIFY row_number() OVER (PARTITION BY w_start ORDER BY n DESC, auction DESC) = 1",
+        "q6": f"{_GENERATED_CLOSED} SELECT id, bidder, expires, CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS average FROM closed WINDOW w AS (PARTITION BY bidder ORDER BY expires, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
+        "q7": f"{_GENERATED} SELECT time_bucket(INTERVAL 10 SECOND, date_time) + INTERVAL 10 SECOND AS window_end, max(price) AS price FROM bids GROUP BY 1",
+        "q8": f"{_GENERATED} SELECT seller AS person, id AS auction, date_time FROM auctions WHERE EXISTS (SELECT 1 FROM people p WHERE p.id = seller AND auctions.date_time >= p.date_time AND auctions.date_time < p.date_time + INTERVAL {width} SECOND)",
+    }[name[:2]]
+
+
+def registered(name: str) -> Query:
+    return lambda spark, sf_dir: registry.QUERIES[name].plan(registry.Streams(*generator.generate(spark, GENERATED, CONFIG)), PARAMS)
+
+
+for _name in registry.QUERIES:
+    query(_registered_sql(_name), f"registered_{_name}")(registered(_name))
+
+
 # --- streaming twins, flushed to the end: the same SQL
 
 

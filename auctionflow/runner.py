@@ -13,7 +13,7 @@ from contextlib import nullcontext
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .config import Config, GeneratorConfig
+from .config import GeneratorConfig
 from .metrics import Progress, ResidentMemory, ccdf, timeline, write_rows
 from .plans.registry import Params, Streams, select
 from .sources import generator
@@ -40,10 +40,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[str, float]:
     """Seconds by query name."""
-    settings = Config()
-    for key, value in (("in-flight-auctions", args.rate * 2592), ("events-per-second", args.rate), *args.option):
-        settings.insert(key, value)
-    config, params = GeneratorConfig.of(settings), Params(args.window_slide, args.window_slice_count)
+    config, params = GeneratorConfig.of({"in-flight-auctions": args.rate * 2592, "events-per-second": args.rate, **dict(args.option)}), Params(args.window_slide, args.window_slice_count)
     took: dict[str, float] = {}
     log = open(args.metrics, "a") if args.metrics else None
     progress = Progress(log)

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CLOSED = "id bigint, category bigint, seller bigint, expires_us bigint, bidder bigint, price bigint, bid_us bigint"
+
+
 class WinningBid(StatefulProcessor):
     """Key: auction id.  Keeps the auction, its best valid bid, and bids that came before it; emits and forgets at ``expires``.
 
-    Bids whose auction doesn't come are forgotten ``patience_s`` after their time.
+    A bid without an auction is kept until the watermark passes its time: an auction that comes
+    later opens later, so the bid can't be valid.  Bids on closed auctions go the same way.
     Times travel as microseconds.
     """
 
-    def __init__(self, patience_s: int = 40 * 365 * 86_400):
-        self.patience_ms = patience_s * 1_000
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.auction = handle.getValueState("auction", "category bigint, seller bigint, reserve bigint, opened bigint, expires bigint")
@@ -44,18 +44,21 @@ class WinningBid(StatefulProcessor):
                 self.best.update(min(bids, key=lambda b: (-b[0], b[1], b[2])))
         elif bids:
             self.early.appendList(bids)
-            self.handle.registerTimer(max(b[1] for b in bids) // 1_000 + self.patience_ms)
+            self.handle.registerTimer(max(b[1] for b in bids) // 1_000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        out = ()
+        out, now = (), expiredTimerInfo.getExpiryTimeInMs() * 1_000
         if self.auction.exists():
             category, seller, _, _, expires = self.auction.get()
-            if expiredTimerInfo.getExpiryTimeInMs() * 1_000 < expires:
+            if now < expires:
                 return iter(())  # the timer of an early bid
             if self.best.exists():
                 price, at, bidder = self.best.get()
                 out = (Row(id=key[0], category=category, seller=seller, expires_us=expires, bidder=bidder, price=price, bid_us=at),)
+        elif left := [b for b in map(tuple, self.early.get()) if b[1] >= now]:  # these have a timer of their own
+            self.early.put(left)
+            return iter(())
         for state in (self.auction, self.best, self.early):
             state.clear()
         return iter(out)
@@ -64,13 +67,13 @@ class WinningBid(StatefulProcessor):
         pass
 
 
-def winning_bids(auctions: DataFrame, bids: DataFrame, **options) -> DataFrame:
+def winning_bids(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     """Streaming form of ``operators.closing.winning_bids``; both inputs carry watermarks on date_time."""
     none = F.lit(None).cast("bigint")
     at = F.unix_micros("date_time").alias("at")
     a = auctions.select(F.col("id").alias("auction"), F.lit("auction").alias("kind"), "category", "seller", "reserve", F.unix_micros("expires").alias("expires"), "date_time", at, none.alias("price"), none.alias("bidder"))
     b = bids.select("auction", F.lit("bid").alias("kind"), none.alias("category"), none.alias("seller"), none.alias("reserve"), none.alias("expires"), "date_time", at, "price", "bidder")
-    closed = a.unionByName(b).groupBy("auction").transformWithState(statefulProcessor=WinningBid(**options), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
+    closed = a.unionByName(b).groupBy("auction").transformWithState(statefulProcessor=WinningBid(), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
     return closed.select("id", "category", "seller", F.timestamp_micros("expires_us").alias("expires"), "bidder", "price", F.timestamp_micros("bid_us").alias("bid_time"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auctionflow import metrics, runner
-from auctionflow.config import Config, GeneratorConfig
+from auctionflow.config import GeneratorConfig
 from auctionflow.operators import verify
 from auctionflow.plans.registry import QUERIES, Params, Streams, select
 from auctionflow.schema import demux, event_id, event_time, mux
@@ -72,16 +72,16 @@ def test_rate_stream(spark):
 
 
 def test_options():
-    c = Config("first --rate 12 --us-states A,B second --bad x".split())
-    assert (c.get("0"), c.get("1"), c.get_as("rate", int), c.get_as("bad", int), c.get_or("none", "d"), c.get_as_or("bad", int, 3)) == ("first", "second", 12, None, "d", 3)
-    c.insert("in-flight-auctions", 7)
-    g = GeneratorConfig.of(c)
-    assert (g.in_flight_auctions, g.us_states, g.denominator) == (7, ("A", "B"), 50)
-    c.insert("first-event-rate", 10)
-    assert GeneratorConfig.of(c).events_per_second == 10
-    c.insert("next-event-rate", 20)
-    with pytest.raises(ValueError):
-        GeneratorConfig.of(c)
+    given = {"in-flight-auctions": "7", "us-states": "A,B", "unknown": "x"}
+    g = GeneratorConfig.of(given)
+    assert (g.in_flight_auctions, g.us_states, g.denominator, g.us_cities[0]) == (7, ("A", "B"), 50, "phoenix")
+    assert GeneratorConfig.of(given | {"first-event-rate": 10}).events_per_second == 10
+    for wrong in ({"first-event-rate": 10, "next-event-rate": 20}, {"threads": "many"}):
+        with pytest.raises(ValueError):
+            GeneratorConfig.of(wrong)
+    for missing in (["--rate"], ["--option", "threads"]):  # a key without its value
+        with pytest.raises(SystemExit):
+            runner.parser().parse_args(missing)
 
 
 def test_registry(spark):
