@@ -74,7 +74,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "8m")
 
 
-def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, object]], most: int = 1_000_000) -> DataFrame:
+def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, object]], most: int = 500_000) -> DataFrame:
     """mapInArrow over slices of about ``most`` bytes of text; ``work`` gets a slice (its ``text`` column is a string) and returns columns."""
     arrow = arrow_schema(schema)
     small_batches(df.sparkSession)
@@ -104,7 +104,7 @@ def texts(batch: pa.RecordBatch) -> list[str]:
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
 
 
-def keep_rows(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int = 1_000_000) -> DataFrame:
+def keep_rows(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int = 500_000) -> DataFrame:
     """The rows of ``df``, all columns as they are, for whose texts ``keep`` gives True; nothing is shuffled."""
     at = df.columns.index("text")
     small_batches(df.sparkSession)

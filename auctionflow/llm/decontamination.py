@@ -219,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
             "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": n_hit > 0, "item_ids": names, "spans": spans,
         }
 
-    return common.map_text(docs.select("doc_id", "text"), HITS, work, 1_000_000 if blocks.n <= 1 else 8_000_000)
+    return common.map_text(docs.select("doc_id", "text"), HITS, work, 500_000 if blocks.n <= 1 else 8_000_000)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 8_000_000) -> DataFrame:

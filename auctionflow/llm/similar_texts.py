@@ -10,11 +10,12 @@ shingles that are common in a sample last, which keeps shards small; any order
 gives the same result.  A BK-tree of each shard, searched within ``radius``
 bits (sets of under ``SMALL`` shingles: within any), tells which members have a candidate.
 
-A member takes its whole set to the ``picks`` shards where it has most
-candidates, and there each candidate pair whose members are not linked yet is compared
-exactly.  Candidates without a common pick are few; they meet in a shard of the
-smaller one.  Large shards are cut into cells, so no task holds a whole one; a
-task hands on stars, never pairs of a group.
+A member takes its whole set to the ``picks`` of its shards that have most candidate
+pairs, and there each candidate pair whose members are not linked yet is compared
+exactly.  Members with a candidate that has none of their picks take the shard with most such
+pairs too, ``more_picks`` times, and those that still have one all shards in which it is so.  Large
+shards are cut into cells, so no task holds a whole one; a task hands on members
+and stars, never the pairs of a group.
 
 Equal sets are one node.  Null and empty texts have the empty set and are linked
 with each other.  Rows that repeat a doc_id are one document: their texts are
@@ -46,7 +47,7 @@ SETS = "doc_id bigint, sig bigint, shingles array<bigint>"
 #: Sets of fewer shingles are candidates at any distance: few shingles scatter the bits of a fingerprint.
 SMALL = 24
 #: Members of a cell of a tree, and shingles of a cell whose sets are compared.
-TREE_NODES, CELL_SHINGLES = 4096, 500_000
+TREE_NODES, CELL_SHINGLES = 1024, 250_000
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -122,11 +123,16 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], most: int, weight: str | Non
         yield rows
 
 
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Number of the cell of each row."""
+    h, i, j = (rows.column(c).to_numpy() for c in ("h", "i", "j"))
+    return np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) - 1
+
+
 def _candidates(rows: pa.Table, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row, row) of a cell whose fingerprints and sizes let them be similar, each once."""
-    h, i, j, side, rep, n, fp = (rows.column(c).to_numpy() for c in ("h", "i", "j", "side", "rep", "n", "fp"))
-    group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) - 1
-    forest = Forest(fp.view(np.uint64), group, side != 1)
+    side, rep, n, fp = (rows.column(c).to_numpy() for c in ("side", "rep", "n", "fp"))
+    forest = Forest(fp.view(np.uint64), _groups(rows), side != 1)
     for q, at in forest.search(np.flatnonzero(side != 0), np.where(n < SMALL, 64, radius)):
         # a cell of two parts has each pair once, but its root may be of the searching part if the other has no row
         once = np.where(side[q] == 2, q > at, side[at] == 0)
@@ -135,21 +141,30 @@ def _candidates(rows: pa.Table, radius: int, least: float) -> Iterator[tuple[np.
 
 
 def _live(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, i, j, side, rep, sig, n, fp); those that have candidates, with their number."""
+    """Rows (h, i, j, side, rep, sig, n, fp, picks); those with a candidate they have no pick in common with, and how many such pairs their cell has."""
     schema = common.arrow_schema(LIVE)
     for rows in _whole_cells(batches, 200_000):
-        found = np.zeros(rows.num_rows, np.int64)
-        for pair in _candidates(rows, radius, least):
-            for x in pair:
-                found += np.bincount(x, minlength=len(found))
-        keep = found > 0
-        yield common.to_batch({**{c: rows.column(c).to_numpy()[keep] for c in ("h", "rep", "sig", "n", "fp")}, "found": found[keep]}, schema)
+        lists, group = rows.column("picks").combine_chunks(), _groups(rows)
+        width = np.diff(lists.offsets.to_numpy())
+        taken = np.arange(max(1, int(width.max()))) < width[:, None]
+        picks = np.zeros(taken.shape, np.int64)
+        picks[taken] = lists.flatten().to_numpy()
+        keep, found = np.zeros(rows.num_rows, bool), np.zeros(int(group[-1]) + 1, np.int64)
+        for q, at in _candidates(rows, radius, least):
+            met = np.zeros(len(q), bool)
+            for s in range(picks.shape[1]):
+                for t in range(picks.shape[1]):
+                    met |= (picks[q, s] == picks[at, t]) & taken[q, s] & taken[at, t]
+            q, at = q[~met], at[~met]
+            keep[q] = keep[at] = True
+            found += np.bincount(group[q], minlength=len(found))
+        yield common.to_batch({**{c: rows.column(c).to_numpy()[keep] for c in ("h", "rep", "sig", "n", "fp")}, "found": found[group[keep]]}, schema)
 
 
 def _compared(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
     """Rows (h, i, j, side, rep, n, fp, shingles); stars of reps whose sets are similar."""
     schema = common.arrow_schema(PAIRS)
-    for rows in _whole_cells(batches, 2 * CELL_SHINGLES, "n"):
+    for rows in _whole_cells(batches, 1_000_000, "n"):
         lists = rows.column("shingles").combine_chunks()
         n, rep = np.diff(lists.offsets.to_numpy()).astype(np.int64), rows.column("rep").to_numpy()
         bounds = np.r_[0, np.cumsum(n)]
@@ -189,31 +204,12 @@ def _compared(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> I
         yield common.to_batch({"a": rep[linked], "b": smallest[top][linked]}, schema)
 
 
-def _apart(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, i, j, side, rep, n, fp, picks); candidate pairs that have no pick in common."""
-    schema = common.arrow_schema(PAIRS)
-    for rows in _whole_cells(batches, 200_000):
-        rep, lists = rows.column("rep").to_numpy(), rows.column("picks").combine_chunks()
-        width = np.diff(lists.offsets.to_numpy())
-        taken = np.arange(max(1, int(width.max()))) < width[:, None]
-        picks = np.zeros(taken.shape, np.int64)
-        picks[taken] = lists.flatten().to_numpy()
-        for q, at in _candidates(rows, radius, least):
-            met = np.zeros(len(q), bool)
-            for s in range(picks.shape[1]):
-                for t in range(picks.shape[1]):
-                    met |= (picks[q, s] == picks[at, t]) & taken[q, s] & taken[at, t]
-            a, b = rep[q[~met]], rep[at[~met]]
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            yield common.to_batch({"a": pairs[:, 0], "b": pairs[:, 1]}, schema)
-
-
 def _by_cell(placed: DataFrame) -> DataFrame:
     """Rows with h, i, j and side in the tasks of their cells, tree members first."""
     return placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", (F.col("side") == 1).cast("int"), "rep")
 
 
-def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = 24, picks: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = 24, picks: int = 2, more_picks: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, component_id (the smallest doc_id linked, itself included), a row for each document with an id.
 
     Members of up to ``broadcast_rows`` rows (some tens of MB) are broadcast to the
@@ -228,15 +224,23 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius:
     shared = postings.join(several, "h").distinct()
     shared = common.cut(shared.join(own.select("rep", *FACTS).distinct(), "rep").select("h", "rep", *FACTS))
 
-    cell, most = ["h", "i", "j", "side"], F.lit(1)
-    live = _by_cell(cells(shared, ["h"], most, TREE_NODES).select(*cell, "rep", *FACTS)).mapInArrow(lambda it: _live(it, radius, least), LIVE)
-    live = common.cut(live.groupBy("h", "rep", *FACTS).agg(F.sum("found").alias("found")))
+    cell = ["h", "i", "j", "side"]
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Of members of shards (h, rep, picks), those that have a candidate there and no pick in common with it."""
+        placed = cells(rows, ["h"], F.lit(1), TREE_NODES).select(*cell, "rep", *FACTS, "picks")
+        return common.cut(_by_cell(placed).mapInArrow(lambda it: _live(it, radius, least), LIVE).groupBy("h", "rep", *FACTS).agg(F.sum("found").alias("found")))
+
+    live = apart(shared.withColumn("picks", F.array().cast("array<bigint>")))
     ranked = F.sort_array(F.collect_list(F.struct("found", "h")), asc=False)  # no more than a document's prefix has shingles
     chosen = common.cut(live.groupBy("rep", *FACTS).agg(F.transform(F.slice(ranked, 1, picks), lambda x: x["h"]).alias("picks")))
-    apart = _by_cell(cells(live.join(chosen, ["rep", *FACTS]), ["h"], most, TREE_NODES).select(*cell, "rep", "n", "fp", "picks")).mapInArrow(lambda it: _apart(it, radius, least), PAIRS)
-    apart = apart.distinct().select(F.explode(F.array("a", "b")).alias("rep"), F.col("b").alias("h")).distinct().join(chosen.select("rep", *FACTS), "rep").select("h", "rep", *FACTS)
-
-    members = chosen.select(F.explode("picks").alias("h"), "rep", *FACTS).unionByName(apart)
+    left = apart(live.join(chosen, ["rep", *FACTS]))
+    for _ in range(more_picks):
+        next_one = left.groupBy("rep", *FACTS).agg(F.max(F.struct("found", "h"))["h"].alias("more"))
+        more = F.when(F.col("more").isNull(), F.col("picks")).otherwise(F.array_union("picks", F.array("more")))
+        chosen = common.cut(chosen.join(next_one, ["rep", *FACTS], "left").select("rep", *FACTS, more.alias("picks")))
+        left = apart(left.join(chosen, ["rep", *FACTS]))
+    members = chosen.select(F.explode("picks").alias("h"), "rep", *FACTS).unionByName(left.drop("found")).distinct()
     where = cells(members, ["h"], F.col("n") + 1, CELL_SHINGLES).groupBy("rep", *FACTS).agg(F.collect_list(F.struct(*cell)).alias("where"))
     where = common.cut(where.withColumnRenamed("rep", "doc_id"))
     small = where.count() <= broadcast_rows
