@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+from cases import HOSTILE, hostile
 from test_findings import brute_private
 from test_similar_texts import brute_kept
 
@@ -41,3 +42,19 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and out.agg({"length": "max"}).first()[0] <= 4096
+
+
+def test_stages_on_hostile_rows(spark, sf_dir):
+    """All stages bear nulls, empty and very long texts, repeated rows, clashing columns and an empty table, and keep the columns."""
+    for rows in (HOSTILE, []):
+        docs = hostile(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns
+            kept = out.collect()
+            if name == "near_duplicates":
+                assert sorted({r["doc_id"] for r in kept} - {None}) == brute_kept(rows)
+            else:
+                assert len(kept) == len(rows), name
+                assert all((r["text"] is None) == (r["doc_id"] in (0, 9)) for r in kept)
+        assert len({r["doc_id"] for r in corpus_pipeline.packed(spark, docs, sf_dir).collect()}) == len({d for d, _ in rows})
