@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame that is written as Parquet and read again as the next
-one's ``docs``.  All but the last return the columns of documents.
+one's ``docs``.  All but the last return the columns of documents, extra ones too.
+
+Null texts count as empty and stay null; near_duplicates links null and empty texts
+as copies.  Rows without doc_id stay as they are: nothing links them.  Rows that
+repeat a doc_id are one document to near_duplicates and a row each to the
+others.  Texts of any length are read whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations
