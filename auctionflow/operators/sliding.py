@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import assign_windows, seconds
 from .running import running_sums
 
 RANK_BUCKET = 4_096  # ids that one task ranks at once
+LISTED_BUCKET = 256  # ids that one row of a streamed ranking holds
+PIECE = 60  # window sizes whose changes one task sums at once
 
 
 def direct_counts(bids: DataFrame, slide: float, size: float) -> DataFrame:
@@ -26,17 +30,24 @@ def sliced_counts(bids: DataFrame, slide: float, size: float) -> DataFrame:
 def incremental_counts(bids: DataFrame, slide: float, size: float) -> DataFrame:
     """The same by additions when a pane enters and deletions when it leaves (static frames).
 
-    A running sum by auction over the changes gives the count at each change; it
-    holds for the window ends until the next change.
+    Running sums by auction over the changes give the count at each change; it
+    holds for the window ends until the next change.  An auction's changes are cut
+    into pieces of time, so none of its tasks gets them all; where a pane lives on
+    into the next piece, that piece starts with a change of nothing.
     """
+    length, step = (F.expr(f"INTERVAL {seconds(x)}") for x in (size, slide))
+    piece = int(slide * 1_000_000) * math.ceil(size / slide) * PIECE
+    number = F.floor(F.unix_micros("at") / F.lit(piece))
+    following = F.timestamp_micros((number + 1) * F.lit(piece))
     panes = bids.groupBy(F.window("date_time", seconds(slide)).end.alias("at"), "auction").agg(F.count(F.lit(1)).alias("k"))
-    left = panes.select((F.col("at") + F.expr(f"INTERVAL {seconds(size)}")).alias("at"), "auction", (-F.col("k")).alias("k"))
-    changes = panes.unionByName(left).groupBy("auction", "at").agg(F.sum("k").alias("k"))
-    by = Window.partitionBy("auction").orderBy("at")
-    running = changes.select("auction", "at", F.sum("k").over(by).alias("n"), F.lead("at").over(by).alias("until")).where("n > 0")
-    step = F.expr(f"INTERVAL {seconds(slide)}")
-    ends = running.select("auction", "n", F.explode(F.sequence("at", F.col("until") - step, step)).alias("end"))
-    return ends.select(F.struct((F.col("end") - F.expr(f"INTERVAL {seconds(size)}")).alias("start"), "end").alias("w"), "auction", "n")
+    left = panes.select((F.col("at") + length).alias("at"), "auction", (-F.col("k")).alias("k"))
+    held = panes.where(following < F.col("at") + length).select(following.alias("at"), "auction", F.lit(0).cast("bigint").alias("k"))
+    changes = panes.unionByName(left).unionByName(held).groupBy("auction", "at").agg(F.sum("k").alias("k"))
+    running = running_sums(changes, ["auction"], number, ["at"], {"n": F.col("k")})
+    by = Window.partitionBy("auction", number).orderBy("at")
+    spans = running.select("auction", "n", "at", F.coalesce(F.lead("at").over(by), following).alias("until")).where("n > 0")
+    ends = spans.select("auction", "n", F.explode(F.sequence("at", F.col("until") - step, step)).alias("end"))
+    return ends.select(F.struct((F.col("end") - length).alias("start"), "end").alias("w"), "auction", "n")
 
 
 def hottest(counts: DataFrame) -> DataFrame:
@@ -66,11 +77,22 @@ def window_ranks(bids: DataFrame, slide: float, size: float, origin: str | None
     return ranked.select("window_end", "auction", (F.col("below") + 1).alias("rank"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
+def _below(items: str, by: str) -> Column:
+    """Each of ``items`` with the sum of n of those with a smaller ``by``."""
+    zero = F.lit(0).cast("bigint")
+    return F.transform(items, lambda x: F.struct(x.alias("x"), F.aggregate(F.filter(items, lambda y: y[by] < x[by]), zero, lambda s, y: s + y["n"]).alias("below")))
+
+
 def listed_ranks(bids: DataFrame, slide: float, size: float) -> DataFrame:
-    """The same for streams, where ranking windows are refused: counts of each window in one array, summed by a fold."""
-    counts = sliced_counts(bids, slide, size).select(F.col("w"), "auction", "n")
-    each = counts.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("auction", "n"))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.array().cast("array<struct<auction:bigint,n:bigint,rank:bigint>>").alias("out"))
-    fold = F.aggregate("items", start, lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.concat(s["out"], F.array(F.struct(x["auction"].alias("auction"), x["n"].alias("n"), (s["seen"] + 1).alias("rank")))).alias("out")))
-    rows = each.select(F.col("w.end").alias("window_end"), F.explode(fold["out"]).alias("x"))
-    return rows.select("window_end", F.col("x.auction").alias("auction"), F.col("x.rank").alias("rank"), F.explode(F.sequence(F.lit(1), F.col("x.n").cast("int"))).alias("copy")).drop("copy")
+    """The same for streams, where ranking windows are refused.
+
+    The counts of a window go into rows of ``LISTED_BUCKET`` auction ids; the totals of
+    these rows, one number each, are summed up in one row of the window and joined back.
+    """
+    counts = sliced_counts(bids, slide, size).select("w", F.floor(F.col("auction") / LISTED_BUCKET).alias("bucket"), "auction", "n")
+    cells = counts.groupBy("w", "bucket").agg(F.collect_list(F.struct("auction", "n")).alias("items"))
+    totals = counts.groupBy("w", "bucket").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))
+    before = totals.select("w", F.explode(_below("buckets", "bucket")).alias("b")).select("w", F.col("b.x.bucket").alias("bucket"), F.col("b.below").alias("earlier"))
+    rows = cells.join(before, ["w", "bucket"]).select("w", "earlier", F.explode(_below("items", "auction")).alias("a"))
+    ranked = rows.select(F.col("w.end").alias("window_end"), F.col("a.x.auction").alias("auction"), (F.col("earlier") + F.col("a.below") + 1).alias("rank"), F.col("a.x.n").alias("n"))
+    return ranked.select("window_end", "auction", "rank", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")

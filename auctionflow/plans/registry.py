@@ -62,7 +62,7 @@ def _q4(s: Streams, p: Params) -> DataFrame:
 
 def _q5(form: str) -> Callable[[Streams, Params], DataFrame]:
     def plan(s: Streams, p: Params) -> DataFrame:
-        return logical.hot_items(s.bids, 1, 60, "sliced" if s.bids.isStreaming else form)
+        return logical.hot_items(s.bids, 1, 60, "sliced" if s.bids.isStreaming and form == "incremental" else form)
 
     return plan
 

@@ -92,6 +92,15 @@ def test_forms_agree(spark, slide, slices):
     assert verify.same(ranks, sliding.listed_ranks(b, slide, slide * slices))
 
 
+def test_hot_auction_in_pieces(spark):
+    """One auction over many pieces of time, with gaps and panes that live on from one piece into the next."""
+    n = sliding.PIECE * 5 * 4
+    b = bids(spark, [(1, t, 1, t) for t in range(n) if t % 97 > 20] + [(700, 0, 1, t) for t in range(0, n, 3)])
+    direct = sliding.direct_counts(b, 1, 5).select("w.start", "w.end", "auction", "n")
+    assert verify.same(direct, sliding.incremental_counts(b, 1, 5).select("w.start", "w.end", "auction", "n"))
+    assert verify.same(sliding.window_ranks(b, 50, 100), sliding.listed_ranks(b, 50, 100))
+
+
 def test_verify_counts_repeats(spark):
     one, two = spark.createDataFrame([(1,), (1,)], "a int"), spark.createDataFrame([(1,)], "a int")
     assert verify.same(one, one) and not verify.same(one, two) and not verify.same(two, one)

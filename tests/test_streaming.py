@@ -39,6 +39,14 @@ def test_winning_bids_and_averages(spark, tmp_path):
     assert verify.same(logical.last_average(want, last=3), FiniteRun(spark).append(stateful.last_average(landed, last=3)))
 
 
+@pytest.mark.parametrize("form", ["direct", "sliced"])
+def test_hot_items_forms(spark, tmp_path, form):
+    b = bids(spark, [(n * n % 7, n, n, n * 3.7 % 61) for n in range(150)])
+    run = FiniteRun(spark)
+    got = run.append(logical.hot_items(run.ending(as_stream(spark, b, tmp_path, "b", 3)), 2, 5, form))
+    assert verify.same(logical.hot_items(b, 2, 5), got)
+
+
 @pytest.mark.parametrize("backend", ["memory", "rocksdb"])
 def test_backends(spark, tmp_path, backend):
     b = bids(spark, [(n % 7, n, n, n * 3.7 % 61) for n in range(150)])
