@@ -9,10 +9,12 @@ of a document is looked at once however often it occurs in the benchmark, so
 repeated words cost no more than others.  Items of fewer words are found by the
 hash of all their words at every place.
 
-The benchmark is cut into blocks of at most about ``block_bytes`` of text.  One
-block is broadcast; of more, the indexes are put in the shared folder and each
-task goes through them one at a time for a slice of documents, so that memory
-is bounded on both sides and documents are read once and never shuffled.
+A benchmark of at most ``block_bytes`` of text is broadcast as an index.  Of a larger
+one, the fingerprints are joined in a shuffle: each fingerprint of a document comes
+with the stretch of words whose windows it is the least hash of, the same on the side of
+the benchmark, and the windows of stretches that meet are joined as texts.  A bit
+map of ``filter_bits`` (its size is fixed) keeps back nearly all fingerprints that the
+benchmark hasn't got.  Both ways give the same rows.
 
 Null and empty documents have no words.  Items without words or without an id
 can't be hit; items that share an id count once.  Repeated documents give a row
@@ -22,20 +24,20 @@ each.  An empty benchmark hits nothing.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from . import textbytes as tb
-from .token_files import _open
 
+MOST_BROADCAST = 200_000  # keys of 32 characters
 HITS = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, spans string"
 
 
@@ -71,8 +73,8 @@ def same_words(x: Words, p: np.ndarray, y: Words, q: np.ndarray, m: int) -> np.n
     return same
 
 
-def winnow(grams: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
-    """Places of the kept hashes; ``valid`` tells which windows (by their first place) count."""
+def minima(grams: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least hash in each window of ``w``, the last of equal ones."""
     n = len(grams) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -82,9 +84,14 @@ def winnow(grams: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
     last = np.zeros(n, np.int64)
     for j in range(1, w):
         last[grams[j : j + n] == least] = j
+    return np.arange(n) + last
+
+
+def winnow(grams: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
+    """Places of the kept hashes; ``valid`` tells which windows (by their first place) count."""
+    places = minima(grams, w)
     kept = np.zeros(len(grams), bool)
-    places = np.arange(n) + last
-    kept[places[valid[:n]]] = True
+    kept[places[valid[: len(places)]]] = True
     return np.flatnonzero(kept)
 
 
@@ -152,55 +159,160 @@ class Index:
             yield *table.found(docs, places), table
 
 
-class _Blocks:
-    """The indexes, one at a time; ``load`` gives the k-th."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
 
-    def __init__(self, n: int, broadcast=None, folder: str | None = None):
-        self.n, self.broadcast, self.folder = n, broadcast, folder
 
-    def __iter__(self) -> Iterator[Index]:
-        for k in range(self.n):
-            if self.broadcast is not None:
-                yield self.broadcast.value
-            else:
-                files, place = _open(f"{self.folder}/block-{k}")
-                with files.open_input_file(place) as f:
-                    yield pickle.loads(f.read())
-
-
-def _blocks(benchmark: DataFrame, window: int, k: int, block_bytes: int) -> _Blocks:
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    folder = None if n <= 1 else common.own_folder(spark, "benchmark")
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    for b in range(n):
-        rows = (items if n == 1 else items.where(block == b)).orderBy("item_id", "text").collect()
-        index = Index([r["item_id"] for r in rows], [r["text"] for r in rows], window, k)
-        if n == 1:
-            return _Blocks(1, broadcast=spark.sparkContext.broadcast(index))
-        files, place = _open(f"{folder}/block-{b}")
-        files.create_dir(place.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(place) as f:
-            f.write(pickle.dumps(index))
-    return _Blocks(n, folder=folder)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
-    """A row for each document; ``item_ids`` are the items hit, ``spans`` the hit word ranges (start:end, comma-joined)."""
-    blocks = _blocks(benchmark, window, k, block_bytes)
+def _small(benchmark: DataFrame, window: int, k: int, block_bytes: int) -> Broadcast | None:
+    """The index of a benchmark of at most ``block_bytes``; None of a larger one."""
+    items = _items(benchmark)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        return None
+    rows = items.orderBy("item_id", "text").collect()
+    return benchmark.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], window, k))
+
+
+def _places(prints: np.ndarray, m: int, bits: int) -> np.ndarray:
+    """The bit of each fingerprint of windows of ``m`` words."""
+    return (tb.mix(prints ^ np.uint64(m)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+STRETCH = "key string, m int, print bigint, bit bigint, first bigint, n int, stretch string"
+
+
+def _stretches(keys: pa.Array, words: Words, m: int, prints: np.ndarray, groups: np.ndarray, at: np.ndarray, bits: int) -> dict[str, object]:
+    """Columns of ``STRETCH``: the windows of ``m`` words at ``at``, one row for neighbours of one ``group``."""
+    new = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+    n, first = np.diff(np.r_[new, len(at)]), at[new]
+    spelled, begin = words.spelled
+    size = begin[first + n + m - 1] - begin[first] - 1  # without the last space
+    text = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(spelled[tb.ragged(begin[first], size)]))
+    of = words.text_of[first]
+    return {
+        "key": keys.take(pa.array(of)), "m": np.full(len(first), m, np.int32), "print": prints[new].view(np.int64), "bit": _places(prints[new], m, bits),
+        "first": first - words.bounds[of], "n": n.astype(np.int32), "stretch": text,
+    }
+
+
+def _whole(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, place of the least hash, that hash) of each window of ``window`` words."""
+    grams = tb.sequence_hashes(words.hashes, k)
+    least = minima(grams, window - k + 1)
+    at = np.flatnonzero(np.arange(len(least)) + window <= words.text_end[: len(least)])
+    return at, least[at], grams[least[at]]
+
+
+def _benchmark_stretches(benchmark: DataFrame, window: int, k: int, bits: int) -> DataFrame:
+    schema = common.arrow_schema(STRETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in tb.slices(batch.column(1), 500_000):
+                keys, words = batch.column(0).slice(a, b - a), Words(batch.column(1).slice(a, b - a))
+                at, group, prints = _whole(words, window, k)
+                yield common.to_batch(_stretches(keys, words, window, prints, group, at, bits), schema)
+                counts = np.diff(words.bounds)
+                for m in sorted({int(c) for c in counts if 0 < c < window}):
+                    at = words.bounds[:-1][counts == m]
+                    yield common.to_batch(_stretches(keys, words, m, tb.sequence_hashes(words.hashes, m)[at], at, at, bits), schema)
+
+    common.small_batches(benchmark.sparkSession)
+    return _items(benchmark).mapInArrow(run, STRETCH)
+
+
+def _document_stretches(docs: DataFrame, sizes: list[int], bitmap: Broadcast, window: int, k: int, bits: int) -> DataFrame:
+    """Stretches whose fingerprints have their bit set, and a row of m = 0 for each document, with its number of words as ``first``."""
+    schema = common.arrow_schema(STRETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bitmap.value
+        for batch in batches:
+            for a, b in tb.slices(batch.column(1), 500_000):
+                keys, words = batch.column(0).slice(a, b - a), Words(batch.column(1).slice(a, b - a))
+                n = len(keys)
+                zero = np.zeros(n, np.int64)
+                yield common.to_batch({"key": keys, "m": zero.astype(np.int32), "print": zero, "bit": zero, "first": np.diff(words.bounds), "n": zero.astype(np.int32), "stretch": [""] * n}, schema)
+                for m in sizes:
+                    if m == window:
+                        at, group, prints = _whole(words, window, k)
+                    else:
+                        prints = tb.sequence_hashes(words.hashes, m)
+                        at = group = np.flatnonzero(np.arange(len(prints)) + m <= words.text_end[: len(prints)])
+                        prints = prints[at]
+                    bit = _places(prints, m, bits)
+                    maybe = (held[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) != 0
+                    yield common.to_batch(_stretches(keys, words, m, prints[maybe], group[maybe], at[maybe], bits), schema)
+
+    common.small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, STRETCH)
+
+
+def _windows(stretches: DataFrame) -> DataFrame:
+    """(key, m, p, gram) of each window: its first word's place and its words."""
+    words = stretches.select("key", "m", "first", F.split("stretch", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return words.select("key", "m", (F.col("first") + F.col("i")).alias("p"), F.array_join(F.slice("w", F.col("i") + 1, F.col("m")), " ").alias("gram"))
+
+
+def _key() -> Column:
+    """Equal for rows of equal id and text, which have equal results; other columns play no part."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """((key, n_words) of each document, (key, p, m, items) of each benchmark window in them), by a join of fingerprints.
+
+    Fingerprints and windows that many documents share are dealt over tasks.  A window
+    of the benchmark is one row, with the ids of all items that it is in.
+    """
+    spark = docs.sparkSession
+    bench = common.cut(_benchmark_stretches(benchmark, window, k, bits))
+    sizes = sorted(r["m"] for r in bench.select("m").distinct().collect())  # at most ``window``
+    words64 = bench.groupBy(F.expr("bit >> 6").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # at most bits / 64 rows
+    held = np.zeros(bits >> 6, np.uint64)
+    held[words64["at"].to_numpy()] = words64["bits"].to_numpy().view(np.uint64)
+    found = common.cut(_document_stretches(docs.select(_key().alias("key"), "text"), sizes, spark.sparkContext.broadcast(held), window, k, bits))
+    counts, maybe = found.where("m = 0").select("key", F.col("first").alias("n_words")), found.where("m > 0")
+    total = maybe.count()
+    prints = bench.select("m", "print").distinct().join(maybe.groupBy("m", "print").agg(F.count(F.lit(1)).alias("size")), ["m", "print"])
+    met = common.cut(_windows(common.spread_join(maybe.drop("bit"), prints, ["m", "print"], "size", total)))
+    items = _windows(bench).groupBy("m", "gram").agg(F.collect_set("key").alias("items"))
+    grams = items.join(met.groupBy("m", "gram").agg(F.count(F.lit(1)).alias("size")), ["m", "gram"])
+    return counts, common.spread_join(met, grams, ["m", "gram"], "size", met.count()).select("key", "p", "m", "items")
+
+
+def _decontaminate_joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int, bits: int) -> DataFrame:
+    counts, hits = _joined(docs, benchmark, window, k, bits)
+    hits = common.cut(hits)
+    along = Window.partitionBy("key").orderBy("p")  # the hits of one document
+    reach = F.max("z").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = hits.groupBy("key", "p").agg(F.max(F.col("p") + F.col("m")).alias("z")).withColumn("new", F.coalesce(F.col("p") > reach, F.lit(True)).cast("int"))
+    ranges = ranges.withColumn("island", F.sum("new").over(along)).groupBy("key", "island").agg(F.min("p").alias("a"), F.max("z").alias("z"))
+    spans = ranges.groupBy("key").agg(F.sum(F.col("z") - F.col("a")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("a", "z"))).alias("r"))
+    spans = spans.select("key", "n_hit", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["a"].cast("string"), x["z"].cast("string"))), ",").alias("spans"))
+    items = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    per_key = counts.distinct().join(spans, "key", "left").join(items, "key", "left")
+    names, n_hit = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    return docs.select("doc_id", _key().alias("key")).join(per_key, "key").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"), names.alias("item_ids"), F.coalesce("spans", F.lit("")).alias("spans"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 8_000_000, filter_bits: int = 1 << 28) -> DataFrame:
+    """A row for each document; ``item_ids`` are the items hit, ``spans`` the hit word ranges (start:end, comma-joined).  ``filter_bits``: a power of 2, 64 at least."""
+    small = _small(benchmark, window, k, block_bytes)
+    if small is None:
+        return _decontaminate_joined(docs, benchmark, window, k, filter_bits)
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        docs = Words(batch.column(1))
+        docs, index = Words(batch.column(1)), small.value
         n = len(docs.bounds) - 1
         edge = np.zeros(len(docs.hashes) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
-        for index in blocks:
-            for p, number, table in index.hits(docs):
-                edge += np.bincount(p, minlength=len(edge)) - np.bincount(p + table.m, minlength=len(edge))
-                for d, i in np.unique(np.stack([docs.text_of[p], number], axis=1), axis=0).tolist():
-                    items[d].update(index.ids[x] for x in table.items[table.bounds[i] : table.bounds[i + 1]])
+        for p, number, table in index.hits(docs):
+            edge += np.bincount(p, minlength=len(edge)) - np.bincount(p + table.m, minlength=len(edge))
+            for d, i in np.unique(np.stack([docs.text_of[p], number], axis=1), axis=0).tolist():
+                items[d].update(index.ids[x] for x in table.items[table.bounds[i] : table.bounds[i + 1]])
         hit = np.cumsum(edge[:-1]) > 0
         sums = np.r_[0, np.cumsum(hit)]
         n_hit = sums[docs.bounds[1:]] - sums[docs.bounds[:-1]]
@@ -219,19 +331,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
             "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": n_hit > 0, "item_ids": names, "spans": spans,
         }
 
-    return common.map_text(docs.select("doc_id", "text"), HITS, work, 500_000 if blocks.n <= 1 else 8_000_000)
+    return common.map_text(docs.select("doc_id", "text"), HITS, work)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 8_000_000, filter_bits: int = 1 << 28) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; all columns stay."""
-    blocks = _blocks(benchmark, window, k, block_bytes)
+    small = _small(benchmark, window, k, block_bytes)
+    if small is None:
+        _, hits = _joined(docs, benchmark, window, k, filter_bits)
+        gone = common.cut(hits.select(F.col("key").alias("_hit")).distinct())
+        gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+        return docs.join(gone, _key() == gone["_hit"], "left_anti")
 
     def keep(text: pa.Array) -> np.ndarray:
         words = Words(text)
         clean = np.ones(len(text), bool)
-        for index in blocks:
-            for p, _, _ in index.hits(words):
-                clean[words.text_of[p]] = False
+        for p, _, _ in small.value.hits(words):
+            clean[words.text_of[p]] = False
         return clean
 
     return common.keep_rows(docs, keep)

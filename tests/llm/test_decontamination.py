@@ -88,9 +88,25 @@ def test_hostile(spark):
     docs = [x for x in HOSTILE]
     check(spark, hostile(spark), docs, [(1, "one two three"), (2, "word " * 12), (3, "ΣΑΣ")])
     check(spark, hostile(spark), docs, [])
+    # the join of fingerprints, with a bit map that holds nearly nothing back and with one that does
+    for bits in (64, 1 << 20):
+        check(spark, hostile(spark), docs, [(1, "one two three"), (2, "word " * 12), (3, "ΣΑΣ")], block_bytes=1, filter_bits=bits)
+    assert D.decontaminate(hostile(spark, []), spark.createDataFrame([(1, "a b")], "item_id int, text string"), block_bytes=1).collect() == []
     assert D.decontaminate(hostile(spark, []), spark.createDataFrame([(1, "a b")], "item_id int, text string")).collect() == []
 
 
+def test_hot_passages_by_join(spark):
+    """One passage in a third of the documents and half of the items; the join gives what the index gives, spans and ids too."""
+    hot = " ".join(f"hot{i}" for i in range(14))
+    docs = [(d, f"own{d} " * 5 + (hot if d % 3 == 0 else f"calm{d} " * 14) + (" tail" * (d % 7))) for d in range(3_000)] + [(3, "again " + hot), (3, None), (None, hot)]
+    items = [(i, (hot + f" item{i}") if i % 2 else f"item{i} " * 12) for i in range(40)]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
+    by_index, by_join = (sorted(map(repr, D.decontaminate(df, bench, block_bytes=b).collect())) for b in (8_000_000, 1))
+    assert by_index == by_join and sum("contaminated=True" in r for r in by_join) == 1_002
+    kept = [sorted(map(repr, D.drop_contaminated(df, bench, block_bytes=b).collect())) for b in (8_000_000, 1)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2_001
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 2_000])
 def test_corpus(spark, sf_dir, block_bytes):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
