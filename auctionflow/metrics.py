@@ -15,27 +15,31 @@ from pyspark.sql.streaming import StreamingQueryListener
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0)
 
 
-def ccdf(latencies: DataFrame, column: str = "latency_ns") -> DataFrame:
-    """(latency_ns, fraction, count): buckets of 1/16 octave and the share of samples at or above each."""
+def ccdf(latencies: DataFrame, column: str = "latency_ns", weight: str | None = None) -> DataFrame:
+    """(latency_ns, fraction, count): buckets of 1/16 octave and the share of samples at or above each; a row counts ``weight`` times."""
+    latencies = latencies.withColumn("_n", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")).where("_n > 0")
     size = F.pow(F.lit(2), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col(column), F.lit(1)))) - 4))
-    buckets = latencies.select((F.floor(F.col(column) / size) * size).cast("bigint").alias("latency_ns")).groupBy("latency_ns").count()
-    total = latencies.count()
-    rows, left, out = buckets.orderBy("latency_ns").collect(), total, []  # at most 16 a doubling: about a thousand
+    buckets = latencies.select((F.floor(F.col(column) / size) * size).cast("bigint").alias("latency_ns"), "_n").groupBy("latency_ns").agg(F.sum("_n").alias("n"))
+    rows, out = buckets.orderBy("latency_ns").collect(), []  # at most 16 a doubling: about a thousand
+    total = left = sum(r["n"] for r in rows)
     for r in rows:
-        out.append((r["latency_ns"], left / total, r["count"]))
-        left -= r["count"]
+        out.append((r["latency_ns"], left / total, r["n"]))
+        left -= r["n"]
     return latencies.sparkSession.createDataFrame(out, "latency_ns bigint, fraction double, count bigint")
 
 
-def timeline(latencies: DataFrame, time_ns: str = "time_ns", column: str = "latency_ns", bucket_ms: int = 250, trim_s: float = 0) -> DataFrame:
-    """Percentiles (p25, p50, p75, p95, p99, p99.9, max) of each interval; ``trim_s`` seconds are left out at both ends."""
+def timeline(latencies: DataFrame, time_ns: str = "time_ns", column: str = "latency_ns", bucket_ms: int = 250, trim_s: float = 0, weight: str | None = None) -> DataFrame:
+    """Percentiles (p25, p50, p75, p95, p99, p99.9, max) of each interval; ``trim_s`` seconds are left out at both ends, a row counts ``weight`` times."""
     width = bucket_ms * 1_000_000
     ends = latencies.agg(F.min(time_ns).alias("a"), F.max(time_ns).alias("b")).first()
     if ends["a"] is None:
         return latencies.sparkSession.createDataFrame([], "time_ns bigint, " + ", ".join(f"{n} bigint" for n in ("p25", "p50", "p75", "p95", "p99", "p999", "max")))
     cut = int(trim_s * 1e9)
     kept = latencies.where(F.col(time_ns).between(ends["a"] + cut, ends["b"] - cut)) if cut else latencies
-    found = kept.groupBy((F.floor((F.col(time_ns) - ends["a"]) / width) * width).alias("time_ns")).agg(F.percentile_approx(column, list(PERCENTILES), 10_000).alias("p"))
+    if weight:
+        kept = kept.where(F.col(weight) > 0)
+    percentiles = F.percentile(column, list(PERCENTILES), F.col(weight)) if weight else F.percentile_approx(column, list(PERCENTILES), 10_000)
+    found = kept.groupBy((F.floor((F.col(time_ns) - ends["a"]) / width) * width).alias("time_ns")).agg(percentiles.alias("p"))
     return found.select("time_ns", *(F.col("p")[i].cast("bigint").alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95", "p99", "p999", "max")))).orderBy("time_ns")
 
 

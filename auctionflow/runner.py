@@ -11,7 +11,6 @@ import time
 from contextlib import nullcontext
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .config import GeneratorConfig
 from .metrics import Progress, ResidentMemory, ccdf, timeline, write_rows
@@ -32,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--metrics", metavar="FILE", help="progress reports of streams as JSON lines, every 30 s")
     p.add_argument("--latency-output", help="file of the latency distribution; else the standard output")
     p.add_argument("--timeline-output")
+    p.add_argument("--trim", type=float, default=2, help="seconds at both ends of a stream that the timeline leaves out")
     p.add_argument("--sink", default="noop", help="format that takes the results: noop, console, parquet")
     p.add_argument("--sink-path")
     p.add_argument("--option", nargs=2, action="append", default=[], metavar=("KEY", "VALUE"), help="setting of the generator")
@@ -66,8 +66,8 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[s
     finally:
         spark.streams.removeListener(progress)
     if progress.rows:
-        latencies = spark.createDataFrame(progress.rows, "time_ns bigint, latency_ns bigint, rows bigint").withColumn("row", F.lit(1))
-        for path, label, table in ((args.latency_output, "latency_ccdf", ccdf(latencies)), (args.timeline_output, "summary_timeline", timeline(latencies))):
+        latencies = spark.createDataFrame(progress.rows, "time_ns bigint, latency_ns bigint, rows bigint")  # a batch's latency counts for each of its events
+        for path, label, table in ((args.latency_output, "latency_ccdf", ccdf(latencies, weight="rows")), (args.timeline_output, "summary_timeline", timeline(latencies, trim_s=args.trim if args.stream else 0, weight="rows"))):
             rows = [tuple(r) for r in table.collect()]
             with open(path, "w") if path else nullcontext(out) as f:
                 write_rows(label, rows, f)

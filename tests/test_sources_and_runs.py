@@ -109,6 +109,11 @@ def test_latency_tables(spark):
     assert len(lines) == 4 and lines[0]["max"] == 1_249 and lines[0]["p25"] <= lines[0]["p50"] <= lines[0]["p999"]
     assert len(metrics.timeline(df, trim_s=0.25).collect()) == 2
     assert metrics.timeline(df.where("false")).collect() == []
+    # a batch counts for each of its rows, an empty one not at all
+    batches = spark.createDataFrame([(0, 100, 3), (1, 900, 1), (2, 5_000, 0)], "time_ns bigint, latency_ns bigint, rows bigint")
+    assert [tuple(r)[1:] for r in metrics.ccdf(batches, weight="rows").orderBy("latency_ns").collect()] == [(1.0, 3), (0.25, 1)]
+    line = metrics.timeline(batches, weight="rows").first()
+    assert (line["p50"], line["max"]) == (100, 900)
 
 
 def test_runner(spark, tmp_path):
