@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontamination, language, licenses, media, near_duplicates, packing, private_data, repetitions, secrets, token_files, toxicity
+from . import conversations, decontamination, language, licenses, media, near_duplicates, packing, private_data, repetitions, secrets, token_files, toxicity, vector_links
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitions.periodic_runs(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_digests(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_files, op4_private_data, op5_licenses, op6_language, op7_simhash, op8_toxicity, op9_packing, op10_media, op12_periodic_runs, op13_conversations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_files, op4_private_data, op5_licenses, op6_language, op7_simhash, op8_toxicity, op9_packing, op10_media, op11_vector_links, op12_periodic_runs, op13_conversations)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.oracle_sql(), "op5_licenses": licenses.oracle_sql()}
