@@ -294,6 +294,10 @@ def stream_q5(spark, sf_dir):
     return streams.hot_items(spark, sf_dir)
 
 
+for _form in ("indexed", "running"):
+    query(_hot_sql(HOUR, 60), f"stream_q5_{_form}")(lambda spark, sf_dir, form=_form: streams.managed_hot_items(spark, sf_dir, form))
+
+
 @query(_Q6.format(closed=_closed_sql(), key="bidder"))
 def stream_q6(spark, sf_dir):
     return streams.last_average(spark, sf_dir)
@@ -317,3 +321,9 @@ def stream_window_count(spark, sf_dir):
 @query(_RANK.format(w=_windows_sql(6 * HOUR, 4)))
 def stream_window_rank(spark, sf_dir):
     return streams.window_ranks(spark, sf_dir)
+
+
+# --- four results of one run, which reads the events once
+
+for _name, _sql in (("hot_items", _hot_sql(HOUR, 60)), ("highest_bid", _Q7), ("new_users", _Q8.format(seconds=12 * HOUR)), ("window_counts", _COUNT.format(w=_windows_sql(HOUR, 6)))):
+    query(_sql, f"shared_{_name}")(lambda spark, sf_dir, name=_name: streams.shared(spark, sf_dir, name))

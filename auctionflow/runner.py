@@ -11,11 +11,13 @@ import time
 from contextlib import nullcontext
 
 from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from .config import GeneratorConfig
 from .metrics import Progress, ResidentMemory, ccdf, timeline, write_rows
-from .plans.registry import Params, Streams, select
+from .plans.registry import Params, Query, Streams, select
 from .sources import generator
+from .streaming.fanout import FanOut
 from .streaming.run import shared_folder, state_backend
 
 
@@ -27,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--window-slide", type=float, default=1)
     p.add_argument("--window-slice-count", type=int, default=60)
     p.add_argument("--stream", action="store_true", help="run as streams for the duration; else in one go")
+    p.add_argument("--shared", action="store_true", help="as streams, all at once over one reading of the events; else one after another, each with a source of its own")
     p.add_argument("--print-rss", action="store_true")
     p.add_argument("--metrics", metavar="FILE", help="progress reports of streams as JSON lines, every 30 s")
     p.add_argument("--latency-output", help="file of the latency distribution; else the standard output")
@@ -38,6 +41,27 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _start(spark: SparkSession, query: Query, streams: Streams, args: argparse.Namespace, params: Params) -> StreamingQuery:
+    writer = query.plan(streams, params).writeStream.outputMode(query.mode).format(args.sink).option("checkpointLocation", shared_folder(spark, "runner"))
+    with state_backend(spark, query.backend):
+        return writer.start(f"{args.sink_path}/{query.name}") if args.sink_path else writer.start()
+
+
+def _run_shared(spark: SparkSession, args: argparse.Namespace, config: GeneratorConfig, params: Params) -> dict[str, float]:
+    """All queries at once: one query captures the events, the others follow its feeds."""
+    fan = FanOut(spark, generator.numbers(spark, args.rate), generator.picks(config))
+    began, running = time.monotonic(), [fan.capture()]
+    queries = select(args.queries)
+    try:
+        for query in queries:
+            running.append(_start(spark, query, Streams(*(fan.feed(n).withWatermark("date_time", "0 seconds") for n in fan.feeds)), args, params))
+        running[0].awaitTermination(args.duration)
+    finally:
+        for query in running:
+            query.stop()
+    return {q.name: time.monotonic() - began for q in queries}
+
+
 def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[str, float]:
     """Seconds by query name."""
     config, params = GeneratorConfig.of({"in-flight-auctions": args.rate * 2592, "events-per-second": args.rate, **dict(args.option)}), Params(args.window_slide, args.window_slice_count)
@@ -47,16 +71,14 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[s
     spark.streams.addListener(progress)
     try:
         with log or nullcontext(), ResidentMemory(out) if args.print_rss else nullcontext():
-            for query in select(args.queries):
+            if args.shared:
+                took |= _run_shared(spark, args, config, params)
+            for query in () if args.shared else select(args.queries):
                 began = time.monotonic()
                 if args.stream:
-                    people, auctions, bids = (s.withWatermark("date_time", "0 seconds") for s in generator.stream(spark, config, args.rate))
-                    result = query.plan(Streams(people, auctions, bids), params)
-                    writer = result.writeStream.outputMode(query.mode).format(args.sink).option("checkpointLocation", shared_folder(spark, "runner"))
-                    with state_backend(spark, query.backend):
-                        running = writer.start(args.sink_path) if args.sink_path else writer.start()
-                        running.awaitTermination(args.duration)
-                        running.stop()
+                    running = _start(spark, query, Streams(*(s.withWatermark("date_time", "0 seconds") for s in generator.stream(spark, config, args.rate))), args, params)
+                    running.awaitTermination(args.duration)
+                    running.stop()
                 else:
                     result = query.plan(Streams(*generator.generate(spark, args.rate * args.duration, config)), params)
                     writer = result.write.format(args.sink).mode("overwrite")
@@ -67,7 +89,7 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[s
         spark.streams.removeListener(progress)
     if progress.rows:
         latencies = spark.createDataFrame(progress.rows, "time_ns bigint, latency_ns bigint, rows bigint")  # a batch's latency counts for each of its events
-        for path, label, table in ((args.latency_output, "latency_ccdf", ccdf(latencies, weight="rows")), (args.timeline_output, "summary_timeline", timeline(latencies, trim_s=args.trim if args.stream else 0, weight="rows"))):
+        for path, label, table in ((args.latency_output, "latency_ccdf", ccdf(latencies, weight="rows")), (args.timeline_output, "summary_timeline", timeline(latencies, trim_s=args.trim if args.stream or args.shared else 0, weight="rows"))):
             rows = [tuple(r) for r in table.collect()]
             with open(path, "w") if path else nullcontext(out) as f:
                 write_rows(label, rows, f)

@@ -112,3 +112,13 @@ def stream(spark: SparkSession, config: GeneratorConfig | None = None, rows_per_
     config = config or GeneratorConfig()
     rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second or config.events_per_second).load()
     return _streams(rate.withColumnRenamed("value", "n"), config)
+
+
+def numbers(spark: SparkSession, rows_per_second: int) -> DataFrame:
+    """The paced numbers that events are made from, for ``picks``."""
+    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("value").alias("n"))
+
+
+def picks(config: GeneratorConfig) -> dict:
+    """What people, auctions and bids take from ``numbers``, static or streaming."""
+    return {name: (lambda df, i=i: _streams(df, config)[i]) for i, name in enumerate(("people", "auctions", "bids"))}

@@ -49,11 +49,23 @@ class Tables:
 
     def bids(self) -> DataFrame:
         """Bids for windows, from events."""
-        price = F.round(F.col("value") * 100).cast("bigint")
-        return self.read("events").select(F.col("user_id").alias("auction"), F.col("event_id").alias("bidder"), price.alias("price"), F.col("ts").cast("timestamp").alias("date_time"))
+        return self.bids_of(self.read("events"))
 
     def new_people(self) -> DataFrame:
-        return self.read("events").where("event_type = 'signup'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("date_time"))
+        return self.people_of(self.read("events"))
 
     def new_auctions(self) -> DataFrame:
-        return self.read("events").where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("user_id").alias("seller"), F.col("ts").cast("timestamp").alias("date_time"))
+        return self.auctions_of(self.read("events"))
+
+    @staticmethod
+    def bids_of(events: DataFrame) -> DataFrame:
+        price = F.round(F.col("value") * 100).cast("bigint")
+        return events.select(F.col("user_id").alias("auction"), F.col("event_id").alias("bidder"), price.alias("price"), F.col("ts").cast("timestamp").alias("date_time"))
+
+    @staticmethod
+    def people_of(events: DataFrame) -> DataFrame:
+        return events.where("event_type = 'signup'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("date_time"))
+
+    @staticmethod
+    def auctions_of(events: DataFrame) -> DataFrame:
+        return events.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("user_id").alias("seller"), F.col("ts").cast("timestamp").alias("date_time"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sliding
 from ..plans import logical
 from ..sources.tables import Tables
+from . import hot_items as managed
 from . import stateful
+from .fanout import FanOut, run_finite
 from .run import FiniteRun
 
 DAY, HOUR = 86_400, 3_600
@@ -46,6 +50,14 @@ def hot_items(spark: SparkSession, sf_dir: str, slide: float = HOUR, slices: int
     return run.append(logical.hot_items(run.ending(Tables(spark, sf_dir, streaming=True).bids()), slide, slices, form))
 
 
+def managed_hot_items(spark: SparkSession, sf_dir: str, form: str, slide: float = HOUR, slices: int = 60) -> DataFrame:
+    """Parts of the auctions land in a sink; the best of each window's parts is a stream over it."""
+    first, last = FiniteRun(spark), FiniteRun(spark)
+    landed = first.append(managed.part_hottest(first.ending(Tables(spark, sf_dir, streaming=True).bids()), slide, slices, form))
+    parts = spark.readStream.schema(landed.schema).parquet(f"{first.folder}/out")
+    return last.append(managed.hottest_of_parts(last.ending(parts, "window_end"), slide * slices))
+
+
 def highest_bid(spark: SparkSession, sf_dir: str, width: float = DAY, backend: str = "rocksdb") -> DataFrame:
     run = FiniteRun(spark, backend)
     return run.append(logical.highest_bid(run.ending(Tables(spark, sf_dir, streaming=True).bids()), width))
@@ -64,3 +76,29 @@ def window_counts(spark: SparkSession, sf_dir: str, slide: float = HOUR, size: f
 def window_ranks(spark: SparkSession, sf_dir: str, slide: float = 6 * HOUR, size: float = DAY) -> DataFrame:
     run = FiniteRun(spark)
     return run.append(sliding.listed_ranks(run.ending(Tables(spark, sf_dir, streaming=True).bids()), slide, size)).select(F.col("window_end"), F.col("auction"), F.col("rank"))
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> tuple[FanOut, dict[str, DataFrame]]:
+    """Four queries over one reading of the events: Q5, Q7, Q8 and COUNT."""
+    t = Tables(spark, sf_dir, streaming=True)
+    feeds = {"bids": t.bids_of, "people": t.people_of, "auctions": t.auctions_of}
+    fan = FanOut(spark, t.read("events"), feeds)
+    return fan, run_finite(
+        fan,
+        {
+            "hot_items": lambda run, f: run.append(logical.hot_items(run.ending(f.feed("bids")), HOUR, 60)),
+            "highest_bid": lambda run, f: run.append(logical.highest_bid(run.ending(f.feed("bids")), DAY)),
+            "new_users": lambda run, f: run.append(logical.new_users(run.ending(f.feed("people")), run.ending(f.feed("auctions")), 12 * HOUR)),
+            "window_counts": lambda run, f: run.append(sliding.window_counts(run.ending(f.feed("bids")), HOUR, 6 * HOUR)),
+        },
+    )
+
+
+@functools.lru_cache(maxsize=2)
+def _shared_once(application: str, spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return _shared(spark, sf_dir)[1]
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One result of the shared run, which an application makes once for a folder."""
+    return _shared_once(spark.sparkContext.applicationId, spark, sf_dir)[name]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -20,9 +21,21 @@ BACKENDS = {
 END = "2262-01-01 00:00:00"
 
 
+#: Settings of the session are changed while a query starts, one at a time.
+_starting = threading.Lock()
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or local where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="auctionflow-")
+    """A new folder that all executors see: under spark.checkpoint.dir or the context's checkpoint folder; local only where neither is set and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            base = "file://" + tempfile.mkdtemp(prefix="auctionflow-")
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -68,9 +81,9 @@ class FiniteRun:
 
     def _once(self, result: DataFrame, mode: str, each: Callable[[DataFrame, int], None] | None, out: str) -> None:
         writer = result.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{self.folder}/checkpoint")
-        with state_backend(self.spark, self.backend):
+        with _starting, state_backend(self.spark, self.backend):
             query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(out)
-            query.awaitTermination()
+        query.awaitTermination()
         if query.exception():
             raise query.exception()
 
