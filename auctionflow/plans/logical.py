@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import seconds
 from ..operators import sliding
-from ..operators.running import running_sums
+from ..operators.panes import swept_hot_items
+from ..operators.running import last_sums, running_sums
 
 CATEGORY = 10
 STATES = ("OR", "ID", "CA")
@@ -33,21 +34,21 @@ def category_average_changes(closed: DataFrame) -> DataFrame:
 
 
 def hot_items(bids: DataFrame, slide: float = 1, slices: int = 60, form: str = "sliced") -> DataFrame:
-    """Q5: the auction with most bids in each sliding window; ``form`` is direct, sliced or incremental."""
-    counts = {"direct": sliding.direct_counts, "sliced": sliding.sliced_counts, "incremental": sliding.incremental_counts}[form]
+    """Q5: the auction with most bids in each sliding window; ``form`` is direct, sliced, incremental (static frames) or changes (the same by running sums)."""
+    if form == "incremental":
+        return swept_hot_items(bids, slide, slices)
+    counts = {"direct": sliding.direct_counts, "sliced": sliding.sliced_counts, "changes": sliding.incremental_counts}[form]
     return sliding.hottest(counts(bids, slide, slide * slices))
 
 
 def last_average(closed: DataFrame, key: str = "bidder", last: int = 10) -> DataFrame:
     """Q6: average of the last winning prices of each bidder (or seller), after each closed auction.
 
-    Running sums in pieces number a bidder's auctions; the sum of the last ones is
-    the difference of two, so a bidder with most of the auctions is spread over tasks.
+    A bidder's auctions are cut into pieces of an hour, each of which gets the last prices
+    of the pieces before it, so a bidder with most of the auctions is spread over tasks.
     """
     by_hour = F.floor(F.unix_micros("expires") / F.lit(3_600_000_000))
-    ran = running_sums(closed.select("id", key, "expires", "price"), [key], by_hour, ["expires", "id"], {"total": F.col("price"), "n": F.lit(1)})
-    before = ran.select(key, (F.col("n") + last).alias("n"), F.col("total").alias("earlier"))
-    rows = ran.join(before, [key, "n"], "left").withColumns({"total": F.col("total") - F.coalesce("earlier", F.lit(0)), "n": F.least("n", F.lit(last))})
+    rows = last_sums(closed.select("id", key, "expires", "price"), [key], by_hour, ["expires", "id"], "price", last)
     return rows.select("id", key, "expires", F.expr("total div n").alias("average"))
 
 

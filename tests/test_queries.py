@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auctionflow.functions.windows import assign_windows, from_event_time, to_event_time, tumbling_end, window_starts
 from auctionflow.operators import closing, sliding, verify
-from auctionflow.operators.running import running_sums
+from auctionflow.operators.running import last_sums, running_sums
 from auctionflow.plans import catalog, logical
 
 T0 = datetime(2024, 1, 1)
@@ -141,3 +141,17 @@ def test_catalog_against_sql(spark, sf_dir, name):
     columns = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.SQL[name]})").fetchall()
     assert sorted(tuple(r) for r in got.select(columns).collect()) == sorted(want) and want
+
+
+@pytest.mark.parametrize("last,most", [(2, 0), (10, 0), (10, 100), (10, 1_000)])
+def test_last_sums(spark, last, most):
+    """Pieces of one row, of many, and gaps between them; a key with most of the rows."""
+    made = [(0 if n % 10 else 1 + n % 3, n * n * 7919 % 5000, n, n) for n in range(400)]
+    df = spark.createDataFrame(made, "k int, t int, id int, v bigint")
+    got = {r["id"]: (r["total"], r["n"]) for r in last_sums(df, ["k"], F.floor(F.col("t") / 40), ["t", "id"], "v", last, most).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r["t"], r["id"]))
+    want = {}
+    for r in rows:
+        near = [x["v"] for x in rows if x["k"] == r["k"] and (x["t"], x["id"]) <= (r["t"], r["id"])][-last:]
+        want[r["id"]] = (sum(near), len(near))
+    assert got == want
