@@ -11,7 +11,8 @@ from ..functions.windows import assign_windows, seconds
 from .running import running_sums
 
 RANK_BUCKET = 4_096  # ids that one task ranks at once
-LISTED_BUCKET = 256  # ids that one row of a streamed ranking holds
+FAN = 256  # children of a node in a tree of sums
+COPIES = 65_536  # copies of a row made at once
 PIECE = 60  # window sizes whose changes one task sums at once
 
 
@@ -70,11 +71,27 @@ def window_counts(bids: DataFrame, slide: float, size: float, origin: str | None
     return out.select(F.col("w.end").alias("window_end"), "n")
 
 
+def repeated(df: DataFrame, n: str) -> DataFrame:
+    """Each row ``n`` times, without the column ``n``; two steps, so that no row holds an array of more than ``n / COPIES`` or ``COPIES`` numbers."""
+    columns = [c for c in df.columns if c != n]
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / F.lit(COPIES)))))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(COPIES).cast("bigint"), F.col(n) - F.col("_block") * COPIES)))
+    return blocks.withColumn("_copy", copies).select(*columns)
+
+
+def ranks_of(counts: DataFrame) -> DataFrame:
+    """RANK by auction of the bids behind ``counts`` (w, auction, n), a row for each bid; whole windows, static.
+
+    A rank is one more than the bids on smaller ids: running sums, in pieces of ids.
+    """
+    ranked = running_sums(counts, ["w"], F.floor(F.col("auction") / RANK_BUCKET), ["auction"], {"below": F.col("n")}, inclusive=False)
+    return repeated(ranked.select(F.col("w.end").alias("window_end"), "auction", (F.col("below") + 1).alias("rank"), "n"), "n")
+
+
 def window_ranks(bids: DataFrame, slide: float, size: float, origin: str | None = None) -> DataFrame:
-    """RANK of every bid by auction in each of its windows (static frames): a rank is one more than the bids on smaller ids."""
-    rows = assign_windows(bids.select("auction", "date_time"), "date_time", slide, size, origin).groupBy("window_end", "auction").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_sums(rows, ["window_end"], F.floor(F.col("auction") / RANK_BUCKET), ["auction"], {"below": F.col("n")}, inclusive=False)
-    return ranked.select("window_end", "auction", (F.col("below") + 1).alias("rank"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    """RANK of every bid by auction in each of its windows (static frames)."""
+    rows = assign_windows(bids.select("auction", "date_time"), "date_time", slide, size, origin)
+    return ranks_of(rows.groupBy(F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end")).alias("w"), "auction").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _below(items: str, by: str) -> Column:
@@ -84,15 +101,19 @@ def _below(items: str, by: str) -> Column:
 
 
 def listed_ranks(bids: DataFrame, slide: float, size: float) -> DataFrame:
-    """The same for streams, where ranking windows are refused.
+    """The same as one plan for streams, where ranking windows are refused: a tree of sums over the auction ids of each window.
 
-    The counts of a window go into rows of ``LISTED_BUCKET`` auction ids; the totals of
-    these rows, one number each, are summed up in one row of the window and joined back.
+    A node has ``FAN`` children in a list: ids under leaves, leaves under inner nodes, these
+    under the window's root.  What stands before a node comes down from its parent.
     """
-    counts = sliced_counts(bids, slide, size).select("w", F.floor(F.col("auction") / LISTED_BUCKET).alias("bucket"), "auction", "n")
-    cells = counts.groupBy("w", "bucket").agg(F.collect_list(F.struct("auction", "n")).alias("items"))
-    totals = counts.groupBy("w", "bucket").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))
-    before = totals.select("w", F.explode(_below("buckets", "bucket")).alias("b")).select("w", F.col("b.x.bucket").alias("bucket"), F.col("b.below").alias("earlier"))
-    rows = cells.join(before, ["w", "bucket"]).select("w", "earlier", F.explode(_below("items", "auction")).alias("a"))
+    counts = sliced_counts(bids, slide, size).select("w", F.floor(F.col("auction") / FAN).alias("leaf"), "auction", "n")
+    leaves = counts.groupBy("w", "leaf").agg(F.collect_list(F.struct("auction", "n")).alias("items"))
+    sums = counts.groupBy("w", "leaf").agg(F.sum("n").alias("n")).withColumn("inner", F.floor(F.col("leaf") / FAN))
+    inners = sums.groupBy("w", "inner").agg(F.collect_list(F.struct("leaf", "n")).alias("items"))
+    roots = sums.groupBy("w", "inner").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("inner", "n")).alias("items"))
+    at_inner = roots.select("w", F.explode(_below("items", "inner")).alias("b")).select("w", F.col("b.x.inner").alias("inner"), F.col("b.below").alias("earlier"))
+    at_leaf = inners.join(at_inner, ["w", "inner"]).select("w", "earlier", F.explode(_below("items", "leaf")).alias("b"))
+    at_leaf = at_leaf.select("w", F.col("b.x.leaf").alias("leaf"), (F.col("earlier") + F.col("b.below")).alias("earlier"))
+    rows = leaves.join(at_leaf, ["w", "leaf"]).select("w", "earlier", F.explode(_below("items", "auction")).alias("a"))
     ranked = rows.select(F.col("w.end").alias("window_end"), F.col("a.x.auction").alias("auction"), (F.col("earlier") + F.col("a.below") + 1).alias("rank"), F.col("a.x.n").alias("n"))
-    return ranked.select("window_end", "auction", "rank", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    return repeated(ranked, "n")

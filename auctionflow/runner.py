@@ -10,7 +10,7 @@ import sys
 import time
 from contextlib import nullcontext
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from .config import GeneratorConfig
@@ -42,9 +42,19 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _start(spark: SparkSession, query: Query, streams: Streams, args: argparse.Namespace, params: Params) -> StreamingQuery:
-    writer = query.plan(streams, params).writeStream.outputMode(query.mode).format(args.sink).option("checkpointLocation", shared_folder(spark, "runner"))
+    writer, path = query.plan(streams, params).writeStream.outputMode(query.mode), f"{args.sink_path}/{query.name}" if args.sink_path else None
+    if query.finish:
+
+        def each(batch: DataFrame, number: int) -> None:
+            out = query.finish(batch).write.format(args.sink).mode("overwrite" if path else "append")
+            out.save(f"{path}/batch-{number:08d}") if path else out.save()
+
+        writer = writer.foreachBatch(each)
+    else:
+        writer = writer.format(args.sink)
     with state_backend(spark, query.backend):
-        return writer.start(f"{args.sink_path}/{query.name}") if args.sink_path else writer.start()
+        writer = writer.option("checkpointLocation", shared_folder(spark, "runner"))
+        return writer.start(path) if path and not query.finish else writer.start()
 
 
 def _run_shared(spark: SparkSession, args: argparse.Namespace, config: GeneratorConfig, params: Params) -> dict[str, float]:

@@ -74,8 +74,10 @@ def window_counts(spark: SparkSession, sf_dir: str, slide: float = HOUR, size: f
 
 
 def window_ranks(spark: SparkSession, sf_dir: str, slide: float = 6 * HOUR, size: float = DAY) -> DataFrame:
+    """A window's counts come in the batch that closes it, all at once, and are ranked there."""
     run = FiniteRun(spark)
-    return run.append(sliding.listed_ranks(run.ending(Tables(spark, sf_dir, streaming=True).bids()), slide, size)).select(F.col("window_end"), F.col("auction"), F.col("rank"))
+    counts = sliding.sliced_counts(run.ending(Tables(spark, sf_dir, streaming=True).bids()), slide, size)
+    return run.append_each(counts, sliding.ranks_of)
 
 
 def _shared(spark: SparkSession, sf_dir: str) -> tuple[FanOut, dict[str, DataFrame]]:

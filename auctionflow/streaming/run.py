@@ -97,6 +97,24 @@ class FiniteRun:
             self._once(result, "append", None, out)
         return self.spark.read.schema(result.schema).parquet(out)
 
+    def append_each(self, result: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``work`` on each batch of an append-mode query, as a static frame; a batch that Spark repeats replaces what it wrote."""
+        out = f"{self.folder}/each"
+        schema: list = []
+
+        def each(batch: DataFrame, number: int) -> None:
+            done = work(batch)
+            schema[:] = [done.schema]
+            done.write.mode("overwrite").parquet(f"{out}/batch-{number:08d}")
+
+        self._once(result, "append", each, "")
+        for path, row in self.sides:
+            row.write.mode("append").parquet(path)
+        if self.sides:
+            self._once(result, "append", each, "")
+        reader = self.spark.read.option("recursiveFileLookup", "true")
+        return reader.schema(schema[0]).parquet(out) if schema else work(self.spark.createDataFrame([], result.schema))
+
     def complete(self, result: DataFrame) -> DataFrame:
         """The last state of a complete-mode query: each batch replaces the result."""
         paths: list[str] = []

@@ -155,3 +155,16 @@ def test_last_sums(spark, last, most):
         near = [x["v"] for x in rows if x["k"] == r["k"] and (x["t"], x["id"]) <= (r["t"], r["id"])][-last:]
         want[r["id"]] = (sum(near), len(near))
     assert got == want
+
+
+def test_ranks_of_many_ids_and_bids(spark):
+    """100,000 buckets of ids in a window, and an auction with ten million bids."""
+    ids = spark.range(100_000).select((F.col("id") * sliding.RANK_BUCKET).alias("auction"), F.lit(1).cast("bigint").alias("n"))
+    w = F.struct(F.lit(T0).alias("start"), F.lit(at(10)).alias("end")).alias("w")
+    ranks = sliding.ranks_of(ids.select(w, "auction", "n"))
+    assert ranks.where(F.col("rank") != F.floor(F.col("auction") / sliding.RANK_BUCKET) + 1).count() == 0 and ranks.count() == 100_000
+    b = bids(spark, [(256 * k, 1, 1, 1) for k in range(3_000)])
+    assert verify.same(sliding.window_ranks(b, 10, 10), sliding.listed_ranks(b, 10, 10))
+    hot = spark.createDataFrame([(1, 3), (5, 10_000_000), (9, 2)], "auction bigint, n bigint")
+    got = sliding.ranks_of(hot.select(w, "auction", "n")).groupBy("auction", "rank").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 3), (5, 4, 10_000_000), (9, 10_000_004, 2)]
