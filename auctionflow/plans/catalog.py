@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import GeneratorConfig
 from ..functions.windows import assign_windows, tumbling_end, window_starts
 from ..operators import closing, sliding
-from ..schema import demux
-from ..sources import generator
+from ..schema import demux, mux
 from ..sources.tables import Tables
 from ..streaming import queries as streams
 from . import logical, registry
@@ -19,8 +17,6 @@ from . import logical, registry
 HOUR, DAY = 3_600, 86_400
 REGIONS = ("ASIA", "EUROPE", "AMERICA")  # stand for the states of Q3
 BINDING = 5_000_000  # a reserve that turns bids away
-GENERATED = 50_000
-CONFIG = GeneratorConfig(base_time=1_704_067_200_000_000_000)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,83 +184,61 @@ def tumbling_ends(spark, sf_dir):
     return Tables(spark, sf_dir).bids().select("bidder", tumbling_end("date_time", HOUR).alias("window_end"))
 
 
-# --- generated events, by the same integer hashes in SQL
+# --- one stream of tagged events, taken apart again
 
 
-def _draw_sql(salt: int) -> str:
-    x = f"((n % {generator._M} * 48271 + {salt * 69621 + 12345}) % {generator._M})"
-    for k in (7919, 104729):
-        x = f"(({x} * {x} + {salt * k + 1}) % {generator._M})"
-    return x
-
-
-def _price_sql(salt: int) -> str:
-    return f"CAST(round(pow(10.0::DOUBLE, {_draw_sql(salt)} / {generator._M}.0::DOUBLE * 6) * 100) AS BIGINT)"
-
-
-_E = f"e AS (SELECT range AS n, range % 50 AS slot, range // 50 + least(range % 50, 0) AS lp, range // 50 * 3 + greatest(-1, least(range % 50 - 1, 2)) AS la FROM range(0, {GENERATED}))"
-_TIME = "make_timestamp(({t}) // 1000)"
-_NS = "(1704067200000000000 + n * 1000000)"
-_PERSON = f"(lp + 1 - least(lp + 1, 1000) + {{d}} % (least(lp + 1, 1000) + 10))"
-_CITIES = list(CONFIG.us_cities)
-_STATES = list(CONFIG.us_states)
-
-
-@query(f"WITH {_E} SELECT lp + 1000 AS id, '' AS name, '' AS email_address, '' AS credit_card, {_CITIES}[{_draw_sql(1)} % 10 + 1] AS city, {_STATES}[{_draw_sql(2)} % 6 + 1] AS state, {_TIME.format(t=_NS)} AS date_time FROM e WHERE slot < 1")
-def generated_people(spark, sf_dir):
-    return demux(generator.generate_events(spark, GENERATED, CONFIG))[0]
+def _tagged(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    people = t.new_people().select("id", *none("string", "name", "email_address", "credit_card", "city", "state"), "date_time")
+    auctions = t.auctions().select("id", *none("string", "item_name", "description"), *none("bigint", "initial_bid"), "reserve", "date_time", "expires", "seller", "category")
+    return demux(mux(people, auctions, t.bids()))
 
 
-@query(
-    f"""WITH {_E} SELECT la + 1000 AS id, '' AS item_name, '' AS description, {_price_sql(3)} AS initial_bid, {_price_sql(3)} + {_price_sql(4)} AS reserve, {_TIME.format(t=_NS)} AS date_time,
-{_TIME.format(t=f"{_NS} + 1 + {_draw_sql(5)} % (CAST(3332 AS BIGINT) * 1000000)")} AS expires,
-CASE WHEN {_draw_sql(6)} % 4 > 0 THEN lp // 100 * 100 ELSE {_PERSON.format(d=_draw_sql(7))} END + 1000 AS seller, 10 + {_draw_sql(8)} % 5 AS category FROM e WHERE slot BETWEEN 1 AND 3"""
-)
-def generated_auctions(spark, sf_dir):
-    return demux(generator.generate_events(spark, GENERATED, CONFIG))[1]
+@query("SELECT user_id AS id, ts AS date_time FROM events WHERE event_type = 'signup'")
+def tagged_people(spark, sf_dir):
+    return _tagged(spark, sf_dir)[0].select("id", "date_time")
 
 
-@query(
-    f"""WITH {_E} SELECT CASE WHEN {_draw_sql(9)} % 2 > 0 THEN la // 100 * 100 ELSE greatest(la - 100, 0) + {_draw_sql(10)} % (la - greatest(la - 100, 0) + 11) END + 1000 AS auction,
-CASE WHEN {_draw_sql(11)} % 4 > 0 THEN lp // 100 * 100 + 1 ELSE {_PERSON.format(d=_draw_sql(12))} END + 1000 AS bidder, {_price_sql(13)} AS price, {_TIME.format(t=_NS)} AS date_time FROM e WHERE slot > 3"""
-)
-def generated_bids(spark, sf_dir):
-    return demux(generator.generate_events(spark, GENERATED, CONFIG))[2]
+@query(f"SELECT id, reserve, date_time, expires, seller, category FROM ({_AUCTIONS.format(reserve=5000)})")
+def tagged_auctions(spark, sf_dir):
+    return _tagged(spark, sf_dir)[1].select("id", "reserve", "date_time", "expires", "seller", "category")
 
 
-# --- the registered names over generated events, with their own windows; names that differ in backend or form have one SQL
+@query(_BIDS)
+def tagged_bids(spark, sf_dir):
+    return _tagged(spark, sf_dir)[2]
 
-_GENERATED = "WITH " + ", ".join(f"{n} AS ({SQL[f'generated_{n}']})" for n in ("people", "auctions", "bids"))
-_GENERATED_CLOSED = f"""{_GENERATED}, closed AS (
-  SELECT id, category, seller, expires, bidder, price FROM auctions JOIN bids ON id = auction
-  WHERE price >= reserve AND bids.date_time >= auctions.date_time AND bids.date_time < expires
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY price DESC, bids.date_time, bidder) = 1
-)"""
-PARAMS = registry.Params(5, 3)
 
+# --- the registered names over the tables, an hour for each second; names that differ in backend or form have one SQL
 
-def _generated_windows(slide: int, count: int) -> str:
-    start = f"to_timestamp((epoch_us(date_time) // 1000000 // {slide} - k) * {slide})::TIMESTAMP"
-    return f"{_GENERATED}, w AS (SELECT auction, {start} AS w_start, {start} + INTERVAL {slide * count} SECOND AS w_end FROM bids, range(0, {count}) r(k))"
+PARAMS = registry.Params(5, 3, REGIONS, HOUR)
 
 
 def _registered_sql(name: str) -> str:
     if name.startswith("window"):
-        w = _generated_windows(int(PARAMS.window_slide), PARAMS.window_slice_count)
-        return f"{w} SELECT w_end AS window_end, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1" if name.endswith("count") else f"{w} SELECT w_end AS window_end, auction, CAST(rank() OVER (PARTITION BY w_end ORDER BY auction) AS BIGINT) AS rank FROM w"
-    width = 720 if name == "q8" else 12 * HOUR
+        return (_COUNT if name.endswith("count") else _RANK).format(w=_windows_sql(5 * HOUR, 3))
+    ten = f"to_timestamp((epoch_us(date_time) // 1000000 // {10 * HOUR} + 1) * {10 * HOUR})::TIMESTAMP"
     return {
-        "q3": f"{_GENERATED} SELECT name, city, state, auctions.id AS auction FROM auctions JOIN people ON seller = people.id WHERE category = 10 AND state IN ('OR', 'ID', 'CA')",
-        "q4": f"{_GENERATED_CLOSED} SELECT category, CAST(sum(price) // count(*) AS BIGINT) AS average FROM closed GROUP BY 1",
-        "q5": f"{_generated_windows(1, 60)}, c AS (SELECT w_start, w_end, auction, count(*) AS n FROM w GROUP BY ALL) SELECT w_start AS window_start, w_end AS window_end, auction, n FROM c QUALIFY row_number() OVER (PARTITION BY w_start ORDER BY n DESC, auction DESC) = 1",
-        "q6": f"{_GENERATED_CLOSED} SELECT id, bidder, expires, CAST(sum(price) OVER w // count(*) OVER w AS BIGINT) AS average FROM closed WINDOW w AS (PARTITION BY bidder ORDER BY expires, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
-        "q7": f"{_GENERATED} SELECT time_bucket(INTERVAL 10 SECOND, date_time) + INTERVAL 10 SECOND AS window_end, max(price) AS price FROM bids GROUP BY 1",
-        "q8": f"{_GENERATED} SELECT seller AS person, id AS auction, date_time FROM auctions WHERE EXISTS (SELECT 1 FROM people p WHERE p.id = seller AND auctions.date_time >= p.date_time AND auctions.date_time < p.date_time + INTERVAL {width} SECOND)",
+        "q3": _Q3,
+        "q4": _Q4,
+        "q5": _hot_sql(HOUR, 60),
+        "q6": _Q6.format(closed=_closed_sql(), key="bidder"),
+        "q7": f"SELECT {ten} AS window_end, max(price) AS price FROM ({_BIDS}) GROUP BY 1",
+        "q8": _Q8.format(seconds=720 if name == "q8" else 12 * HOUR),
     }[name[:2]]
 
 
 def registered(name: str) -> Query:
-    return lambda spark, sf_dir: registry.QUERIES[name].plan(registry.Streams(*generator.generate(spark, GENERATED, CONFIG)), PARAMS)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        if name.startswith("q8"):
+            streams = registry.Streams(t.new_people(), t.new_auctions(), t.bids())
+        else:
+            streams = registry.Streams(t.people(), t.auctions(), t.closing_bids() if name[:2] in ("q4", "q6") else t.bids())
+        return registry.QUERIES[name].plan(streams, PARAMS)
+
+    return run
 
 
 for _name in registry.QUERIES:

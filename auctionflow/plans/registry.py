@@ -33,14 +33,22 @@ class Streams:
 
 @dataclass(frozen=True)
 class Params:
+    """``second`` is how long a second of Q5, Q7 and the windows lasts in the events' time."""
+
     window_slide: float = 1
     window_slice_count: int = 60
+    states: tuple[str, ...] = logical.STATES
+    second: float = 1
 
     @property
     def size(self) -> float:
         if self.window_slide <= 0 or self.window_slice_count <= 0:
             raise ValueError("window-slide and window-slice-count have to be over 0")
-        return self.window_slide * self.window_slice_count
+        return self.window_slide * self.window_slice_count * self.second
+
+    @property
+    def slide(self) -> float:
+        return self.window_slide * self.second
 
 
 @dataclass(frozen=True)
@@ -54,7 +62,7 @@ class Query:
 
 
 def _q3(s: Streams, p: Params) -> DataFrame:
-    return logical.local_items(s.auctions, s.people)
+    return logical.local_items(s.auctions, s.people, states=p.states)
 
 
 def _q4(s: Streams, p: Params) -> DataFrame:
@@ -64,8 +72,8 @@ def _q4(s: Streams, p: Params) -> DataFrame:
 def _q5(form: str) -> Callable[[Streams, Params], DataFrame]:
     def plan(s: Streams, p: Params) -> DataFrame:
         if s.bids.isStreaming and form == "incremental":
-            return hot_items.part_hottest(s.bids, 1, 60, "running", parts=1)  # with one part its best is the window's best
-        return logical.hot_items(s.bids, 1, 60, form)
+            return hot_items.part_hottest(s.bids, p.second, 60, "running", parts=1)  # with one part its best is the window's best
+        return logical.hot_items(s.bids, p.second, 60, form)
 
     return plan
 
@@ -75,7 +83,7 @@ def _q6(s: Streams, p: Params) -> DataFrame:
 
 
 def _q7(s: Streams, p: Params) -> DataFrame:
-    return logical.highest_bid(s.bids, 10)
+    return logical.highest_bid(s.bids, 10 * p.second)
 
 
 def _q8(width: float) -> Callable[[Streams, Params], DataFrame]:
@@ -86,11 +94,11 @@ def _q8(width: float) -> Callable[[Streams, Params], DataFrame]:
 
 
 def _count(s: Streams, p: Params) -> DataFrame:
-    return sliding.window_counts(s.bids, p.window_slide, p.size)
+    return sliding.window_counts(s.bids, p.slide, p.size)
 
 
 def _rank(s: Streams, p: Params) -> DataFrame:
-    return (sliding.sliced_counts if s.bids.isStreaming else sliding.window_ranks)(s.bids, p.window_slide, p.size)
+    return (sliding.sliced_counts if s.bids.isStreaming else sliding.window_ranks)(s.bids, p.slide, p.size)
 
 
 def _all() -> dict[str, Query]:
