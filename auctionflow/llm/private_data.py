@@ -284,6 +284,49 @@ def fit(texts: list[str], drawn: int = 300, steps: int = 300, rate: float = 0.5)
     return Field(w, chain, skip)
 
 
+def _fits(kind: str, written: str) -> bool:
+    """Whether characters are a whole card or phone number by their digits."""
+    digits = "".join(c for c in written if "0" <= c <= "9")
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
+
+
+def _findings(text: str, nodes: list[tuple[int, int]], k: int) -> list[tuple[int, int, str]]:
+    """What neighbouring nodes of one label stand for.
+
+    Mail and network addresses are a node each.  Card and phone numbers may be
+    written in several nodes: the nodes are cut into whole numbers so that as few digits as
+    can be are left over, and then into as many numbers as can be.  A node that is left over is
+    a finding alone if it is a local phone number, of 7 digits or more.
+    """
+    if not nodes:
+        return []
+    kind = KINDS[k]
+    if kind in ("email", "ip"):
+        return [(a, b, kind) for a, b in nodes]
+    digits = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in nodes]
+    most = 19 if kind == "card" else 15
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]  # from a node on: digits left over, minus the numbers, nodes of the first number
+    for i in range(len(nodes) - 1, -1, -1):
+        rest = best[-1]
+        ways = [(rest[0] + digits[i], rest[1], 0)]
+        n = 0
+        for j in range(i, len(nodes)):
+            n += digits[j]
+            if n > most or j - i > most:
+                break
+            if _fits(kind, text[nodes[i][0] : nodes[j][1]]):
+                then = best[len(nodes) - 1 - j]
+                ways.append((then[0], then[1] - 1, j - i + 1))
+        best.append(min(ways))
+    out, i = [], 0
+    while i < len(nodes):
+        size = best[len(nodes) - i][2]
+        if size or (kind == "phone" and 7 <= digits[i] <= most):
+            out.append((nodes[i][0], nodes[i + max(size, 1) - 1][1], kind))
+        i += max(size, 1)
+    return out
+
+
 def spans(text: str, field: Field, base: list[tuple[int, int, str]] | None = None) -> tuple[list[tuple[int, int, str]], int]:
     """All findings by kind as listed, then start; how many the field added.  ``base``: the base findings, if they are known."""
     base = base_spans(text) if base is None else base
@@ -297,19 +340,18 @@ def spans(text: str, field: Field, base: list[tuple[int, int, str]] | None = Non
     starts = np.array([a for a, _ in taken])
     top = np.maximum.accumulate([b for _, b in taken]) if taken else []
     added: list[tuple[int, int, str]] = []
+    together: list[tuple[int, int]] = []
+    kind = NONE
     for i, (a, b) in enumerate(g.spans):
         k = int(best[i].argmax())
-        if k == NONE or best[i, k] < BELIEF:
-            continue
         j = int(np.searchsorted(starts, b)) - 1
-        if j >= 0 and top[j] > a:
+        if k == NONE or best[i, k] < BELIEF or (j >= 0 and top[j] > a):
             continue
-        if added and added[-1][2] == KINDS[k] and 0 <= a - added[-1][1] <= 2 and not (j >= 0 and taken[j][0] >= added[-1][1]):
-            added[-1] = (added[-1][0], b, KINDS[k])
-        else:
-            added.append((a, b, KINDS[k]))
-    # a piece of a number alone is none
-    added = [(a, b, k) for a, b, k in added if k in ("email", "ip") or sum(c.isdigit() for c in text[a:b]) >= 7]
+        if k != kind or a - together[-1][1] > 2 or (j >= 0 and taken[j][0] >= together[-1][1]):
+            added += _findings(text, together, kind)
+            together, kind = [], k
+        together.append((a, b))
+    added += _findings(text, together, kind)
     return sorted([*base, *added], key=lambda s: (KINDS.index(s[2]), s[0])), len(added)
 
 

@@ -237,3 +237,59 @@ def test_candidates_among_many_findings():
 def test_plainly_none():
     words = {"section", "report"}
     assert S.plainly_none("section12-report", words) and S.plainly_none("aaaa1111aaaa", words) and not S.plainly_none("sectionq1xzyw7k", words)
+
+
+def brute_findings(text, nodes, kind):
+    """All ways to cut nodes into whole numbers and left-over nodes; the fewest digits left over, then the most numbers."""
+    count = lambda a, b: sum(c.isdigit() for c in text[a:b])
+    best = None
+
+    def go(i, left, found):
+        nonlocal best
+        if i == len(nodes):
+            if best is None or (left, -sum(whole for _, _, whole in found)) < best[0]:
+                best = (left, -sum(whole for _, _, whole in found)), found
+            return
+        go(i + 1, left + count(*nodes[i]), [*found, (*nodes[i], False)])
+        for j in range(i, len(nodes)):
+            if P._fits(kind, text[nodes[i][0] : nodes[j][1]]):
+                go(j + 1, left, [*found, (nodes[i][0], nodes[j][1], True)])
+
+    go(0, 0, [])
+    return best[0]
+
+
+def test_neighbouring_numbers_stay_apart():
+    """Equal and unequal numbers of each kind next to each other: a span each, with its own ends."""
+    field = P.fit([])
+    card, other = "4465758382889437", "4111111111111111"
+    for numbers in ([card, card], [card, other], [card] * 4000, [other, card, other], ["(663) 555-6869"] * 2, ["(663) 555-6869", "(212) 555-0100", "(415) 555-0188"], ["1.2.3.4", "5.6.7.8", "1.2.3.4"], ["a@b.co", "a@b.co", "c@d.org"]):
+        for join in (" ", ", "):
+            text, at = "so " + join.join(numbers) + " end", []
+            place = 3
+            for x in numbers:
+                at.append((place, place + len(x)))
+                place += len(x) + len(join)
+            found, _ = P.spans(text, field)
+            assert sorted((a, b) for a, b, _ in found) == at, (numbers[:3], [text[a:b] for a, b, _ in found][:4])
+            assert "".join(sorted({k for _, _, k in found})) in ("card", "phone", "ip", "email")
+    random.seed(11)
+    for _ in range(300):
+        kind = random.choice(["card", "phone"])
+        parts = [random.choice([card, other, card[:8], card[8:], "(663)", "555-6869", "+1", "12", "123456789"]) for _ in range(random.randint(1, 7))]
+        text, nodes, place = " ".join(parts), [], 0
+        for x in parts:
+            nodes.append((place, place + len(x)))
+            place += len(x) + 1
+        got = P._findings(text, nodes, P.KINDS.index(kind))
+        whole = [s for s in got if P._fits(kind, text[s[0] : s[1]])]
+        covered = sum(c.isdigit() for a, b, _ in whole for c in text[a:b])
+        assert (sum(c.isdigit() for c in text) - covered, -len(whole)) == brute_findings(text, nodes, kind), (kind, text, got)
+        assert got == sorted(got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def test_cards_next_to_each_other_in_the_query(spark):
+    """The two documents of the sample whose neighbouring cards became one span."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in P.scan(docs).where("doc_id in (254, 402)").collect():
+        assert r["spans"].count("card:") == 2 and r["n_card"] == 0
