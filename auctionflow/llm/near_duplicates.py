@@ -12,8 +12,8 @@ In a shard the nodes form a BK-tree: a child hangs at the Hamming distance from
 its parent, and a search follows only edges whose distance is within the radius
 of the distance to the parent.  Trees of many shards are built and searched
 level by level in numpy.  A shard of over ``tree_nodes`` nodes is dealt into
-several trees, and each pair of its parts is a cell of its own.  A task hands
-on stars (node, smallest node linked in this shard), never pairs.
+several trees (``node_links``).  A task hands on stars (node, smallest node
+linked in this shard), never pairs.
 
 Components follow by alternating star contraction (each node takes the least of
 its neighbours, in turns among the smaller and the larger ones) until nothing
@@ -44,7 +44,6 @@ from .common import spread_join
 
 PRINTS = "doc_id bigint, fp bigint"
 LINKS = "a bigint, b bigint"
-HUB_PARTS = 8
 #: byte -> eight counters of one byte each
 _LANES = np.zeros(256, np.uint64)
 for _bit in range(8):
@@ -223,28 +222,58 @@ def cells(rows: DataFrame, key: list[str], size: Column, most: int) -> DataFrame
     return rows.withColumn("part", own).withColumn("cell", F.explode(of_parts)).select(*(c for c in rows.columns if c != "parts"), "cell.i", "cell.j", "cell.side")
 
 
-def node_links(nodes: DataFrame, radius: int = 4, tree_nodes: int = 4096) -> DataFrame:
-    """Stars (a > b) among ``nodes`` (fp, rep) that connect all within the radius."""
+def _in_cells(rows: DataFrame, radius: int) -> DataFrame:
+    """Stars of the rows (c, key, i, j, side, fp, rep) of each cell."""
+    tree_first = (F.col("side") == 1).cast("int")
+    placed = rows.select("c", "key", "i", "j", "side", "fp", "rep").repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", tree_first)
+    return placed.mapInArrow(lambda it: _links(it, radius), LINKS)
+
+
+def node_links(nodes: DataFrame, radius: int = 4, tree_nodes: int = 4096, rounds: int = 3) -> DataFrame:
+    """Stars (a > b) among ``nodes`` (fp, rep) that connect all within the radius.
+
+    A shard of over ``tree_nodes`` nodes is mostly a group of near copies.  It is dealt into
+    trees by a hash, ``rounds`` times anew; what these link is put together, and then the largest
+    component of each shard is compared with the others of the shard, and the others with
+    each other, in cells.  Pairs within that component need no look, so a shard of one
+    group costs rows in proportion to its size; the cells of a shard of many
+    components grow with the square, and no pair is left out.
+    """
     masks = bands(nodes.count(), radius)
     keys = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for c, m in enumerate(masks)))).alias("k")
     shards = nodes.select("fp", "rep", keys).select("k.c", "k.key", "fp", "rep")
-    dealt = cells(shards, ["c", "key"], F.lit(1), tree_nodes).select("c", "key", "i", "j", "side", "fp", "rep")
-    tree_first = (F.col("side") == 1).cast("int")
-    return dealt.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", tree_first).mapInArrow(lambda it: _links(it, radius), LINKS)
+    large = common.cut(shards.groupBy("c", "key").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") > tree_nodes))
+    none = [F.lit(0).alias(x) for x in ("i", "j")] + [F.lit(2).alias("side")]
+    if not large.count():
+        return _in_cells(shards.select("*", *none), radius)
+    sized = spread_join(shards, large, ["c", "key"], "weight", nodes.count() * len(masks), "left")
+    small = sized.where("weight is null").select("c", "key", "fp", "rep", *none)
+    sized = sized.where("weight is not null")
+    trees = F.ceil(F.col("weight") / tree_nodes)
+    again = sized.withColumn("i", F.explode(F.array(*map(F.lit, range(rounds))))).withColumn("j", F.pmod(F.xxhash64("rep", "i"), trees).cast("int")).withColumn("side", F.lit(2))
+    first = components(_in_cells(small.unionByName(again.drop("weight")), radius))
+    labelled = common.cut(sized.join(first, F.col("rep") == F.col("a"), "left").select("c", "key", "fp", "rep", "weight", F.coalesce("b", "rep").alias("label")))
+    giants = labelled.groupBy("c", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight")).groupBy("c", "key").agg(F.max(F.struct("n", "label")).alias("most"), F.first("weight").alias("weight"))
+    mixed = giants.where(F.col("most.n") < F.col("weight")).select("c", "key", "weight", F.col("most.label").alias("giant"), F.ceil(F.col("most.n") / tree_nodes).cast("int").alias("own"), F.ceil((F.col("weight") - F.col("most.n")) / tree_nodes).cast("int").alias("rest"))
+    left = spread_join(labelled.drop("weight"), mixed, ["c", "key"], "weight", nodes.count() * len(masks))
+    within = F.col("label") == F.col("giant")
+    part = F.when(within, F.pmod(F.xxhash64("rep"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
+    others = F.sequence(F.when(within, F.col("own")).otherwise(0), F.col("own") + F.col("rest") - 1)
+    left = left.withColumn("part", part).withColumn("o", F.explode(others)).withColumns({"i": F.least("o", "part"), "j": F.greatest("o", "part"), "side": F.when(F.col("o") == F.col("part"), 2).when(F.col("o") > F.col("part"), 0).otherwise(1)})
+    return first.unionAll(_in_cells(left, radius))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b): the smallest member b of the component of each linked a, itself left out."""
 
-    def stars(edges: DataFrame, larger: bool) -> DataFrame:
+    def stars(edges: DataFrame, larger: bool, total: int) -> DataFrame:
         """One contraction; ``larger``: every neighbour above a node goes to the least of its neighbourhood, else those below.
 
-        A hub has a neighbour for each member of its group: its edges are dealt over ``HUB_PARTS`` keys.
+        A hub has a neighbour for each member of its group: neighbours are counted, and those of hubs are dealt over tasks.
         """
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        copies = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part"))
-        joined = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int")).join(copies, ["a", "part"])
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("neighbours")).withColumn("m", F.least("a", "m"))
+        joined = spread_join(both, least, ["a"], "neighbours", total)
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -255,7 +284,7 @@ def components(links: DataFrame) -> DataFrame:
     seen, now = None, mark(edges)
     while now[0] and now != seen:
         seen = now
-        edges = common.cut(stars(stars(edges, True), False))
+        edges = common.cut(stars(stars(edges, True, 2 * now[0]), False, 2 * now[0]))
         now = mark(edges)
     return edges
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from cases import HOSTILE, hostile
+from pyspark.sql import functions as F
 
 from auctionflow.llm import near_duplicates as N
 
@@ -74,6 +75,73 @@ def test_chains_and_split_trees(spark, tree_nodes):
     assert [found.get(d, d) for d, _ in nodes] == brute_components(nodes)
 
 
+def signed(c):
+    return c - (1 << 64) if c >> 63 else c
+
+
+def test_large_group_costs_rows_in_proportion(spark, monkeypatch):
+    """100,000 near copies of one text, one of them linked with nothing but a few strangers: no link is lost, and rows grow with the group."""
+    random.seed(6)
+    base, codes = random.getrandbits(64), set()
+    while len(codes) < 100_000:
+        c = base
+        for b in random.sample(range(64), random.randint(0, 4)):
+            c ^= 1 << b
+        codes.add(c)
+    chain, c = [], base
+    for step in range(30):  # away from the group, four bits at a time, in order
+        for b in range(2 * step, 2 * step + 4):
+            c ^= 1 << (b % 64)
+        chain.append(c)
+    lone = [random.getrandbits(64) for _ in range(200)]
+    nodes = [(signed(c), i) for i, c in enumerate([*codes, *(set(chain) - codes), *lone])]
+    df = spark.createDataFrame(nodes, "fp bigint, rep bigint")
+    asked = []
+    in_cells = N._in_cells
+    monkeypatch.setattr(N, "_in_cells", lambda rows, radius: asked.append(rows.count()) or in_cells(rows, radius))
+    found = {r["a"]: r["b"] for r in N.components(N.node_links(df, 4)).collect()}
+    masks = len(N.bands(len(nodes), 4))
+    assert sum(asked) <= 8 * masks * len(nodes)  # over 24 times with each pair of parts a cell
+    group = [i for f, i in nodes if found.get(i, i) == 0]
+    assert len(group) >= 100_000
+    # who is within four bits of the group, or of one that is, by brute force
+    fps = np.array([f for f, _ in nodes], np.int64).view(np.uint64)
+    inside = np.arange(len(nodes)) < 100_000
+    grown = True
+    while grown:
+        grown = False
+        for i in np.flatnonzero(~inside):
+            if (np.bitwise_count(fps[inside] ^ fps[i]) <= 4).any():
+                inside[i] = grown = True
+    assert sorted(group) == np.flatnonzero(inside).tolist()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_large_shards_of_several_groups(spark, seed):
+    """Shards whose largest component is part of them only, with small trees."""
+    random.seed(20 + seed)
+    nodes = set()
+    for _ in range(3):
+        base = random.getrandbits(64)
+        for _ in range(150):
+            c = base
+            for b in random.sample(range(64), random.choice([1, 2, 3, 7])):
+                c ^= 1 << b
+            nodes.add(c)
+    nodes = list(enumerate(sorted(nodes)))
+    df = spark.createDataFrame([(signed(c), d) for d, c in nodes], "fp bigint, rep bigint")
+    for tree_nodes, rounds in ((10, 1), (40, 3)):
+        found = {r["a"]: r["b"] for r in N.components(N.node_links(df, 4, tree_nodes, rounds)).collect()}
+        assert [found.get(d, d) for d, _ in nodes] == brute_components(nodes)
+
+
+def test_hub_of_100000(spark):
+    """A node with 100,000 neighbours, and a path that hangs on the last of them."""
+    links = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    links = links.unionAll(spark.range(100_000, 100_020).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")))
+    assert N.components(links).groupBy("b").count().collect() == [(0, 100_020)]
+
+
 def test_bands_cover_the_radius():
     for n in (10, 10_000, 10**7, 10**11):
         masks = N.bands(n, 4)
