@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime
 from pathlib import Path
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0)
 
@@ -18,8 +23,7 @@ PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0)
 def ccdf(latencies: DataFrame, column: str = "latency_ns", weight: str | None = None) -> DataFrame:
     """(latency_ns, fraction, count): buckets of 1/16 octave and the share of samples at or above each; a row counts ``weight`` times."""
     latencies = latencies.withColumn("_n", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")).where("_n > 0")
-    size = F.pow(F.lit(2), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col(column), F.lit(1)))) - 4))
-    buckets = latencies.select((F.floor(F.col(column) / size) * size).cast("bigint").alias("latency_ns"), "_n").groupBy("latency_ns").agg(F.sum("_n").alias("n"))
+    buckets = latencies.select(log_bucket(F.col(column)).alias("latency_ns"), "_n").groupBy("latency_ns").agg(F.sum("_n").alias("n"))
     rows, out = buckets.orderBy("latency_ns").collect(), []  # at most 16 a doubling: about a thousand
     total = left = sum(r["n"] for r in rows)
     for r in rows:
@@ -43,6 +47,80 @@ def timeline(latencies: DataFrame, time_ns: str = "time_ns", column: str = "late
     return found.select("time_ns", *(F.col("p")[i].cast("bigint").alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95", "p99", "p999", "max")))).orderBy("time_ns")
 
 
+class Probe:
+    """How far a running query's event time has come, by its watermark."""
+
+    def __init__(self, query: StreamingQuery):
+        self.query = query
+
+    def time(self) -> datetime | None:
+        """The last watermark that a batch ran with, in UTC without a zone; None before the first."""
+        found = [t for p in self.query.recentProgress[-5:] if (t := p.eventTime.get("watermark"))]
+        return max(datetime.fromisoformat(t.replace("Z", "+00:00")).replace(tzinfo=None) for t in found) if found else None
+
+    def less_than(self, t: datetime) -> bool:
+        """Whether results of times before ``t`` may still come."""
+        now = self.time()
+        return now is None or now < t
+
+    def wait_for(self, t: datetime, timeout_s: float | None = None, every_s: float = 0.05) -> bool:
+        """Blocks until all before ``t`` has been worked on; False if the query ended or time ran out before that.  A failed query raises."""
+        began = time.monotonic()
+        while self.less_than(t):
+            if not self.query.isActive:
+                if self.query.exception():
+                    raise self.query.exception()
+                return not self.less_than(t)
+            if timeout_s is not None and time.monotonic() - began >= timeout_s:
+                return False
+            time.sleep(every_s)
+        return True
+
+
+def log_bucket(value: Column) -> Column:
+    """The lower bound of the bucket of 1/16 octave that holds a value; what is under 1 counts as 0 or 1."""
+    whole = F.greatest(value, F.lit(0)).cast("bigint")
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), F.length(F.bin(whole)) - 5))  # bin() has a digit a bit
+    return whole - whole % size
+
+
+class EventLatency:
+    """Writes the batches of a stream and keeps how long each of their rows took, from event time to when a task emitted it.
+
+    Use as the function of ``foreachBatch``.  Rows are stamped in Arrow batches as
+    they are computed, counted in log buckets on every task, and the counts of all tasks are
+    added up; counts of batches merge by addition.  A batch that Spark repeats replaces its counts.
+    """
+
+    def __init__(self, ts: str, write: Callable[[DataFrame, int], None]):
+        self.ts, self.write = ts, write
+        self.batches: dict[int, dict[int, int]] = {}
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        names = batch.columns
+
+        def stamp(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in rows:
+                now = pa.array(np.full(r.num_rows, time.time_ns() // 1000), pa.int64())
+                yield pa.RecordBatch.from_arrays([*r.columns, now], names=[*names, "_emitted_us"])
+
+        stamped = batch.mapInArrow(stamp, StructType([*batch.schema, StructField("_emitted_us", LongType())])).persist()
+        try:
+            self.write(stamped.select(names), number)
+            latency = (F.col("_emitted_us") - F.unix_micros(F.col(self.ts).cast("timestamp"))) * 1000
+            counts = stamped.select(log_bucket(latency).alias("latency_ns")).groupBy("latency_ns").count().collect()  # at most 16 a doubling
+            self.batches[number] = {r["latency_ns"]: r["count"] for r in counts}
+        finally:
+            stamped.unpersist()
+
+    def counts(self) -> dict[int, int]:
+        """Rows by bucket, nanoseconds; rows without an event time under None."""
+        total: Counter = Counter()
+        for counts in self.batches.values():
+            total.update(counts)
+        return dict(total)
+
+
 def write_rows(label: str, rows: Iterable[tuple], out: TextIO) -> None:
     """Tab-separated rows, each with its label first."""
     for r in rows:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import assign_windows, tumbling_end, window_starts
-from ..operators import closing, sliding
+from ..operators import closing, merging, sliding, verify
 from ..schema import demux, mux
 from ..sources.tables import Tables
 from ..streaming import queries as streams
@@ -184,6 +184,68 @@ def tumbling_ends(spark, sf_dir):
     return Tables(spark, sf_dir).bids().select("bidder", tumbling_end("date_time", HOUR).alias("window_end"))
 
 
+# --- hot keys dealt over tasks, at a bound that the sample tables reach
+
+
+@query(_Q3)
+def q3_local_items_dealt(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return logical.local_items(t.auctions(), t.people(), states=REGIONS, most=3)
+
+
+@query(f"WITH {_closed_sql()} SELECT * FROM closed")
+def closed_auctions_dealt(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return closing.winning_bids(t.auctions(), t.closing_bids(), most=4)
+
+
+@query(_Q8.format(seconds=12 * HOUR))
+def q8_new_users_dealt(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return logical.new_users(t.new_people(), t.new_auctions(), most=5)
+
+
+# --- aggregates of one's own, merged before and after the shuffle
+
+
+@query(f"SELECT auction, price, date_time, bidder FROM ({_BIDS}) QUALIFY row_number() OVER (PARTITION BY auction ORDER BY price DESC, date_time, bidder) <= 10")
+def top_bids(spark, sf_dir):
+    bids = Tables(spark, sf_dir).bids()
+    return merging.merged(bids, merging.top_k(bids, ["auction"], [("price", "descending"), ("date_time", "ascending"), ("bidder", "ascending")], 10))
+
+
+@query(f"SELECT auction, count(*) AS n, CAST(sum(price) // count(*) AS BIGINT) AS average FROM (SELECT * FROM ({_BIDS}) QUALIFY row_number() OVER (PARTITION BY auction ORDER BY date_time DESC, bidder DESC) <= 10) GROUP BY 1")
+def last_bids_average(spark, sf_dir):
+    bids = Tables(spark, sf_dir).bids()
+    return merging.merged(bids, merging.average_of_last(bids, "auction", ["date_time", "bidder"], "price"))
+
+
+# --- two results that differ at some times
+
+
+def _altered(bids: DataFrame) -> DataFrame:
+    """Some bids gone, some twice, some with another price; at other times the same rows in another order."""
+    changed = bids.where("bidder % 89 <> 0").withColumn("price", F.when(F.col("bidder") % 97 == 0, F.col("price") + 1).otherwise(F.col("price")))
+    return changed.unionAll(changed.where("bidder % 101 = 0"))
+
+
+_UNEQUAL = f"""WITH b AS ({_BIDS}), c AS (SELECT auction, bidder, price + CASE WHEN bidder % 97 = 0 THEN 1 ELSE 0 END AS price, date_time FROM b WHERE bidder % 89 <> 0),
+o AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE bidder % 101 = 0), d AS ((SELECT * FROM b EXCEPT ALL SELECT * FROM o) UNION ALL (SELECT * FROM o EXCEPT ALL SELECT * FROM b)),
+n AS (SELECT date_time, count(*) AS k FROM b GROUP BY 1), m AS (SELECT date_time, count(*) AS k FROM o GROUP BY 1)
+SELECT date_time, CAST(coalesce(n.k, 0) - coalesce(m.k, 0) AS BIGINT) AS more FROM (SELECT DISTINCT date_time FROM d) LEFT JOIN n USING (date_time) LEFT JOIN m USING (date_time)"""
+
+
+@query(_UNEQUAL)
+def unequal_bids(spark, sf_dir):
+    bids = Tables(spark, sf_dir).bids()
+    return verify.unequal_times(bids, _altered(bids)).withColumn("more", F.col("more").cast("bigint"))
+
+
+@query(_UNEQUAL)
+def stream_unequal_bids(spark, sf_dir):
+    return streams.unequal_bids(spark, sf_dir, _altered).withColumn("more", F.col("more").cast("bigint"))
+
+
 # --- one stream of tagged events, taken apart again
 
 

@@ -9,16 +9,18 @@ from ..functions.windows import seconds
 from ..operators import sliding
 from ..operators.panes import swept_hot_items
 from ..operators.running import last_sums, running_sums
+from ..operators.skew import dealt_join
 
 CATEGORY = 10
 STATES = ("OR", "ID", "CA")
 
 
-def local_items(auctions: DataFrame, people: DataFrame, category: int = CATEGORY, states: tuple[str, ...] = STATES) -> DataFrame:
-    """Q3: who sells in a category and lives in certain states."""
+def local_items(auctions: DataFrame, people: DataFrame, category: int = CATEGORY, states: tuple[str, ...] = STATES, most: int | None = None) -> DataFrame:
+    """Q3: who sells in a category and lives in certain states.  With ``most``, sellers of more auctions than that are dealt over tasks (static frames)."""
     a = auctions.where(F.col("category") == category).select(F.col("id").alias("auction"), "seller")
     p = people.where(F.col("state").isin(*states)).select("id", "name", "city", "state")
-    return a.join(p, F.col("seller") == F.col("id")).select("name", "city", "state", "auction")
+    joined = dealt_join(a, p, "seller", "id", most) if most else a.join(p, F.col("seller") == F.col("id"))
+    return joined.select("name", "city", "state", "auction")
 
 
 def category_average(closed: DataFrame) -> DataFrame:
@@ -57,8 +59,12 @@ def highest_bid(bids: DataFrame, width: float = 10) -> DataFrame:
     return bids.groupBy(F.window("date_time", seconds(width)).alias("w")).agg(F.max("price").alias("price")).select(F.col("w.end").alias("window_end"), "price")
 
 
-def new_users(people: DataFrame, auctions: DataFrame, width: float = 12 * 3600) -> DataFrame:
-    """Q8: people who open an auction within ``width`` seconds of registering, once for each auction."""
+def new_users(people: DataFrame, auctions: DataFrame, width: float = 12 * 3600, most: int | None = None) -> DataFrame:
+    """Q8: people who open an auction within ``width`` seconds of registering, once for each auction.  ``most`` as in Q3."""
     p = people.select(F.col("id").alias("person"), F.col("date_time").alias("joined"))
-    within = (F.col("seller") == F.col("person")) & (F.col("date_time") >= F.col("joined")) & (F.col("date_time") < F.col("joined") + F.expr(f"INTERVAL {seconds(width)}"))
-    return auctions.join(p, within, "left_semi").select(F.col("seller").alias("person"), F.col("id").alias("auction"), F.col("date_time"))
+    joined = F.col("date_time") >= F.col("joined"), F.col("date_time") < F.col("joined") + F.expr(f"INTERVAL {seconds(width)}")
+    if most:
+        found = dealt_join(auctions, p, "seller", "person", most, "left_semi", joined[0] & joined[1])
+    else:
+        found = auctions.join(p, (F.col("seller") == F.col("person")) & joined[0] & joined[1], "left_semi")
+    return found.select(F.col("seller").alias("person"), F.col("id").alias("auction"), F.col("date_time"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from .config import GeneratorConfig
-from .metrics import Progress, ResidentMemory, ccdf, timeline, write_rows
+from .metrics import EventLatency, Progress, ResidentMemory, ccdf, timeline, write_rows
 from .plans.registry import Params, Query, Streams, select
 from .sources import generator
 from .streaming.fanout import FanOut
@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--metrics", metavar="FILE", help="progress reports of streams as JSON lines, every 30 s")
     p.add_argument("--latency-output", help="file of the latency distribution; else the standard output")
     p.add_argument("--timeline-output")
+    p.add_argument("--event-latency", metavar="FILE", help="as streams: distribution of the time from a result's event time to its emission")
     p.add_argument("--trim", type=float, default=2, help="seconds at both ends of a stream that the timeline leaves out")
     p.add_argument("--sink", default="noop", help="format that takes the results: noop, console, parquet")
     p.add_argument("--sink-path")
@@ -41,30 +42,33 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _start(spark: SparkSession, query: Query, streams: Streams, args: argparse.Namespace, params: Params) -> StreamingQuery:
-    writer, path = query.plan(streams, params).writeStream.outputMode(query.mode), f"{args.sink_path}/{query.name}" if args.sink_path else None
-    if query.finish:
+def _start(spark: SparkSession, query: Query, streams: Streams, args: argparse.Namespace, params: Params, latencies: list[EventLatency]) -> StreamingQuery:
+    result, path = query.plan(streams, params), f"{args.sink_path}/{query.name}" if args.sink_path else None
+    writer, each = result.writeStream.outputMode(query.mode), None
 
-        def each(batch: DataFrame, number: int) -> None:
-            out = query.finish(batch).write.format(args.sink).mode("overwrite" if path else "append")
-            out.save(f"{path}/batch-{number:08d}") if path else out.save()
+    def put(batch: DataFrame, number: int) -> None:
+        out = batch.write.format(args.sink).mode("overwrite" if path else "append")
+        out.save(f"{path}/batch-{number:08d}") if path else out.save()
 
-        writer = writer.foreachBatch(each)
-    else:
-        writer = writer.format(args.sink)
+    if query.finish:
+        each = lambda batch, number: put(query.finish(batch), number)
+    times = [c for c, kind in result.dtypes if kind == "timestamp"]
+    if args.event_latency and times and query.mode == "append":
+        each = EventLatency(times[0], each or put)
+        latencies.append(each)
+    writer = (writer.foreachBatch(each) if each else writer.format(args.sink)).option("checkpointLocation", shared_folder(spark, "runner"))
     with state_backend(spark, query.backend):
-        writer = writer.option("checkpointLocation", shared_folder(spark, "runner"))
-        return writer.start(path) if path and not query.finish else writer.start()
+        return writer.start(path) if path and not each else writer.start()
 
 
-def _run_shared(spark: SparkSession, args: argparse.Namespace, config: GeneratorConfig, params: Params) -> dict[str, float]:
+def _run_shared(spark: SparkSession, args: argparse.Namespace, config: GeneratorConfig, params: Params, latencies: list[EventLatency]) -> dict[str, float]:
     """All queries at once: one query captures the events, the others follow its feeds."""
     fan = FanOut(spark, generator.numbers(spark, args.rate), generator.picks(config))
     began, running = time.monotonic(), [fan.capture()]
     queries = select(args.queries)
     try:
         for query in queries:
-            running.append(_start(spark, query, Streams(*(fan.feed(n).withWatermark("date_time", "0 seconds") for n in fan.feeds)), args, params))
+            running.append(_start(spark, query, Streams(*(fan.feed(n).withWatermark("date_time", "0 seconds") for n in fan.feeds)), args, params, latencies))
         running[0].awaitTermination(args.duration)
     finally:
         for query in running:
@@ -77,16 +81,16 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[s
     config, params = GeneratorConfig.of({"in-flight-auctions": args.rate * 2592, "events-per-second": args.rate, **dict(args.option)}), Params(args.window_slide, args.window_slice_count)
     took: dict[str, float] = {}
     log = open(args.metrics, "a") if args.metrics else None
-    progress = Progress(log)
+    progress, latencies = Progress(log), []
     spark.streams.addListener(progress)
     try:
         with log or nullcontext(), ResidentMemory(out) if args.print_rss else nullcontext():
             if args.shared:
-                took |= _run_shared(spark, args, config, params)
+                took |= _run_shared(spark, args, config, params, latencies)
             for query in () if args.shared else select(args.queries):
                 began = time.monotonic()
                 if args.stream:
-                    running = _start(spark, query, Streams(*(s.withWatermark("date_time", "0 seconds") for s in generator.stream(spark, config, args.rate))), args, params)
+                    running = _start(spark, query, Streams(*(s.withWatermark("date_time", "0 seconds") for s in generator.stream(spark, config, args.rate))), args, params, latencies)
                     running.awaitTermination(args.duration)
                     running.stop()
                 else:
@@ -98,11 +102,14 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dict[s
     finally:
         spark.streams.removeListener(progress)
     if progress.rows:
-        latencies = spark.createDataFrame(progress.rows, "time_ns bigint, latency_ns bigint, rows bigint")  # a batch's latency counts for each of its events
-        for path, label, table in ((args.latency_output, "latency_ccdf", ccdf(latencies, weight="rows")), (args.timeline_output, "summary_timeline", timeline(latencies, trim_s=args.trim if args.stream or args.shared else 0, weight="rows"))):
+        of_batches = spark.createDataFrame(progress.rows, "time_ns bigint, latency_ns bigint, rows bigint")  # a batch's latency counts for each of its events
+        for path, label, table in ((args.latency_output, "latency_ccdf", ccdf(of_batches, weight="rows")), (args.timeline_output, "summary_timeline", timeline(of_batches, trim_s=args.trim if args.stream or args.shared else 0, weight="rows"))):
             rows = [tuple(r) for r in table.collect()]
             with open(path, "w") if path else nullcontext(out) as f:
                 write_rows(label, rows, f)
+    if counts := [(ns, n) for x in latencies for ns, n in x.counts().items() if ns is not None]:
+        with open(args.event_latency, "w") as f:
+            write_rows("event_latency_ccdf", [tuple(r) for r in ccdf(spark.createDataFrame(counts, "latency_ns bigint, n bigint"), weight="n").collect()], f)
     return took
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sliding
+from ..operators import sliding, verify
 from ..plans import logical
 from ..sources.tables import Tables
 from . import hot_items as managed
@@ -80,6 +81,13 @@ def window_ranks(spark: SparkSession, sf_dir: str, slide: float = 6 * HOUR, size
     return run.append_each(counts, sliding.ranks_of)
 
 
+def unequal_bids(spark: SparkSession, sf_dir: str, altered: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Times at which the stream of bids and an altered one differ, each told when both have passed it."""
+    run = FiniteRun(spark)
+    bids = lambda: Tables(spark, sf_dir, streaming=True).bids()
+    return run.append(verify.unequal_times(run.ending(bids()), run.ending(altered(bids()))))
+
+
 def _shared(spark: SparkSession, sf_dir: str) -> tuple[FanOut, dict[str, DataFrame]]:
     """Four queries over one reading of the events: Q5, Q7, Q8 and COUNT."""
     t = Tables(spark, sf_dir, streaming=True)

@@ -72,6 +72,9 @@ def test_failed_query_is_reported(spark, sf_dir):
 
 
 def test_runner_shared(spark, tmp_path):
-    args = runner.parser().parse_args(["--rate", "50", "--duration", "15", "--queries", "q7_rocksdb", "window_2b_rocksdb_count", "--shared", "--sink", "parquet", "--sink-path", str(tmp_path)])
+    args = runner.parser().parse_args(["--rate", "50", "--duration", "15", "--queries", "q7_rocksdb", "window_2b_rocksdb_count", "--shared", "--sink", "parquet", "--sink-path", str(tmp_path), "--event-latency", f"{tmp_path}/latency"])
     assert list(runner.run(spark, args, io.StringIO())) == ["q7_rocksdb", "window_2b_rocksdb_count"]
     assert (tmp_path / "q7_rocksdb").exists() and (tmp_path / "window_2b_rocksdb_count").exists()
+    written = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/q7_rocksdb").count()
+    lines = [line.split("\t") for line in open(f"{tmp_path}/latency").read().splitlines()] if written else []
+    assert not written or (lines[0][0] == "event_latency_ccdf" and float(lines[0][2]) == 1.0)
