@@ -2,7 +2,7 @@
 
 Base findings follow three fixed rules (assignments, access keys, long
 hexadecimal runs).  Candidates of the network are runs of six or more key characters
-that hold a letter and a digit, and their parts between = and /, where no base finding is.  It reads
+that hold a letter and a digit, their parts between = and /, and runs of eight or more with signs inside, where no base finding is.  It reads
 each candidate through a window that slides over all of it, with the text before
 and after, and the largest score counts: embedding, one convolution with a ReLU, the maximum
 over the candidate and over its surroundings, a hidden layer, a logistic output,
@@ -48,6 +48,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: A run of key characters, and what it is cut into besides.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 _PART = re.compile(r"[A-Za-z0-9+_-]{6,}")
+_DOMAIN = re.compile(r"\.[A-Za-z0-9]")
+#: A run with signs between its characters, as passwords have them.
+SIGNS = "!@#$%^&*?~"
+_SIGNED = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_=-]|[!@#$%^&*?~](?=[!@#$%^&*?~]*[A-Za-z0-9+/_=-])){7,}")
 _LETTER = re.compile("[A-Za-z]")
 _DIGIT = re.compile("[0-9]")
 
@@ -73,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit, and their parts between = and /, that no base finding touches."""
+    """Runs with a letter and a digit, their parts between = and /, and such runs with signs in them, that no base finding touches."""
     out = []
     if not _DIGIT.search(text):
         return out
@@ -85,8 +89,11 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         parts = [m.span()]
         if "=" in m[0] or "/" in m[0]:
             parts += [p.span() for p in _PART.finditer(text, *m.span()) if p.span() != m.span() and _DIGIT.search(p[0]) and _LETTER.search(p[0])]
-        out += [(s, e) for s, e in parts if not (i := bisect_left(starts, e)) or ends[i - 1] <= s]
-    return out
+        out += parts
+    if any(c in text for c in SIGNS):
+        signed = (m for m in _SIGNED.finditer(text) if not ("@" in m[0] and _DOMAIN.match(text, m.end())))  # no part of a mail address
+        out += [m.span() for m in signed if not _RUN.fullmatch(m[0]) and _DIGIT.search(m[0]) and _LETTER.search(m[0])]
+    return [(s, e) for s, e in out if not (i := bisect_left(starts, e)) or ends[i - 1] <= s]
 
 
 def plainly_none(body: str, vocabulary: set[str]) -> bool:
@@ -215,7 +222,7 @@ def drawn_findings(n: int, seed: int, prose: list[str]) -> tuple[list[np.ndarray
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
 
     def secret() -> tuple[str, str, str]:
-        body = pick([lambda: run(hexa, 32, 65), lambda: run(hexa.upper(), 32, 65), lambda: run(alnum + "+/", 24, 60) + pick(["", "=", "=="]), lambda: run(alnum, 20, 48), lambda: run(alnum + "_-", 24, 44), lambda: "AKIA" + run(string.ascii_uppercase + string.digits, 16, 17), lambda: "sk_live_" + run(alnum, 20, 30)])()
+        body = pick([lambda: run(hexa, 32, 65), lambda: run(hexa.upper(), 32, 65), lambda: run(alnum + "+/", 24, 60) + pick(["", "=", "=="]), lambda: run(alnum, 20, 48), lambda: run(alnum + "_-", 24, 44), lambda: "AKIA" + run(string.ascii_uppercase + string.digits, 16, 17), lambda: "sk_live_" + run(alnum, 20, 30), lambda: "-".join(run(hexa, k, k + 1) for k in (8, 4, 4, 4, 12))])()
         before = pick([lambda: f"{pick(names)}{pick(['', '_key', '_token', '-id'])}{pick([' = ', '=', ': ', ':'])}{pick(['', chr(34), chr(39)])}", lambda: "Authorization: Bearer ", lambda: around() + " "])()
         return around() + " " + before, body, pick(["", '"', "'", "\n"]) + " " + around()
 
@@ -264,9 +271,34 @@ def drawn_short(n: int, seed: int) -> tuple[list[np.ndarray], list[int]]:
     return x, y
 
 
+def drawn_signed(n: int, seed: int) -> tuple[list[np.ndarray], list[int]]:
+    """The same for findings with signs in them: passwords against addresses, parameters, marked words and amounts."""
+    rng = np.random.default_rng(seed)
+    pick = lambda items: items[int(rng.integers(len(items)))]
+    run = lambda alphabet, a, b: "".join(pick(alphabet) for _ in range(int(rng.integers(a, b))))
+    words = "part section figure table version model route flight room page item report order chapter record volume series build window student".split()
+    number = lambda: str(int(rng.integers(1, 3000)))
+    x, y = [], []
+    for i in range(n):
+        if i % 2:
+            body = list(run(string.ascii_letters + string.digits, 6, 14))
+            for c in (pick(string.ascii_letters), pick(string.digits), *(pick(SIGNS) for _ in range(int(rng.integers(1, 4))))):
+                body.insert(int(rng.integers(1, len(body))), c)
+            body, before = "".join(body), pick(["pwd ", "pwd=", "pass: ", "login ", "key ", "credential ", "use ", "cred: ", ""])
+        else:
+            named = lambda: pick(words) + pick(["", "", number()])
+            body = pick([lambda: f"{named()}{number()}@{named()}", lambda: f"{named()}={number()}&{named()}={named()}", lambda: f"{named()}**{named()}{number()}", lambda: f"{named()}#{number()}-{named()}", lambda: f"{named()}{pick('$%')}{number()}", lambda: f"{named()}?{named()}={number()}", lambda: f"{named()}!{named()}{number()}", lambda: f"{named()}~{number()}{pick(words)}"])()
+            before = pick(["the ", "see ", "in ", "of ", "a ", "mail ", "key "])
+        before, after = pick(words) + " " + before, pick([" ", ", ", "\n"]) + pick(words)
+        x.append(window(before + body + after, len(before), len(before) + len(body)))
+        y.append(i % 2)
+    return x, y
+
+
 def fit(texts: list[str], drawn: int = 3000, recall: float = 0.98, seed: int = 11) -> Network:
-    x, y = (a + b for a, b in zip(drawn_findings(drawn, seed, texts[:200]), drawn_short(drawn // 3, seed)))
-    kind = ["drawn"] * drawn + ["short"] * (len(y) - drawn)
+    parts = {"drawn": drawn_findings(drawn, seed, texts[:200]), "short": drawn_short(drawn // 3, seed), "signed": drawn_signed(drawn // 3, seed)}
+    x, y = ([v for part in parts.values() for v in part[j]] for j in (0, 1))
+    kind = [name for name, part in parts.items() for _ in part[1]]
     vocabulary = {w for t in texts for w in re.findall(r"\b[a-z]{2,}\b", t)}
     for t in texts:
         base = base_spans(t)

@@ -227,6 +227,38 @@ def test_planted_kinds_that_training_never_saw(spark):
     assert hit >= 0.9 * len(planted) and sum(r["n_model"] for r in got.values()) <= 1.3 * len(planted)
 
 
+def test_recall_of_each_kind(sf_dir):
+    """Kinds that training draws, by themselves, in contexts of prose and of credentials: UUIDs, short passwords, passwords with signs; few findings in texts without secrets."""
+    import pyarrow.parquet as pq
+
+    docs = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    network = S.fit(docs[:600])
+    rng = random.Random(9)
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alnum = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+
+    def password(n, signs=""):
+        while True:
+            body = run(alnum + signs, n)
+            if re.search("[0-9]", body) and re.search("[A-Za-z]", body) and body[0] in alnum and body[-1] in alnum and (not signs or re.search(r"[!@#$%&*?]", body)):
+                return body
+
+    kinds = {"uuid": lambda: "-".join(run("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), "8": lambda: password(8), "12": lambda: password(12), "signs 10": lambda: password(10, "!@#$%&*?"), "signs 14": lambda: password(14, "!@#$%&*?")}
+    for name, make in kinds.items():
+        hit = 0
+        for i in range(120):
+            t, value = docs[i * 3][:600], make()
+            at = max(t.find(" ", len(t) // 2), 0)
+            lead = t[:at] + rng.choice([" key ", " use ", " cred: ", " login ", " pwd=", " "])
+            found = S.spans([lead + value + " " + t[at:]], network)[0]
+            hit += any(a < len(lead) + len(value) and len(lead) < b for a, b, _ in found)
+        assert hit >= 0.9 * 120, (name, hit)
+    added = [t[a:b] for t, found in zip(docs[600:], S.spans(docs[600:], network)) for a, b, k in found if k == "model"]
+    assert len(added) <= 2, added
+    mails = "write to user89@mail7.example.com or a1b2@mail3.org now " * 3
+    assert not [c for c in S.candidates(mails, S.base_spans(mails)) if "@" in mails[slice(*c)]]
+
+
 def test_candidates_among_many_findings():
     text = "token=abcdef12 " * 20_000 + "q1w2e3r4t5"
     began = time.perf_counter()
