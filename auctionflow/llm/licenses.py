@@ -7,6 +7,7 @@ phrase starts, the starts that both words agree on are intersected, and there
 the whole phrase is compared.  An occurrence of a phrase has both words at their
 offsets, so none is missed.
 
+The templates are those of this module or a user's (``Templates``, also from a table).
 Licence texts and notices are posted under their ``ANCHORS`` rarest words of
 those that stand in them once; of equally rare ones, the earlier.  Each place of
 an anchor votes for the start of the text.  A text is found where the share
@@ -154,6 +155,7 @@ ANCHORS = 12  # rare words that a licence text is posted under
 AGREE = 0.6  # of them have to stand at their places
 STRETCH = 32  # words
 _BIAS = 64  # starts of texts cut off at the front are negative
+TEXTS_TYPE = "array<struct<k:int,stretch:int,n:int>>"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SHIFT = 1 << 32
 
@@ -163,6 +165,22 @@ def words(text: str | Column = "text") -> Column:
     return F.array_remove(F.split(lower, _GAP), "")
 
 
+@dataclass(frozen=True)
+class Templates:
+    """What to look for: (label, phrase) pairs, of which the ``base`` ones give places, and (label, text, its two mandatory phrases)."""
+
+    base: list[tuple[str, str]]
+    more: list[tuple[str, str]]
+    texts: list[tuple[str, str, tuple[str, str]]]
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Templates:
+        """From a table (label, text, phrases): rows with two phrases are licence texts, others phrases that stand word for word.  Templates are few: they are collected."""
+        rows = sorted(((r["label"], r["text"], tuple(r["phrases"] or ())) for r in table.select("label", "text", "phrases").collect()), key=repr)
+        worded = [(label, " ".join(text_words(text)), phrases) for label, text, phrases in rows if label and text]
+        return cls([], [(label, text) for label, text, phrases in worded if not phrases and text], [(label, text, tuple(" ".join(text_words(p)) for p in (phrases * 2)[:2])) for label, text, phrases in worded if phrases and text])
+
+
 @dataclass
 class Index:
     labels: list[str]
@@ -171,10 +189,11 @@ class Index:
     weights: list[float]  # of each phrase, 0 to 1: the share of the largest sum of IDF
     posted: list[dict[str, list[tuple[int, int]]]]  # first and second rarest word -> (phrase, offset)
     anchors: list[list[tuple[str, int]]]  # of each licence text: words and their places
+    texts: list[tuple[str, str, tuple[str, str]]]
 
     @classmethod
-    def build(cls, n_docs: int, frequency: dict[str, int]) -> Index:
-        rows = [(label, phrase.split(), True) for label, phrase in BASE] + [(label, phrase.split(), False) for label, phrase in MORE]
+    def build(cls, n_docs: int, frequency: dict[str, int], templates: Templates) -> Index:
+        rows = [(label, phrase.split(), True) for label, phrase in templates.base] + [(label, phrase.split(), False) for label, phrase in templates.more]
         idf = lambda w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1))
         totals = [sum(map(idf, dict.fromkeys(p))) for _, p, _ in rows]
         posted: list[dict[str, list[tuple[int, int]]]] = [{}, {}]
@@ -182,13 +201,13 @@ class Index:
             rare = sorted(dict.fromkeys(phrase), key=lambda w: (-idf(w), phrase.index(w)))
             for part, w in zip(posted, (rare * 2)[:2]):
                 part.setdefault(w, []).append((k, phrase.index(w)))
-        top = max(totals) or 1.0
+        top = max(totals, default=0.0) or 1.0
         anchors = []
-        for _, text, _ in TEXTS:
+        for _, text, _ in templates.texts:
             own = text_words(text)
             once = [(w, i) for i, w in enumerate(own) if own.count(w) == 1]
             anchors.append(sorted(once, key=lambda x: (frequency.get(x[0], 0), x[1]))[:ANCHORS])
-        return cls([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [t / top for t in totals], posted, anchors)
+        return cls([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [t / top for t in totals], posted, anchors, list(templates.texts))
 
 
 def text_words(text: str) -> list[str]:
@@ -196,18 +215,23 @@ def text_words(text: str) -> list[str]:
     return [w for w in re.split(_GAP, text.lower()) if w]
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, p in BASE + MORE for w in p.split()} | {w for _, t, _ in TEXTS for w in text_words(t)})
+def vocabulary(templates: Templates) -> list[str]:
+    return sorted({w for _, p in templates.base + templates.more for w in p.split()} | {w for _, t, _ in templates.texts for w in text_words(t)})
+
+
+#: The templates of this module.
+STANDARD = Templates(BASE, MORE, TEXTS)
 
 
 def needed(anchors: list) -> int:
     return math.ceil(AGREE * len(anchors))
 
 
-def build_index(docs: DataFrame) -> Index:
-    known = F.array(*map(F.lit, vocabulary()))
+def build_index(docs: DataFrame, templates: Templates | None = None) -> Index:
+    templates = templates or STANDARD
+    known = F.array(*map(F.lit, vocabulary(templates)))
     found = docs.select(F.explode(F.array_intersect(words(), known)).alias("word")).groupBy("word").count()
-    return Index.build(docs.count(), {r["word"]: r["count"] for r in found.collect()})
+    return Index.build(docs.count(), {r["word"]: r["count"] for r in found.collect()}, templates)
 
 
 def _starts(hits: Column, posted: dict[str, list[tuple[int, int]]]) -> Column:
@@ -221,14 +245,16 @@ def _starts(hits: Column, posted: dict[str, list[tuple[int, int]]]) -> Column:
 
 
 def _texts_found(rows: DataFrame, index: Index) -> DataFrame:
-    """``rows`` (with words ``w``) and ``texts``: the (k, agreed) of each licence text and region where it is found."""
+    """``rows`` (with words ``w`` and ``hits``) and ``texts``: the (k, agreed) of each licence text and region where it is found."""
     marks = sorted({w for own in index.anchors for w, _ in own})
-    least = min(map(needed, index.anchors))
+    if not marks:
+        return rows.withColumn("texts", F.array().cast(TEXTS_TYPE))
+    least = min(needed(own) for own in index.anchors if own)
     places = {m: ", ".join(f"named_struct('k', {k}, 'j', {j}, 'i', {i})" for k, own in enumerate(index.anchors) for j, (w, i) in enumerate(own) if w == m) for m in marks}
     postings = F.expr(f"map({', '.join(f"'{m}', array({p})" for m, p in places.items())})")
     needs = F.array(*(F.lit(needed(own)) for own in index.anchors))
-    lengths = F.array(*(F.lit(len(text_words(t)) + 3 * STRETCH) for _, t, _ in TEXTS))
-    keys = [F.array(*(F.lit(f" {key[n]} ") for _, _, key in TEXTS)) for n in (0, 1)]
+    lengths = F.array(*(F.lit(len(text_words(t)) + 3 * STRETCH) for _, t, _ in index.texts))
+    keys = [F.array(*(F.lit(f" {key[n]} ") for _, _, key in index.texts)) for n in (0, 1)]
     none = F.array().cast("array<bigint>")
 
     def votes(w: Column, i: Column) -> Column:
@@ -239,9 +265,9 @@ def _texts_found(rows: DataFrame, index: Index) -> DataFrame:
         return F.flatten(F.transform(F.element_at(postings, w), lambda p: F.array(vote(p, 0), vote(p, 1))))
 
     # of the few documents with enough different anchors: votes as text, stretch and anchor in one number, each once, in order
-    hits = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(marks))
-    enough = F.size(F.array_intersect("w", F.array(*map(F.lit, marks)))) >= least
-    rows = rows.withColumn("votes", F.when(enough, F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: votes(h["w"], h["i"])))))))
+    rows = rows.withColumn("marked", F.when(F.size("hits") >= least, F.filter("hits", lambda h: h["w"].isin(marks))))
+    enough = F.size(F.array_distinct(F.transform("marked", lambda h: h["w"]))) >= least
+    rows = rows.withColumn("votes", F.when(enough, F.array_sort(F.array_distinct(F.flatten(F.transform("marked", lambda h: votes(h["w"], h["i"])))))))
     rows = rows.withColumn("votes", F.coalesce("votes", none))
 
     def agreed(v: Column, x: Column) -> Column:
@@ -257,22 +283,24 @@ def _texts_found(rows: DataFrame, index: Index) -> DataFrame:
         region = F.concat(F.lit(" "), F.array_join(F.slice(F.col("w"), first + 1, F.element_at(lengths, c["k"] + 1)), " "), F.lit(" "))
         return F.contains(region, F.element_at(keys[0], c["k"] + 1)) & F.contains(region, F.element_at(keys[1], c["k"] + 1))
 
-    texts = F.coalesce(F.when(F.size("found") > 0, F.filter("found", verified)), F.array().cast("array<struct<k:int,stretch:int,n:int>>"))
-    return rows.withColumn("texts", texts).drop("votes", "found")
-
-
-def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
-    """Words, base places, labels and a score of each document: the weight of its rarest phrase or the largest share of anchors that agree on a text."""
-    index = index or build_index(docs)
-    rare = F.array(*map(F.lit, sorted(set(index.posted[0]) | set(index.posted[1]))))
-    phrases = F.array(*(F.array(*map(F.lit, p)) for p in index.phrases))
-    labels = F.array(*map(F.lit, index.labels))
-    weights = F.array(*map(F.lit, index.weights))
-    base = F.array(*(F.lit(k) for k, b in enumerate(index.base) if b))
-    hits_type = "array<struct<w:string,i:int>>"
-    rows = _texts_found(docs.select("doc_id", words().alias("w")), index)
-    hits = F.when(F.arrays_overlap("w", rare), F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"])))
-    rows = rows.select("doc_id", "w", "texts", F.coalesce(hits, F.array().cast(hits_type)).alias("hits"))
+    texts = F.coalesce(F.when(F.size("found") > 0, F.filter("found", verified)), F.array().cast(TEXTS_TYPE))
+    return rows.withColumn("texts", texts).drop("votes", "found", "marked")
+
+
+def scan(docs: DataFrame, index: Index | None = None, templates: Templates | None = None) -> DataFrame:
+    """Of the templates (the standard ones, or those of ``index``): words, base places, labels and a score of each document: the weight of its rarest phrase or the largest share of anchors that agree on a text."""
+    index = index or build_index(docs, templates)
+    rare = sorted(set(index.posted[0]) | set(index.posted[1]))
+    posted = sorted({*rare, *(w for own in index.anchors for w, _ in own)})
+    phrases = F.array(*(F.array(*map(F.lit, p)) for p in index.phrases)) if index.phrases else F.array(F.array().cast("array<string>"))
+    labels = F.array(*map(F.lit, index.labels)) if index.labels else F.array().cast("array<string>")
+    weights = F.array(*map(F.lit, index.weights)) if index.weights else F.array().cast("array<double>")
+    base = F.array(*(F.lit(k) for k, b in enumerate(index.base) if b)) if any(index.base) else F.array().cast("array<int>")
+    # each word is looked up once, for texts and phrases
+    marked = F.transform("w", lambda w, i: F.when(w.isin(posted), F.struct(w.alias("w"), i.alias("i"))))
+    hits = F.filter(marked, lambda h: h.isNotNull()) if posted else F.array().cast("array<struct<w:string,i:int>>")
+    rows = _texts_found(docs.select("doc_id", words().alias("w")).withColumn("hits", hits), index)
+    rows = rows.select("doc_id", "w", "texts", F.filter("hits", lambda h: h["w"].isin(rare)).alias("hits") if rare else F.array().cast("array<struct<w:string,i:int>>").alias("hits"))
     agreed = F.when(F.size("hits") > 0, F.array_intersect(_starts(F.col("hits"), index.posted[0]), _starts(F.col("hits"), index.posted[1])))
     rows = rows.select("doc_id", "w", "texts", F.coalesce(agreed, F.array().cast("array<bigint>")).alias("agreed"))
 
@@ -290,8 +318,8 @@ def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
     places = F.coalesce(F.col("places"), F.array().cast("array<bigint>"))
     rows = rows.select("doc_id", "texts", "n_words", places.alias("places"), F.filter(places, lambda c: F.array_contains(base, phrase(c))).alias("own"))
 
-    text_labels = F.array(*(F.lit(label) for label, _, _ in TEXTS))
-    sizes = F.array(*(F.lit(float(len(own))) for own in index.anchors))
+    text_labels = F.array(*(F.lit(label) for label, _, _ in index.texts)) if index.texts else F.array().cast("array<string>")
+    sizes = F.array(*(F.lit(float(len(own))) for own in index.anchors)) if index.anchors else F.array().cast("array<double>")
 
     def names(column: str) -> Column:
         return F.transform(F.col(column), lambda c: F.element_at(labels, phrase(c) + 1))

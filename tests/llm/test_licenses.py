@@ -71,7 +71,7 @@ def test_texts(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scan(df).collect()}
     assert [got[k][0] for k in (1, 2, 3, 10)] == ["mit"] * 4 and got[1][1] == got[2][1] == 1.0
     assert got[4] == ("", 0.0) and got[6][0] == "gpl" and got[7][0] == "lgpl" and got[11][0] == got[13][0] == "mpl-2"
-    assert len(L.vocabulary()) < 400
+    assert len(L.vocabulary(L.STANDARD)) < 400
 
 
 @pytest.mark.parametrize("what", ["corpus", "texts"])
@@ -91,3 +91,16 @@ def test_sql(spark, sf_dir, tmp_path, what):
 def test_corpus(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(df, [(r["doc_id"], r["text"]) for r in df.collect()])
+
+
+def test_templates_of_a_user(spark):
+    """Phrases and a text from a table, in place of the module's; none at all."""
+    text = "You may keep this granary book for as long as its pages hold, lend it to any neighbour, and burn it in no winter but the last; the miller disclaims whatever flour comes of it."
+    table = spark.createDataFrame([("granary", text, ["granary book", "the miller disclaims"]), ("spdx", "SPDX: Granary-1", []), ("other", "the SECOND phrase", None), ("none", None, None)], "label string, text string, phrases array<string>")
+    templates = L.Templates.of(table)
+    changed = text.replace("neighbour", "friend").replace("winter", "summer")
+    docs = spark.createDataFrame([(1, f"Front matter. {changed} End."), (2, "spdx granary 1; mit license"), (3, "under the MIT license, the second phrase"), (4, text.replace("granary book", "ledger")), (5, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["labels"], r["n_base"], r["base_labels"]) for r in L.scan(docs, templates=templates).collect()}
+    assert got == {1: ("granary", 0, ""), 2: ("spdx", 0, ""), 3: ("other", 0, ""), 4: ("", 0, ""), 5: ("", 0, "")}
+    assert {r["labels"] for r in L.scan(docs, templates=L.Templates([], [], [])).collect()} == {""}
+    assert {r["doc_id"]: r["n_base"] for r in L.scan(docs, templates=L.Templates(L.BASE, [], [])).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
