@@ -258,11 +258,17 @@ def _key() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """((key, n_words) of each document, (key, p, m, items) of each benchmark window in them), by a join of fingerprints.
+def _set_key(items: Column) -> Column:
+    """Equal for equal lists of ids."""
+    return F.md5(F.array_join(F.transform(items, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "").cast("binary"))
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((key, n_words) of each document, (key, p, m, set) of each benchmark window in them, (set, items)), by a join of fingerprints.
 
     Fingerprints and windows that many documents share are dealt over tasks.  A window
-    of the benchmark is one row, with the ids of all items that it is in.
+    of the benchmark is one row with the key of the set of items that it is in; the
+    sets are held apart, each once, so that a window of many items costs a document one key.
     """
     spark = docs.sparkSession
     bench = common.cut(_benchmark_stretches(benchmark, window, k, bits))
@@ -275,13 +281,14 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int, bits: in
     total = maybe.count()
     prints = bench.select("m", "print").distinct().join(maybe.groupBy("m", "print").agg(F.count(F.lit(1)).alias("size")), ["m", "print"])
     met = common.cut(_windows(common.spread_join(maybe.drop("bit"), prints, ["m", "print"], "size", total)))
-    items = _windows(bench).groupBy("m", "gram").agg(F.collect_set("key").alias("items"))
-    grams = items.join(met.groupBy("m", "gram").agg(F.count(F.lit(1)).alias("size")), ["m", "gram"])
-    return counts, common.spread_join(met, grams, ["m", "gram"], "size", met.count()).select("key", "p", "m", "items")
+    items = _windows(bench).groupBy("m", "gram").agg(F.array_sort(F.collect_set("key")).alias("items"))
+    both = common.cut(items.join(met.groupBy("m", "gram").agg(F.count(F.lit(1)).alias("size")), ["m", "gram"]).withColumn("set", _set_key(F.col("items"))))
+    sets = both.groupBy("set").agg(F.first("items").alias("items"))
+    return counts, common.spread_join(met, both.drop("items"), ["m", "gram"], "size", met.count()).select("key", "p", "m", "set"), sets
 
 
 def _decontaminate_joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int, bits: int) -> DataFrame:
-    counts, hits = _joined(docs, benchmark, window, k, bits)
+    counts, hits, sets = _joined(docs, benchmark, window, k, bits)
     hits = common.cut(hits)
     along = Window.partitionBy("key").orderBy("p")  # the hits of one document
     reach = F.max("z").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -289,11 +296,18 @@ def _decontaminate_joined(docs: DataFrame, benchmark: DataFrame, window: int, k:
     ranges = ranges.withColumn("island", F.sum("new").over(along)).groupBy("key", "island").agg(F.min("p").alias("a"), F.max("z").alias("z"))
     spans = ranges.groupBy("key").agg(F.sum(F.col("z") - F.col("a")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("a", "z"))).alias("r"))
     spans = spans.select("key", "n_hit", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["a"].cast("string"), x["z"].cast("string"))), ",").alias("spans"))
-    items = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    # documents with the same sets have the same items, which are put together once
+    held = hits.groupBy("key").agg(F.array_sort(F.collect_set("set")).alias("sets")).withColumn("combination", _set_key(F.col("sets")))
+    combinations = common.cut(held.groupBy("combination").agg(F.first("sets").alias("sets"), F.count(F.lit(1)).alias("documents")))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    named = combinations.select("combination", "documents", F.explode("sets").alias("set")).join(sets, "set").groupBy("combination").agg(F.first("documents").alias("documents"), names.alias("item_ids"))
+    named = named.select("combination", "documents", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "item_ids")
+    items = common.spread_join(held.select("key", "combination"), named, ["combination"], "documents", docs.count()).drop("combination", "documents")
     per_key = counts.distinct().join(spans, "key", "left").join(items, "key", "left")
     names, n_hit = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    n_items, nothing = F.coalesce("n_items", F.lit(0).cast("bigint")), F.coalesce("items_sha256", F.lit(common.sha256_hex("")))
     return docs.select("doc_id", _key().alias("key")).join(per_key, "key").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), nothing.alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"), names.alias("item_ids"), F.coalesce("spans", F.lit("")).alias("spans"),
     )
 
@@ -338,7 +352,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k
     """``docs`` without the rows that hold a window of the benchmark; all columns stay."""
     small = _small(benchmark, window, k, block_bytes)
     if small is None:
-        _, hits = _joined(docs, benchmark, window, k, filter_bits)
+        _, hits, _ = _joined(docs, benchmark, window, k, filter_bits)
         gone = common.cut(hits.select(F.col("key").alias("_hit")).distinct())
         gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
         return docs.join(gone, _key() == gone["_hit"], "left_anti")

@@ -107,6 +107,17 @@ def test_hot_passages_by_join(spark):
     assert kept[0] == kept[1] and len(kept[0]) == 2_001
 
 
+def test_window_of_many_items_costs_a_document_one_key(spark):
+    """A sentence in all of 2,000 items and 300 documents: one set of items, whatever the documents; digests as the index has them."""
+    hot = " ".join(f"hot{i}" for i in range(12))
+    docs = spark.createDataFrame([(d, f"own{d} " * 4 + hot + (" also" + hot if d % 2 else "")) for d in range(300)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, f"{hot} item{i}") for i in range(2_000)], "item_id int, text string")
+    _, hits, sets = D._joined(docs, bench, 10, 5, 1 << 20)
+    assert sets.count() == 1 and hits.count() == 300 * 3 + 150 * 2
+    by_index, by_join = (sorted(map(repr, D.decontaminate(docs, bench, block_bytes=b).drop("spans").collect())) for b in (8_000_000, 1))
+    assert by_index == by_join and "n_items=2000" in by_join[0]
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 2_000])
 def test_corpus(spark, sf_dir, block_bytes):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
