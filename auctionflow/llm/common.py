@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 
+#: glibc's; other systems have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,6 +79,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "8m")
 
 
+def release() -> None:
+    """Gives memory that a task is done with back to the system: Python workers are used again, and hold on to it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with ``release`` at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[str, object]], most: int = 500_000) -> DataFrame:
     """mapInArrow over slices of about ``most`` bytes of text; ``work`` gets a slice (its ``text`` column is a string) and returns columns."""
     arrow = arrow_schema(schema)
@@ -85,7 +109,7 @@ def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[s
             for a, b in tb.slices(text, most):
                 yield to_batch(work(batch.slice(a, b - a)), arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
@@ -115,7 +139,7 @@ def keep_rows(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int =
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(np.asarray(keep(part.column(at)), bool)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def id_text_crc(column: str | Column) -> Column:

@@ -131,7 +131,7 @@ class Forest:
         stack = [(queries, self.root[queries])]
         while stack:
             q, at = stack.pop()
-            if len(q) > 50_000:  # each may go on to some tens of nodes
+            if len(q) > 16_000:  # each may go on to some tens of nodes
                 half = len(q) // 2
                 stack += [(q[:half], at[:half]), (q[half:], at[half:])]
                 continue
@@ -226,10 +226,10 @@ def _in_cells(rows: DataFrame, radius: int) -> DataFrame:
     """Stars of the rows (c, key, i, j, side, fp, rep) of each cell."""
     tree_first = (F.col("side") == 1).cast("int")
     placed = rows.select("c", "key", "i", "j", "side", "fp", "rep").repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", tree_first)
-    return placed.mapInArrow(lambda it: _links(it, radius), LINKS)
+    return placed.mapInArrow(common.released(lambda it: _links(it, radius)), LINKS)
 
 
-def node_links(nodes: DataFrame, radius: int = 4, tree_nodes: int = 4096, rounds: int = 3) -> DataFrame:
+def node_links(nodes: DataFrame, radius: int = 4, tree_nodes: int = 4096, rounds: int = 2) -> DataFrame:
     """Stars (a > b) among ``nodes`` (fp, rep) that connect all within the radius.
 
     A shard of over ``tree_nodes`` nodes is mostly a group of near copies.  It is dealt into

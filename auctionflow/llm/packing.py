@@ -220,7 +220,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, shard_docs: int = 8192
     rows = common.map_text(docs, PIECES, pieces)
     rows = rows.withColumn("shard", F.lit(0).cast("bigint")) if shards == 1 else _dealt(common.cut(rows), shards)
     rows = rows.select(*(c.split()[0] for c in PIECES.split(", ")[:6]), "shard")
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(packed, PACKED)
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(common.released(packed), PACKED)
 
 
 def _dealt(rows: DataFrame, shards: int) -> DataFrame:

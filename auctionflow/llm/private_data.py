@@ -405,4 +405,4 @@ def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([hide(c) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)

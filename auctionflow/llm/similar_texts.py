@@ -229,7 +229,7 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius:
     def apart(rows: DataFrame) -> DataFrame:
         """Of members of shards (h, rep, picks), those that have a candidate there and no pick in common with it."""
         placed = cells(rows, ["h"], F.lit(1), TREE_NODES).select(*cell, "rep", *FACTS, "picks")
-        return common.cut(_by_cell(placed).mapInArrow(lambda it: _live(it, radius, least), LIVE).groupBy("h", "rep", *FACTS).agg(F.sum("found").alias("found")))
+        return common.cut(_by_cell(placed).mapInArrow(common.released(lambda it: _live(it, radius, least)), LIVE).groupBy("h", "rep", *FACTS).agg(F.sum("found").alias("found")))
 
     live = apart(shared.withColumn("picks", F.array().cast("array<bigint>")))
     ranked = F.sort_array(F.collect_list(F.struct("found", "h")), asc=False)  # no more than a document's prefix has shingles
@@ -249,7 +249,7 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius:
     if own.count() > nodes.count():  # rows that occur more than once
         sets = sets.dropDuplicates(["doc_id", "sig"])
     rows = sets.join(F.broadcast(where) if small else where, ["doc_id", "sig"]).select(F.explode("where").alias("c"), F.col("doc_id").alias("rep"), "n", "fp", "shingles")
-    links = _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles")).mapInArrow(lambda it: _compared(it, radius, least), PAIRS)
+    links = _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles")).mapInArrow(common.released(lambda it: _compared(it, radius, least)), PAIRS)
     # a doc_id with several texts is one document: its sets are linked
     of = heads.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y")
     repeated = heads.select("doc_id", "sig").join(of.select("doc_id"), "doc_id", "left_semi").join(nodes, "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -1,11 +1,15 @@
 import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
 from cases import HOSTILE, hostile
 from test_findings import brute_private
 from test_similar_texts import brute_kept
+from tokenizers import Tokenizer
 
-from auctionflow.llm import common, toxicity
+from auctionflow.llm import common, private_data, toxicity
+from auctionflow.llm.tokens import vocab_path
 from test_decontamination import brute as brute_contaminated
 
 
@@ -39,9 +43,32 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
         before = after
 
 
-def test_run(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and out.agg({"length": "max"}).first()[0] <= 4096
+def test_run_by_brute_force(spark, sf_dir):
+    """Which documents come out, each piece's ids, and a packing without gaps or overlaps; toxicity and masks by their operators, whose own tests compare them."""
+    docs = common.table(spark, sf_dir, "documents")
+    bad = {r["doc_id"] for r in toxicity.score(docs, common.table(spark, sf_dir, "labels")).where("predicted = 1").collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in bad]
+    first = set(brute_kept(rows))
+    rows = [(d, t) for d, t in rows if d in first]
+    bench = [(r["item_id"], r["text"]) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    leaks = brute_contaminated(rows, bench)
+    rows = [(d, t) for d, t in rows if not leaks[d][4]]
+    clean = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain, want = Tokenizer.from_file(vocab_path()), {}
+    for r in private_data.mask(clean).collect():
+        ids = [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            own = ids[at : at + 4096]
+            want[r["doc_id"], piece] = (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out} == want and len(out) == len(want) > 50
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        places.sort()
+        assert [at for at, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 4096
+    assert len(sequences) <= 1.1 * sum(n for _, n, _ in want.values()) / 4096 + 1
 
 
 def test_stages_on_hostile_rows(spark, sf_dir):
