@@ -361,7 +361,9 @@ def written(found: list[tuple[int, int, str]]) -> str:
 
 def train(docs: DataFrame, rows: int = 3000, max_bytes: int = 8_000_000) -> Field:
     sample = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text", F.lit(1).alias("g"))
-    return fit([r["text"] for r in common.bounded_sample(sample, "doc_id", "g", rows, max_bytes, seed=4)])
+    field = fit([r["text"] for r in common.bounded_sample(sample, "doc_id", "g", rows, max_bytes, seed=4)])
+    common.release()  # the driver works on beside its model
+    return field
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:

@@ -25,13 +25,14 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,7 +41,7 @@ from .common import spread_join
 from .near_duplicates import Forest, cells, components, majority, shingle_hashes
 
 PREFIXES = "doc_id bigint, sig bigint, n int, fp bigint, prefix array<bigint>"
-LIVE = "h bigint, rep bigint, sig bigint, n int, fp bigint, found bigint"
+LIVE = "h bigint, rep bigint, sig bigint, n int, fp bigint, picks array<bigint>, found bigint"
 FACTS = ["sig", "n", "fp"]
 PAIRS = "a bigint, b bigint"
 SETS = "doc_id bigint, sig bigint, shingles array<bigint>"
@@ -158,7 +159,7 @@ def _live(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Itera
             q, at = q[~met], at[~met]
             keep[q] = keep[at] = True
             found += np.bincount(group[q], minlength=len(found))
-        yield common.to_batch({**{c: rows.column(c).to_numpy()[keep] for c in ("h", "rep", "sig", "n", "fp")}, "found": found[group[keep]]}, schema)
+        yield common.to_batch({**{c: rows.column(c).to_numpy()[keep] for c in ("h", "rep", "sig", "n", "fp")}, "picks": lists.filter(pa.array(keep)), "found": found[group[keep]]}, schema)
 
 
 def _compared(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -217,43 +218,45 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius:
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     heads = common.cut(prefixes(docs, k, least, common_shingles(docs, k)))
-    nodes = common.cut(heads.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    own = heads.join(nodes.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
-    postings = own.select(F.explode("prefix").alias("h"), "rep")
+    first = F.min(F.struct("doc_id", "n", "fp", "prefix"))
+    nodes = common.cut(heads.groupBy("sig").agg(first.alias("x"), F.count(F.lit(1)).alias("copies")).select("sig", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.prefix", "copies"))
+    postings = nodes.select(F.explode("prefix").alias("h"), "sig")
     several = common.cut(postings.groupBy("h").count().where("count > 1").select("h"))
-    shared = postings.join(several, "h").distinct()
-    shared = common.cut(shared.join(own.select("rep", *FACTS).distinct(), "rep").select("h", "rep", *FACTS))
+    shared = common.cut(postings.join(several, "h").join(nodes.select("rep", *FACTS), "sig").select("h", "rep", *FACTS))
 
     cell = ["h", "i", "j", "side"]
+    of_member = Window.partitionBy("rep", *FACTS)
+    place = F.row_number().over(of_member.orderBy(F.desc("found"), F.desc("h")))
 
-    def apart(rows: DataFrame) -> DataFrame:
-        """Of members of shards (h, rep, picks), those that have a candidate there and no pick in common with it."""
+    def apart(rows: DataFrame, take: int) -> DataFrame:
+        """Of members of shards (h, rep, picks), those that have a candidate there and no pick in common with it; ``take`` more of a member's shards are picked.
+
+        All rows of a member go to one task: no more than its prefix has shingles, and each as often as its shard has parts.
+        """
         placed = cells(rows, ["h"], F.lit(1), TREE_NODES).select(*cell, "rep", *FACTS, "picks")
-        return common.cut(_by_cell(placed).mapInArrow(common.released(lambda it: _live(it, radius, least)), LIVE).groupBy("h", "rep", *FACTS).agg(F.sum("found").alias("found")))
-
-    live = apart(shared.withColumn("picks", F.array().cast("array<bigint>")))
-    ranked = F.sort_array(F.collect_list(F.struct("found", "h")), asc=False)  # no more than a document's prefix has shingles
-    chosen = common.cut(live.groupBy("rep", *FACTS).agg(F.transform(F.slice(ranked, 1, picks), lambda x: x["h"]).alias("picks")))
-    left = apart(live.join(chosen, ["rep", *FACTS]))
-    for _ in range(more_picks):
-        next_one = left.groupBy("rep", *FACTS).agg(F.max(F.struct("found", "h"))["h"].alias("more"))
-        more = F.when(F.col("more").isNull(), F.col("picks")).otherwise(F.array_union("picks", F.array("more")))
-        chosen = common.cut(chosen.join(next_one, ["rep", *FACTS], "left").select("rep", *FACTS, more.alias("picks")))
-        left = apart(left.join(chosen, ["rep", *FACTS]))
-    members = chosen.select(F.explode("picks").alias("h"), "rep", *FACTS).unionByName(left.drop("found")).distinct()
+        found = _by_cell(placed).mapInArrow(common.released(lambda it: _live(it, radius, least)), LIVE).repartition("rep", *FACTS)
+        found = found.groupBy("h", "rep", *FACTS, "picks").agg(F.sum("found").alias("found")).withColumn("taken", place <= take)
+        new = F.collect_list(F.when(F.col("taken"), F.col("h"))).over(of_member)
+        return common.cut(found.select("h", "rep", *FACTS, F.array_union("picks", new).alias("picks"), "taken"))
+
+    left = shared.withColumn("picks", F.array().cast("array<bigint>"))
+    rounds = [left := apart(left, take) for take in (picks, *[1] * more_picks)]
+    members = functools.reduce(DataFrame.unionByName, [x.where("taken") for x in rounds] + [apart(left, 0)]).select("h", "rep", *FACTS).distinct()
     where = cells(members, ["h"], F.col("n") + 1, CELL_SHINGLES).groupBy("rep", *FACTS).agg(F.collect_list(F.struct(*cell)).alias("where"))
     where = common.cut(where.withColumnRenamed("rep", "doc_id"))
     small = where.count() <= broadcast_rows
     ids = where.select("doc_id").distinct()
     sets = shingle_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k)
-    if own.count() > nodes.count():  # rows that occur more than once
+    again = common.cut(heads.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    repeats = again.count()
+    if repeats:  # rows that occur more than once
         sets = sets.dropDuplicates(["doc_id", "sig"])
     rows = sets.join(F.broadcast(where) if small else where, ["doc_id", "sig"]).select(F.explode("where").alias("c"), F.col("doc_id").alias("rep"), "n", "fp", "shingles")
     links = _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles")).mapInArrow(common.released(lambda it: _compared(it, radius, least)), PAIRS)
-    # a doc_id with several texts is one document: its sets are linked
-    of = heads.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y")
-    repeated = heads.select("doc_id", "sig").join(of.select("doc_id"), "doc_id", "left_semi").join(nodes, "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionAll(repeated))
+    if repeats:  # a doc_id with several texts is one document: its sets are linked
+        of = again.where("x <> y")
+        links = links.unionAll(heads.select("doc_id", "sig").join(of.select("doc_id"), "doc_id", "left_semi").join(nodes.select("sig", "rep"), "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    found = components(links)
     nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("sig", "copies", F.coalesce("b", "rep").alias("component_id"))
     return spread_join(heads.select("doc_id", "sig"), nodes, ["sig"], "copies", heads.count()).select("doc_id", "component_id")
 

@@ -250,7 +250,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes:
     chosen = known.where(place < share)  # about 2 x per_class rows: small enough to broadcast
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     sample = common.bounded_sample(rows, "doc_id", "toxic", per_class, max_bytes, seed=9)
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    model = fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    del sample
+    common.release()  # the driver works on beside its model
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -71,6 +71,16 @@ def test_run_by_brute_force(spark, sf_dir):
     assert len(sequences) <= 1.1 * sum(n for _, n, _ in want.values()) / 4096 + 1
 
 
+def test_training_gives_memory_back(spark, sf_dir, monkeypatch):
+    """The driver keeps the model of a stage, not the memory that its training took, while the next stages run."""
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(True))
+    docs = common.table(spark, sf_dir, "documents")
+    toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    private_data.train(docs)
+    assert len(given) == 2
+
+
 def test_stages_on_hostile_rows(spark, sf_dir):
     """All stages bear nulls, empty and very long texts, repeated rows, clashing columns and an empty table, and keep the columns."""
     for rows in (HOSTILE, []):

@@ -47,6 +47,27 @@ def test_hostile(spark):
     assert T.keep_first(hostile(spark, [])).collect() == []
 
 
+def test_few_tasks_for_many_partitions(spark):
+    """What the driver keeps of each task grows with stages times partitions, so a stage too many costs it memory."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    docs = [(i, " ".join([*base[: i % 50], f"n{i}", *base[i % 50 + 1 :]])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4).cache()
+    sc, conf = spark.sparkContext, spark.conf
+    before = conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup("few-tasks", "")
+        check(df, docs)
+    finally:
+        conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few-tasks") for s in told.getJobInfo(j).stageIds}
+    ran = [i for s in stages if (i := told.getStageInfo(s)) and i.numCompletedTasks]
+    assert len(ran) <= 100, len(ran)
+
+
 def test_chains_and_common_passages(spark):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(5000)}"
