@@ -41,10 +41,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and written to the shared folder, so that a lost executor costs no recomputation.
+
+    Its shuffle files go at once: they would else stay until the driver happens to collect its
+    garbage, which large inputs don't make it do any sooner.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned under the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def discard(checked: DataFrame) -> None:
+    """Removes the files of a frame that ``cut`` gave and that nothing will read any more."""
+    held = checked._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if held.isDefined():
+        path = checked.sparkSession._jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(checked.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def own_folder(spark: SparkSession, what: str) -> str:

@@ -49,6 +49,8 @@ SETS = "doc_id bigint, sig bigint, shingles array<bigint>"
 SMALL = 24
 #: Members of a cell of a tree, and shingles of a cell whose sets are compared.
 TREE_NODES, CELL_SHINGLES = 1024, 250_000
+#: Each portion reads the texts again.
+MOST_PORTIONS = 8
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -210,19 +212,27 @@ def _by_cell(placed: DataFrame) -> DataFrame:
     return placed.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", (F.col("side") == 1).cast("int"), "rep")
 
 
-def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = 24, picks: int = 2, more_picks: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = 24, picks: int = 2, more_picks: int = 2, broadcast_rows: int = 200_000, broadcast_ids: int = 2_000_000, portion: int = 500_000) -> DataFrame:
     """doc_id, component_id (the smallest doc_id linked, itself included), a row for each document with an id.
 
     Members of up to ``broadcast_rows`` rows (some tens of MB) are broadcast to the
-    scan that reads their texts; more are joined by a shuffle.
+    scan that reads their texts.  Of more, only the ids go there, up to ``broadcast_ids``, and
+    the sets are joined by a shuffle; texts are shuffled beyond that only.
+
+    Sets are compared in portions of about ``portion`` places in cells, each with whole shards, up
+    to ``MOST_PORTIONS``: what one shuffles is gone before the next, so the disk holds a part of it.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     heads = common.cut(prefixes(docs, k, least, common_shingles(docs, k)))
     first = F.min(F.struct("doc_id", "n", "fp", "prefix"))
-    nodes = common.cut(heads.groupBy("sig").agg(first.alias("x"), F.count(F.lit(1)).alias("copies")).select("sig", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.prefix", "copies"))
-    postings = nodes.select(F.explode("prefix").alias("h"), "sig")
+    wide = common.cut(heads.groupBy("sig").agg(first.alias("x"), F.count(F.lit(1)).alias("copies")).select("sig", F.col("x.doc_id").alias("rep"), "x.n", "x.fp", "x.prefix", "copies"))
+    ids = common.cut(heads.select("doc_id", "sig"))
+    common.discard(heads)
+    postings = wide.select(F.explode("prefix").alias("h"), "sig")
     several = common.cut(postings.groupBy("h").count().where("count > 1").select("h"))
+    nodes = common.cut(wide.drop("prefix"))
     shared = common.cut(postings.join(several, "h").join(nodes.select("rep", *FACTS), "sig").select("h", "rep", *FACTS))
+    common.discard(wide)
 
     cell = ["h", "i", "j", "side"]
     of_member = Window.partitionBy("rep", *FACTS)
@@ -244,21 +254,34 @@ def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, radius:
     members = functools.reduce(DataFrame.unionByName, [x.where("taken") for x in rounds] + [apart(left, 0)]).select("h", "rep", *FACTS).distinct()
     where = cells(members, ["h"], F.col("n") + 1, CELL_SHINGLES).groupBy("rep", *FACTS).agg(F.collect_list(F.struct(*cell)).alias("where"))
     where = common.cut(where.withColumnRenamed("rep", "doc_id"))
-    small = where.count() <= broadcast_rows
-    ids = where.select("doc_id").distinct()
-    sets = shingle_sets(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k)
-    again = common.cut(heads.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = where.agg(F.sum(F.size("where"))).first()[0] or 0
+    again = common.cut(ids.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     repeats = again.count()
-    if repeats:  # rows that occur more than once
-        sets = sets.dropDuplicates(["doc_id", "sig"])
-    rows = sets.join(F.broadcast(where) if small else where, ["doc_id", "sig"]).select(F.explode("where").alias("c"), F.col("doc_id").alias("rep"), "n", "fp", "shingles")
-    links = _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles")).mapInArrow(common.released(lambda it: _compared(it, radius, least)), PAIRS)
+
+    def compared(where: DataFrame) -> DataFrame:
+        """Stars of the members in the cells that ``where`` has."""
+        small = where.count() <= broadcast_rows
+        of = where.select("doc_id").distinct()
+        few = small or (of := common.cut(of)).count() <= broadcast_ids
+        sets = shingle_sets(docs.join(F.broadcast(of) if few else of, "doc_id", "left_semi"), k)
+        if repeats:  # rows that occur more than once
+            sets = sets.dropDuplicates(["doc_id", "sig"])
+        rows = sets.join(F.broadcast(where) if small else where, ["doc_id", "sig"]).select(F.explode("where").alias("c"), F.col("doc_id").alias("rep"), "n", "fp", "shingles")
+        return _by_cell(rows.select("c.*", "rep", "n", "fp", "shingles")).mapInArrow(common.released(lambda it: _compared(it, radius, least)), PAIRS)
+
+    portions = max(1, min(MOST_PORTIONS, -(-total // portion)))
+    if portions == 1:
+        links = compared(where)
+    else:
+        mine = lambda i: F.filter("where", lambda c: F.pmod(F.xxhash64(c["h"], F.lit(3)), F.lit(portions)) == i)
+        parts = (where.withColumn("where", mine(i)).where(F.size("where") > 0) for i in range(portions))
+        links = functools.reduce(DataFrame.unionAll, [common.cut(compared(x)) for x in parts])
     if repeats:  # a doc_id with several texts is one document: its sets are linked
         of = again.where("x <> y")
-        links = links.unionAll(heads.select("doc_id", "sig").join(of.select("doc_id"), "doc_id", "left_semi").join(nodes.select("sig", "rep"), "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+        links = links.unionAll(ids.join(of.select("doc_id"), "doc_id", "left_semi").join(nodes.select("sig", "rep"), "sig").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(links)
     nodes = nodes.join(found, nodes["rep"] == found["a"], "left").select("sig", "copies", F.coalesce("b", "rep").alias("component_id"))
-    return spread_join(heads.select("doc_id", "sig"), nodes, ["sig"], "copies", heads.count()).select("doc_id", "component_id")
+    return spread_join(ids, nodes, ["sig"], "copies", ids.count()).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, broadcast_ids: int = 2_000_000, **options) -> DataFrame:

@@ -1,9 +1,12 @@
+import os
 import random
+import time
 
 import corpus_pipeline
 import pytest
 from cases import HOSTILE, hostile
 
+from auctionflow.llm import common
 from auctionflow.llm import similar_texts as T
 
 
@@ -82,3 +85,44 @@ def test_chains_and_common_passages(spark):
                 text[rng.randrange(len(text))] = word()
     rng.shuffle(docs)
     check(spark.createDataFrame(docs, "doc_id bigint, text string"), docs)
+
+
+def test_portions_and_joined_sets(spark, tmp_path):
+    """Sets that are compared in portions and joined by a shuffle give the same, and no text goes through one; what a stage shuffled is gone at its end."""
+    rng = random.Random(11)
+    docs = []
+    for _ in range(30):
+        text = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        docs += [(len(docs) + j, " ".join([*text[: 7 * j], "x", *text[7 * j + 1 :]])) for j in range(4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    sets = []
+    whole = T.shingle_sets
+
+    def watched(part, k):
+        sets.append(part._jdf.queryExecution().executedPlan().toString())
+        return whole(part, k)
+
+    T.shingle_sets = watched
+    try:
+        got = T.similar_components(df, broadcast_rows=5, portion=40).where("doc_id = component_id")
+    finally:
+        T.shingle_sets = whole
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(docs)
+    joined = [p for p in sets if "LeftSemi" in p]
+    assert len(joined) > 1 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in joined)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """Else the disk holds all shuffles of a stage at once until the driver collects its garbage."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {f for top in env.blockManager().diskBlockManager().localDirs() for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+    rows, before = spark.range(1000).repartition(3, "id"), files()
+    kept = common.cut(rows)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 1000
+    common.discard(kept)
