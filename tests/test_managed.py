@@ -1,6 +1,7 @@
 """Managed state, and hot items held in it."""
 
 import pytest
+from pyspark.sql import Row
 from test_queries import bids
 from test_streaming import as_stream
 
@@ -127,3 +128,43 @@ def test_parts_and_their_best(spark, tmp_path, form):
     parts = spark.readStream.schema(landed.schema).parquet(f"{first.folder}/out")
     # two files of one batch, as times of files tell nothing about those of their bids
     assert verify.same(logical.hot_items(b, 5, 3), last.append(hot_items.hottest_of_parts(last.ending(parts, "window_end"), 15)))
+
+
+class Times:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+@pytest.mark.parametrize("form", ["indexed"])
+def test_calls_to_state_are_few(form, monkeypatch):
+    """Calls leave the worker: they grow with slides and pieces, not with auctions.  The results of three batches are those of brute force."""
+    monkeypatch.setattr(hot_items, "PIECE", 1_000)
+    handle, seen, got = Handle(), {}, []
+    work = hot_items.FORMS[form](1_000_000, 3)
+    work.init(handle)
+    for batch, slides in enumerate(([0, 1, 2], [2, 3], [9, 10])):
+        rows = []
+        for s in slides:
+            auctions = [a for a in range(4_000) if (a + s + batch) % 3]
+            k = [(a * 7 + s * 5 + batch) % 11 + 1 for a in auctions]
+            rows.append(Row(part=0, slide=s, auctions=auctions, k=k))
+            for a, n in zip(auctions, k):
+                seen[s, a] = seen.get((s, a), 0) + n
+        list(work.handleInputRows((0,), iter(rows), Times(2_000 * batch)))
+        ends = 2 * batch + 2 if batch < 2 else 20  # where the watermark stands then
+        while handle.timers and (at := min(handle.timers)) <= 1_000 * ends:
+            handle.timers.remove(at)
+            late = Times(1_000 * ends)
+            late.getExpiryTimeInMs = lambda at=at: at
+            got += [tuple(r) for r in work.handleExpiredTimer((0,), late, late)]
+    want = []
+    for end in range(1, 20):
+        held = {}
+        for (s, a), n in seen.items():
+            if end - 3 <= s < end:
+                held[a] = held.get(a, 0) + n
+        if held:
+            n, a = max((n, a) for a, n in held.items())
+            want.append((end * 1_000_000, a, n))
+    assert got == want and handle.calls < 400
+    assert not any(state for state in handle.states.values() if isinstance(state, MapState))
