@@ -359,7 +359,7 @@ def stream_window_rank(spark, sf_dir):
     return streams.window_ranks(spark, sf_dir)
 
 
-# --- four results of one run, which reads the events once
+# --- four results over one reading of the events, each run when it is asked for
 
 for _name, _sql in (("hot_items", _hot_sql(HOUR, 60)), ("highest_bid", _Q7), ("new_users", _Q8.format(seconds=12 * HOUR)), ("window_counts", _COUNT.format(w=_windows_sql(HOUR, 6)))):
     query(_sql, f"shared_{_name}")(lambda spark, sf_dir, name=_name: streams.shared(spark, sf_dir, name))

@@ -55,6 +55,13 @@ class FanOut:
         writer = self.source.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.folder}/checkpoint")
         return (writer.trigger(**trigger) if trigger else writer).start()
 
+    def read_all(self) -> None:
+        """Captures a finite source to its end."""
+        captured = self.capture(availableNow=True)
+        captured.awaitTermination()
+        if captured.exception():
+            raise captured.exception()
+
     def feed(self, name: str) -> DataFrame:
         """A stream of what has come and will come to a feed; each call is a reader of its own."""
         return self.spark.readStream.schema(self.schemas[name]).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
@@ -65,10 +72,7 @@ def run_finite(fan: FanOut, queries: dict[str, Callable[[FiniteRun, FanOut], Dat
 
     A query gets its run and the fan-out, and returns the static frame of its results.
     """
-    captured = fan.capture(availableNow=True)
-    captured.awaitTermination()
-    if captured.exception():
-        raise captured.exception()
+    fan.read_all()
     with ThreadPoolExecutor(at_once) as pool:
         started = {name: pool.submit(query, FiniteRun(fan.spark), fan) for name, query in queries.items()}
         return {name: result.result() for name, result in started.items()}

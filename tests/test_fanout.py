@@ -78,3 +78,17 @@ def test_runner_shared(spark, tmp_path):
     written = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/q7_rocksdb").count()
     lines = [line.split("\t") for line in open(f"{tmp_path}/latency").read().splitlines()] if written else []
     assert not written or (lines[0][0] == "event_latency_ccdf" and float(lines[0][2]) == 1.0)
+
+
+def test_each_result_runs_its_own_query(spark, sf_dir, monkeypatch):
+    """Asking for one result doesn't run the other queries, and the source is captured once for all."""
+    ran, captured = [], []
+    capture = FanOut.capture
+    monkeypatch.setattr(FanOut, "capture", lambda self, **trigger: captured.append(1) or capture(self, **trigger))
+    own = f"{sf_dir}/../sf0.001"  # a path of its own: results are kept by path
+    for name, query in list(queries.SHARED.items()):
+        monkeypatch.setitem(queries.SHARED, name, lambda run, fan, name=name, query=query: ran.append(name) or query(run, fan))
+    first = queries.shared(spark, own, "highest_bid")
+    assert ran == ["highest_bid"] and first.count()
+    assert queries.shared(spark, own, "highest_bid") is first and queries.shared(spark, own, "window_counts").count()
+    assert ran == ["highest_bid", "window_counts"] and captured == [1]
