@@ -54,3 +54,19 @@ def test_backends(spark, tmp_path, backend):
     got = run.append(sliding.window_counts(run.ending(as_stream(spark, b, tmp_path, "b", 3)), 2, 10))
     assert verify.same(sliding.window_counts(b, 2, 10), got)
     assert got.agg({"window_end": "max"}).first()[0] > T0 + timedelta(seconds=60) and at(0) == T0
+
+
+def test_winning_bids_in_batches(spark, tmp_path):
+    """Several batches, auctions of several spans of ids, bids before their auctions, nulls, equal bids; no state is left."""
+    rows = [(i * 40, None if i % 7 == 0 else 10, i * 3, i * 3 + 100, i % 4, 10 + i % 3) for i in range(90)]
+    made = [((i * 40), None if (i + k) % 11 == 0 else (i * 7 + k) % 9, 5 + (i * k * 13) % 40, i * 3 - 20 + k * 25) for i in range(100) for k in range(6)]
+    made += [(None, 1, 90, 50), (40, 1, None, 50), (80, 4, 1_000, 60), (80, 2, 1_000, 60), (80, 3, 1_000, 61)]
+    a, b = auctions(spark, rows), bids(spark, made)
+    want = closing.winning_bids(a, b)
+    run, streams = FiniteRun(spark, delay="400 seconds"), []
+    for x, name in ((a, "a"), (b, "b")):
+        as_stream(spark, x, tmp_path, name, 5)
+        streams.append(run.ending(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/{name}")))
+    got = run.append(stateful.winning_bids(*streams))
+    assert want.count() > 30 and verify.same(want, got)
+    assert spark.read.format("statestore").option("stateVarName", "auctions").load(f"{run.folder}/checkpoint").count() == 0
